@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import bpe, fingerprint, langid, mixing, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_fingerprints": fingerprint.op7_fingerprints,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
+    "op9_quality_rules": quality.ORACLE_SQL,
 }
