@@ -13,10 +13,12 @@ chosen by a hash of the id, and as many others for the calibration.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from .common import table, whole
@@ -161,13 +163,18 @@ def fit(docs, may_learn=None, sample: int = SAMPLE) -> Model:
     return model
 
 
+def _shared(docs, model: Model):
+    """The model for the executors, with its class: they need no copy of this package."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def predict(docs, model: Model):
     """doc_id, lang_pred, score, cross_entropy, rejected for each row of docs (doc_id, text). A text that is null or has no letter is und,
     with score 0, and rejected. Every row is judged by its text alone, whole."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    shared = _shared(docs, model)  # bounded by the sample that it was fitted on
 
     def run(batches):
-        m = shared.value
+        m = pickle.loads(shared.value)
         for batch in batches:
             made = [m.judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in made], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
@@ -178,10 +185,10 @@ def predict(docs, model: Model):
 
 def accepted(docs, model: Model):
     """The rows of docs whose language is recognised, all columns as they are."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, at = _shared(docs, model), docs.columns.index("text")
 
     def run(batches):
-        m = shared.value
+        m = pickle.loads(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([not m.judge(t or "")[3] for t in batch.column(at).to_pylist()], pa.bool_()))
 
