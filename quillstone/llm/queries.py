@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, mixing, quality, url_filter
+from . import bpe, fingerprint, jaccard_join, langid, lm_scoring, mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+    "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_fingerprints": fingerprint.op7_fingerprints,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,
 }
