@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard_join, langid, lm_scoring, mixing, pii, quality, url_filter
+from . import bpe, fingerprint, jaccard_join, langid, lm_scoring, mixing, pii, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_pii": pii.op5_pii,
