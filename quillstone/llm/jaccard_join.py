@@ -62,8 +62,9 @@ def shingled(docs: DataFrame, n: int = N) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = []
-            for h in batch.column(1).to_pylist():
-                w = _mix(np.array(h, np.int64).astype(np.uint64))
+            flat, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                w = _mix(flat[begin:end].view(np.uint64))
                 k = min(n, len(w))
                 s = np.zeros(max(0, len(w) - k + 1) if k else 0, np.uint64)
                 for j in range(k):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import slices, table, whole
 
 SAMPLE = 400
 DISCOUNT = 0.75
@@ -175,7 +175,7 @@ def predict(docs, model: Model):
 
     def run(batches):
         m = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             made = [m.judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in made], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
@@ -189,7 +189,7 @@ def accepted(docs, model: Model):
 
     def run(batches):
         m = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not m.judge(t or "")[3] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
