@@ -1,17 +1,18 @@
 """N-gram Jaccard join by MinHash banding.
 
 A document is the set of its N-word shingles. Documents of equal sets are one class
-and are signed once. Rows a band and the number of bands follow from the threshold
+and meet once. Rows a band and the number of bands follow from the threshold
 and the target recall at it. Classes that share a band meet by a shuffle on the
 band's hash; the smallest label spreads over the bands to candidate groups, each
-class's full set goes to its group once for each pair of blocks, and every pair in
-a group is verified there on full sets, by blocks of a product of incidence
-matrices. What leaves a task is a number of links for each class and a forest of
-links, never the pairs.
+class's full set, made anew from its text, goes to its group once for each pair of
+blocks, and every pair in a group is verified there on full sets, by blocks of a
+product of incidence matrices. What leaves a task is a number of links for each
+class and a forest of links, never the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table, whole
+from .common import WORD, materialise, slices, table, whole
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
 #: Classes in a block: a task holds the sets of two blocks.
@@ -53,26 +54,58 @@ def _signatures(n_rows: int):
     return sign
 
 
-def shingled(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id and set: the distinct 64-bit hashes of its n-word shingles, sorted. A text of fewer words, but at least one, is one
-    shingle; one without words has an empty set and is like nothing."""
+def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns of docs, and h: the hashes of its text's words."""
     words = F.regexp_extract_all(whole("text"), F.lit(f"({WORD})"), F.lit(1))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+
+
+def _shingles(hashes: pa.Array, n: int):
+    """For each list of word hashes the distinct hashes of its n-word shingles, sorted. Fewer words, but at least one, are one
+    shingle; no words have an empty set, which is like nothing."""
+    flat, at = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        w = _mix(flat[begin:end].view(np.uint64))
+        k = min(n, len(w))
+        s = np.zeros(max(0, len(w) - k + 1) if k else 0, np.uint64)
+        for j in range(k):
+            s = (s * _ODD + w[j : j + len(s)]) ^ (s >> np.uint64(29))
+        yield np.unique(s)
+
+
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.sha256(shingles.tobytes()).digest()
+
+
+def signed(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
+    """doc_id, key (of the set of shingles; null if that is empty) and hubs (the hashes of its bands) of each row. Sets stay behind."""
+
+    def run(batches):
+        signer, numbers = _signatures(rows * bands), np.arange(bands, dtype=np.uint64) * _ODD
+        for batch in slices(batches):
+            keys, hubs = [], []
+            for s in _shingles(batch.column(1), n):
+                h = numbers.copy()
+                sig = signer(s).reshape(bands, rows)
+                for j in range(rows):
+                    h = _mix(h ^ sig[:, j])
+                keys.append(_key(s) if len(s) else None)
+                hubs.append(h.view(np.int64) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(hubs, pa.list_(pa.int64()))], ["doc_id", "key", "hubs"])
+
+    return _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, key binary, hubs array<bigint>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id and set of each row (id, key) of wanted: made anew from the texts, so that only sets with candidates are ever moved."""
 
     def run(batches):
-        for batch in batches:
-            sets = []
-            flat, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                w = _mix(flat[begin:end].view(np.uint64))
-                k = min(n, len(w))
-                s = np.zeros(max(0, len(w) - k + 1) if k else 0, np.uint64)
-                for j in range(k):
-                    s = (s * _ODD + w[j : j + len(s)]) ^ (s >> np.uint64(29))
-                sets.append(np.unique(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+        for batch in slices(batches):
+            made = [(i, s.tobytes()) for i, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _shingles(batch.column(2), n), strict=True) if _key(s) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("h")).mapInArrow(run, "doc_id bigint, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.select("id", "key"), "id")
+    return _hashed(texts, "id", "key").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
 def components(nodes: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
@@ -143,44 +176,32 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """For each row of docs (doc_id, text): doc_id, class_id (the least doc_id that links lead to), copy_of (the least doc_id with
     the same shingles) and n_links: how many other documents have a Jaccard similarity of at least threshold with it, copies included.
 
-    Null and empty texts, and null ids, link to nothing. Repeated rows are copies of each other. An empty table gives an empty result.
+    Null and empty texts, and null ids, link to nothing. doc_id is taken to be unique: of several texts with one id, that with the
+    least key is compared. Repeated rows are copies of each other. An empty table gives an empty result.
     """
     bands = bands_for(threshold, recall, rows)
-    sets = materialise(shingled(docs, n).withColumn("key", F.when(F.length("set") > 0, F.sha2("set", 256))), "near-sets")
-    known = sets.filter("key is not null and doc_id is not null")
-    copies = materialise(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "near-copies")
-    first = known.select(F.col("doc_id").alias("id"), "key", "set").join(copies, ["id", "key"]).dropDuplicates(["id"])
-
-    def sign(batches):
-        signer = _signatures(rows * bands)
-        for batch in batches:
-            ids, out = batch.column(0).to_numpy(), []
-            for blob in batch.column(1).to_pylist():
-                sig = signer(np.frombuffer(blob, np.uint64)).reshape(bands, rows)
-                h = np.arange(bands, dtype=np.uint64) * _ODD
-                for j in range(rows):
-                    h = _mix(h ^ sig[:, j])
-                out.append(h)
-            hubs = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands), pa.int64()), pa.array(hubs)], ["id", "hub"])
-
-    signed = materialise(first.select("id", "set").mapInArrow(sign, "id bigint, hub bigint"), "near-bands")
-    shared = signed.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1").select("hub")
-    edges = materialise(signed.join(shared, "hub"), "near-edges")
+    every = materialise(signed(docs, n, rows, bands), "near-signed")
+    known = every.filter("key is not null and doc_id is not null")
+    copies = known.groupBy("key").agg(F.min(F.struct("doc_id", "hubs")).alias("first"), F.count("*").alias("copies"))
+    copies = materialise(copies.select("key", F.col("first.doc_id").alias("id"), "first.hubs", "copies"), "near-copies")
+    bound = copies.select("id", F.explode("hubs").alias("hub"))
+    shared = bound.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1").select("hub")
+    edges = materialise(bound.join(shared, "hub"), "near-edges")
     groups = components(edges.select("id").distinct(), edges, "near-groups").withColumnRenamed("label", "grp")
     # Blocks of a group: by a hash, in as many parts as its size asks for; each pair of parts is a task's work.
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    placed = groups.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    work = placed.select("id", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    work = work.select("id", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
-    work = work.join(first.select("id", "set", "copies"), "id")
+    firsts = copies.groupBy("id").agg(F.min(F.struct("key", "copies")).alias("k")).select("id", "k.key", "k.copies")
+    placed = materialise(groups.join(sizes, "grp").join(firsts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "near-placed")
+    work = placed.select("id", "copies", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
+    work = work.join(sets_of(docs, placed, n), "id")
     done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
     links = done.groupBy("id").agg(F.sum("n").alias("n"))
     hubs = done.filter("hub is not null").select("id", "hub")
     classes = components(hubs.select("id").distinct(), hubs, "near-classes")
     reps = copies.join(links, "id", "left").join(classes, "id", "left")
     reps = reps.select("key", F.col("id").alias("copy_of"), F.coalesce("label", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "key").join(reps, "key", "left")
+    out = every.select("doc_id", "key").join(reps, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
