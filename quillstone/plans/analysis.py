@@ -1,0 +1,117 @@
+"""Queries over texts, searches, conversations and reports, and the SQL they are held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import content, review, search
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Reasons and patterns, in the order in which they are tried.
+RULES = [("email", "[a-z0-9]@[a-z0-9]"), ("link", "https?://"), ("number", "[0-9]{3}[ -][0-9]{4}"), ("copyright", "(copyright|license)")]
+
+
+def text_forms(spark, sf_dir):
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.norm_text(t)).alias("norm_md5"), F.md5(T.norm_question(t)).alias("question_md5"), F.md5(T.sanitized(t)).alias("sanitized_md5"), F.size(T.alnum_words(t)).alias("n_tokens"), T.size_bucket(F.size(T.alnum_words(t))).alias("bucket"))
+
+
+def content_ids(spark, sf_dir):
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", content.content_hash(t).alias("digest"), T.chunk_id(T.first_filled(F.col("source"), F.lit("none")), F.col("doc_id"), t).alias("chunk_id"), T.question_id(t).alias("question_id"))
+
+
+def rule_failures(spark, sf_dir):
+    low = F.lower("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", T.first_failure(low, RULES).alias("first"), F.array_join(T.failures(low, RULES), ",").alias("every"))
+
+
+def citation_lists(spark, sf_dir):
+    marked = F.concat_ws(" ", F.lit("[3] [1]"), F.col("text"), F.lit("[3] [99]"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(T.citations(marked, 9), lambda n: n.cast("string")), ",").alias("cited"), F.md5(T.without_citations(F.col("text"))).alias("bare_md5"))
+
+
+def duplicate_documents(spark, sf_dir):
+    return review.duplicate_groups(_read(spark, sf_dir, "documents"), content.content_hash(F.col("text")), "doc_id")
+
+
+def question_collisions(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").filter("role = 'user'").select(T.norm_question(F.col("text")).alias("question"), "conv_id")
+    shared = turns.groupBy("question").agg(F.count_distinct("conv_id").alias("n")).filter("n > 1")
+    return shared.groupBy(T.severity(F.col("n")).alias("severity")).agg(F.count("*").alias("n_questions"), F.sum("n").alias("n_chunks"))
+
+
+def token_overlap(spark, sf_dir):
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("expected"))
+    both = _read(spark, sf_dir, "documents").select("doc_id", "text").join(items, "doc_id")
+    return both.select("doc_id", F.round(T.token_f1(F.col("text"), F.col("expected")), 6).alias("f1"), F.round(T.jaccard(T.alnum_words(F.col("text")), T.alnum_words(F.col("expected"))), 6).alias("jaccard"))
+
+
+def vector_search(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.nearest(vectors, queries).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
+def lexical_search(spark, sf_dir):
+    words = T.alnum_words(F.col("text")).alias("words")
+    found = search.bm25(_read(spark, sf_dir, "documents").select("doc_id", words), _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+def clean_history(spark, sf_dir):
+    return review.clean_history(_read(spark, sf_dir, "conversations"), F.length("text") < 120).select("conv_id", "turn", "role")
+
+
+def stale_documents(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    return review.stale_plan(docs, docs.filter("doc_id % 7 <> 2"), "doc_id")
+
+
+def baseline_report(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    run = lambda side: events.filter(F.col("user_id") % 2 == side).groupBy(F.concat("event_type", F.lit("_value")).alias("metric")).agg((F.sum("cents") / F.count("cents")).alias("value"))
+    return review.against_baseline(run(0), run(1), lower_is_better="error")
+
+
+def event_percentiles(spark, sf_dir):
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("most"))
+
+
+def page_facts(spark, sf_dir):
+    h = F.coalesce(F.col("html"), F.lit(""))
+    n = lambda tag: F.size(F.regexp_extract_all(h, F.lit(f"(?i)(<{tag}[ >/])"), F.lit(1)))
+    return _read(spark, sf_dir, "pages").select("page_id", T.page_title(h).alias("title"), n("img").alias("n_images"), n("a").alias("n_links"), n("iframe").alias("n_frames"), n("table").alias("n_tables"), n("select").alias("n_selects"))
+
+
+def rate_limit(spark, sf_dir):
+    return review.limited(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", ((3, 3600), (20, 86400))).select("event_id", "user_id", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (text_forms, content_ids, rule_failures, citation_lists, duplicate_documents, question_collisions, token_overlap, vector_search, lexical_search, clean_history, stale_documents, baseline_report, event_percentiles, page_facts, rate_limit)}
+
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_QUESTION = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), '[ ?!.,;:]+$', ''))"
+_COUNT = "len(regexp_extract_all(coalesce(html, ''), '(?i)<{}[ >/]'))::INT"
+_HIT = "regexp_matches(lower(coalesce(text, '')), '{}')"
+ORACLE_SQL = {
+    "text_forms": rf"SELECT doc_id, md5(array_to_string({_TOKENS}, ' ')) AS norm_md5, md5({_QUESTION}) AS question_md5, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^<>]*>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS sanitized_md5, len({_TOKENS})::INT AS n_tokens, CASE WHEN len({_TOKENS}) < 300 THEN 'small' WHEN len({_TOKENS}) > 700 THEN 'large' ELSE 'medium' END AS bucket FROM documents",
+    "content_ids": f"SELECT doc_id, sha256(coalesce(text, '')) AS digest, sha256(coalesce(nullif(trim(source), ''), 'none') || '|' || doc_id || '|' || coalesce(text, '')) AS chunk_id, 'q-' || left(sha1({_QUESTION}), 10) AS question_id FROM documents",
+    "rule_failures": "SELECT doc_id, CASE " + " ".join(f"WHEN {_HIT.format(p)} THEN '{r}'" for r, p in RULES) + " END AS first, concat_ws(',', " + ", ".join(f"CASE WHEN {_HIT.format(p)} THEN '{r}' END" for r, p in RULES) + ") AS every FROM documents",
+    "citation_lists": r"WITH m AS (SELECT doc_id, text, [x::INT FOR x IN regexp_extract_all(concat_ws(' ', '[3] [1]', text, '[3] [99]'), '\[([0-9]{1,6})\]', 1) IF x::INT BETWEEN 1 AND 9] AS n FROM documents) SELECT doc_id, array_to_string([x FOR x, i IN n IF list_position(n, x) = i], ',') AS cited, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\[[0-9]+\]', '', 'g'), ' +', ' ', 'g'))) AS bare_md5 FROM m",
+    "duplicate_documents": "SELECT sha256(coalesce(text, '')) AS key, count(*) AS n, min(doc_id) AS survivor FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "question_collisions": f"WITH s AS (SELECT {_QUESTION} AS question, count(DISTINCT conv_id) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING n > 1) SELECT CASE WHEN n >= 21 THEN 'critical' WHEN n >= 11 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_questions, sum(n)::BIGINT AS n_chunks FROM s GROUP BY 1",
+    "token_overlap": f"WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS x FROM documents), b AS (SELECT item_id AS doc_id, list_distinct({_TOKENS}) AS y FROM benchmark), j AS (SELECT doc_id, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c FROM d JOIN b USING (doc_id)) SELECT doc_id, round(CASE WHEN a > 0 AND b > 0 THEN 2.0::DOUBLE * c / (a + b) ELSE 0 END, 6)::DOUBLE AS f1, round(CASE WHEN a > 0 AND b > 0 THEN c::DOUBLE / (a + b - c) ELSE 0 END, 6)::DOUBLE AS jaccard FROM j",
+    "vector_search": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 10",
+    "lexical_search": f"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS word FROM benchmark), c AS (SELECT word, doc_id, size, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY 1), g AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 8) AS score FROM q JOIN c USING (word) JOIN f USING (word), t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g) SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10",
+    "clean_history": "WITH m AS (SELECT *, coalesce(role = 'assistant' AND length(text) < 120, false) AS bad FROM conversations), n AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY conv_id ORDER BY turn), false) AS nxt FROM m) SELECT conv_id, turn, role FROM n WHERE NOT bad AND NOT (nxt AND role = 'user')",
+    "stale_documents": "SELECT count(*) AS n_stored, count(*) FILTER (doc_id % 7 = 2) AS n_vanished, n_vanished >= 3 AND n_vanished > 0.1 * n_stored AS aborted FROM documents",
+    "baseline_report": "WITH e AS (SELECT event_type || '_value' AS metric, user_id % 2 AS side, sum(round(value * 100)::BIGINT)::DOUBLE / count(value) AS v FROM events GROUP BY 1, 2), d AS (SELECT a.metric, (b.v - a.v) / abs(a.v) AS delta FROM e a JOIN e b ON a.metric = b.metric AND a.side = 0 AND b.side = 1) SELECT metric, round(delta, 6) AS delta, CASE WHEN abs(delta) <= 0.03 THEN 'same' WHEN (delta > 0) <> contains(metric, 'error') THEN 'better' ELSE 'worse' END AS verdict FROM d",
+    "event_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1",
+    "page_facts": r"SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>([^<]*)</title>', 1)) AS title, " + ", ".join(f"{_COUNT.format(t)} AS {n}" for t, n in (("img", "n_images"), ("a", "n_links"), ("iframe", "n_frames"), ("table", "n_tables"), ("select", "n_selects"))) + " FROM pages",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import content
+from . import analysis
 
 SECTIONS = [("/en/", "english"), ("/fr/", "french"), ("/de/", "german"), ("/es/", "spanish")]
 
@@ -57,3 +58,5 @@ ORACLE_SQL = {
     "document_changes": "SELECT change, count(*) AS n_docs FROM (SELECT CASE WHEN doc_id % 10 = 3 AND doc_id % 7 = 2 THEN NULL WHEN doc_id % 10 = 3 THEN 'added' WHEN doc_id % 7 = 2 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents) WHERE change IS NOT NULL GROUP BY change",
     "conversation_history": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
 }
+QUERIES |= analysis.QUERIES
+ORACLE_SQL |= analysis.ORACLE_SQL

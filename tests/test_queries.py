@@ -8,7 +8,7 @@ from quillstone.plans.queries import ORACLE_SQL, QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
