@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def filtered_joins(spark: SparkSession):
+    """Joins that run inside filter their large side by a Bloom filter of the other's keys before they shuffle it, however small the
+    large side is. Spark keeps the filter within its own bounds of size, and does without it beyond them."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in slices of at most rows rows, so that what a Python worker makes of one stays small."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, slices, table, whole
+from .common import WORD, filtered_joins, materialise, slices, table, whole
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
 #: Classes in a block: a task holds the sets of two blocks.
@@ -104,7 +104,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             made = [(i, s.tobytes()) for i, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _shingles(batch.column(2), n), strict=True) if _key(s) == key]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.select("id", "key"), "id")
+    # The condition always holds; the optimizer makes a Bloom filter only of a side that has one.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.filter("copies > 0").select("id", "key"), "id")
     return _hashed(texts, "id", "key").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
@@ -195,7 +196,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     work = placed.select("id", "copies", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
     work = work.join(sets_of(docs, placed, n), "id")
-    done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
+    with filtered_joins(docs.sparkSession):
+        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
     links = done.groupBy("id").agg(F.sum("n").alias("n"))
     hubs = done.filter("hub is not null").select("id", "hub")
     classes = components(hubs.select("id").distinct(), hubs, "near-classes")
