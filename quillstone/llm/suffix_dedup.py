@@ -1,14 +1,24 @@
 """Suffix-array removal of repeated passages, by deep-shallow sorting.
 
 A byte goes if it is covered by a WIDTH-byte string that also starts in a document
-with a smaller id. Suffixes are dealt to tasks by the least hash of the GRAM-byte
-grams inside their first WIDTH bytes, so that equal strings meet, and neighbours
-with the same least hash travel as one stretch of text. A task orders its suffixes:
-multikey quicksort by 8-byte words to a shallow depth, then a blind trie for each
-group that still shares its prefix. In that order equal strings are neighbours, and
-the least document of each run of them decides.
-
-Equal stretches are combined to the least document before they are dealt.
+with a smaller id. Documents are packed into compressed chunks of CHUNK bytes, and
+four steps follow, each over all chunks or all buckets of hashes:
+
+1. A chunk cuts its texts into stretches: neighbouring places whose WIDTH-byte
+   strings have the same least hash of GRAM-byte grams. It sends each hash once, with
+   the number of its documents, packed by bucket of hashes.
+2. A bucket answers with a bit for each hash: it is in two documents or more; and with
+   another: so many stretches have it that they are to be split.
+3. A chunk sends each stretch of a shared hash once, with its least document, to
+   the task of the hash. Stretches of a hash to be split go as single strings, to the
+   task of the string. A task orders all its strings, multikey quicksort by 8-byte words
+   to a shallow depth, then a blind trie for each group that still shares its prefix.
+   Equal strings are then neighbours, the least document of each run of them decides,
+   and chunks are told where it is smaller than their own.
+4. A chunk marks and removes.
+
+A hash or stretch that a third of all documents have is one entry of a chunk, so what
+meets in a bucket or task is bounded by the number of chunks, not of copies.
 """
 
 from __future__ import annotations
@@ -17,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +35,13 @@ from .common import materialise, shuffle_partitions, table, whole
 
 WIDTH, GRAM = 50, 20
 #: Bytes that the shallow sort compares, a multiple of 8.
-SHALLOW = 16
+SHALLOW = 32
+#: Bytes of text in a chunk (a longer document is one alone), of text a bucket of hashes stands for, and of stretches a task sorts.
+CHUNK, BUCKET, TASK = 4 << 20, 32 << 20, 8 << 20
+#: Stretches of one hash beyond which they are dealt as single strings.
+HOT = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PIECE = 1 << 20
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -36,23 +52,35 @@ def _words(data: np.ndarray) -> np.ndarray:
     return v
 
 
-def stretches(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(least hash, start, bytes): every WIDTH-byte string of text is in one of them, in that of its least hash."""
-    if len(text) < WIDTH:
-        return []
-    v = _words(np.frombuffer(text, np.uint8))
-    n = len(text) - GRAM + 1
-    h = (v[:n] * _A) ^ ((v[8 : 8 + n] ^ (v[:n] >> np.uint64(29))) * _B) ^ (v[12 : 12 + n] * _A)
-    h = (h ^ (h >> np.uint64(31))) * _B
-    h ^= h >> np.uint64(30)
-    span, low, have = WIDTH - GRAM + 1, h, 1
-    while have < span:
-        step = min(have, span - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
-    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    ends = np.concatenate([at[1:], [len(low)]])
-    return [(k, a, text[a : e - 1 + WIDTH]) for k, a, e in zip(low[at].astype(np.int64).tolist(), at.tolist(), ends.tolist(), strict=True)]
+def _least_hashes(data: np.ndarray) -> np.ndarray:
+    """For each WIDTH-byte string of data the least hash, of 48 bits, of its grams."""
+    out = []
+    for p in range(0, len(data) - WIDTH + 1, _PIECE):
+        v = _words(data[p : p + _PIECE + WIDTH - 1])
+        n = len(v) + 7 - GRAM + 1
+        h = (v[:n] * _A) ^ ((v[8 : 8 + n] ^ (v[:n] >> np.uint64(29))) * _B) ^ (v[12 : 12 + n] * _A)
+        h = (h ^ (h >> np.uint64(31))) * _B
+        h = (h ^ (h >> np.uint64(30))) >> np.uint64(16)
+        span, have = WIDTH - GRAM + 1, 1
+        while have < span:
+            step = min(have, span - have)
+            h = np.minimum(h[:-step], h[step:])
+            have += step
+        out.append(h)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def stretches(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least hash, start, number of places, document) of the stretches of the documents that lie one after another in data. Every
+    WIDTH-byte string of a document is in one of them."""
+    low = _least_hashes(data)
+    owner = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - WIDTH + 1))
+    first = np.cumsum(lengths) - lengths
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(0, lengths - WIDTH + 1)) - np.maximum(0, lengths - WIDTH + 1), np.maximum(0, lengths - WIDTH + 1))
+    place = first[owner] + inside
+    low = low[place]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(low)), bool), (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
+    return low[at], place[at], np.diff(np.concatenate([at, [len(low)]])), owner[at]
 
 
 def blind_trie(strings: list[bytes]) -> list[int]:
@@ -89,90 +117,268 @@ def blind_trie(strings: list[bytes]) -> list[int]:
 def deep_shallow(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the WIDTH-byte strings of data at starts, and for each in that order whether it differs from the one before."""
     v = _words(data)
-    order = np.arange(len(starts))
-    fresh = np.zeros(len(starts), bool)
-    if len(starts):
-        order = np.lexsort([v[starts + i] for i in range(SHALLOW - 8, -1, -8)])
-        fresh[0] = True
-        for i in range(0, SHALLOW, 8):
-            w = v[starts[order] + i]
-            fresh[1:] |= w[1:] != w[:-1]
-        heads = np.flatnonzero(fresh)
-        sizes = np.diff(np.concatenate([heads, [len(starts)]]))
-        raw = data.tobytes()
-        for a, n in zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            group = order[a : a + n]
-            strings = [raw[s + SHALLOW : s + WIDTH] for s in starts[group].tolist()]
-            by = blind_trie(strings)
-            order[a : a + n] = group[by]
-            fresh[a + 1 : a + n] = [strings[x] != strings[y] for x, y in zip(by, by[1:], strict=False)]
-    return order, fresh
+    order = np.argsort(v[starts])
+    fresh = np.ones(len(starts), bool)
+    w = v[starts[order]]
+    fresh[1:] = w[1:] != w[:-1]
 
+    def tied():
+        group = np.cumsum(fresh) - 1
+        return np.flatnonzero(np.bincount(group)[group] > 1), group
 
-def _sorted_least(key, rows):
-    """For each stretch of a task, the least document of each of its strings, as runs (from, to, least)."""
-    texts, docs = rows.column("part").to_pylist(), rows.column("least").to_numpy()
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
-    counts = np.array([len(t) - WIDTH + 1 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    order, fresh = deep_shallow(data, begins[owner] + offset)
-    least = np.empty(len(owner), np.int64)
+    for i in range(8, SHALLOW, 8):  # only strings that are equal so far are compared further
+        at, group = tied()
+        w = v[starts[order[at]] + i]
+        by = np.lexsort([w, group[at]])
+        order[at], w = order[at[by]], w[by]
+        fresh[at[1:]] |= w[1:] != w[:-1]
     heads = np.flatnonzero(fresh)
-    group_least = np.minimum.reduceat(docs[owner[order]], heads)
-    least[order] = np.repeat(group_least, np.diff(np.concatenate([heads, [len(order)]])))
-    cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
-    last = np.concatenate([cut[1:], [len(owner)]]) - 1
-    return pa.table({"part": pa.array([texts[i] for i in owner[cut].tolist()], pa.binary()), "a": pa.array(offset[cut], pa.int64()), "b": pa.array(offset[last] + WIDTH, pa.int64()), "by": pa.array(least[cut], pa.int64())})
+    sizes = np.diff(np.concatenate([heads, [len(starts)]]))
+    raw = data.tobytes()
+    for a, n in zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        group = order[a : a + n]
+        strings = [raw[s + SHALLOW : s + WIDTH] for s in starts[group].tolist()]
+        by = blind_trie(strings)
+        order[a : a + n] = group[by]
+        fresh[a + 1 : a + n] = [strings[x] != strings[y] for x, y in zip(by, by[1:], strict=False)]
+    return order, fresh
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers by planes of their bytes, compressed."""
+    raw = b"".join(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(_inflate(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(a.T).reshape(-1).view(np.int64) for a in raw]
+
+
+def _deflate(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _inflate(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
+
+
+def _batch(schema: dict, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())], list(schema))
+
+
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0 to n[0] - 1, 0 to n[1] - 1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+_CHUNKS = {"chunk": pa.int64(), "n_bytes": pa.int64(), "docs": pa.binary(), "texts": pa.binary()}
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): ranges of bytes, which may overlap, that repeat a string of a smaller document. docs: (doc_id, text)."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) packed: (chunk, n_bytes, docs: has an id, id and length of each document by id, texts)."""
+
+    def run(batches):
+        rows, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def packed():
+            rows.sort(key=lambda r: (r[0] is None, r[0]))
+            heads = [np.array(x, np.int64) for x in ([r[0] is not None for r in rows], [r[0] or 0 for r in rows], [len(r[1]) for r in rows])]
+            return _batch(_CHUNKS, [(number, size, _pack(*heads), _deflate(b"".join(r[1] for r in rows)))])
 
-    def cut(batches):
         for batch in batches:
-            rows = [(d, *s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d is not None for s in stretches(t.encode("utf-8", "surrogatepass"))]
-            for i in range(0, len(rows), 20_000):
-                some = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in some], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "low", "start", "part"])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = t.as_buffer().to_pybytes()
+                if rows and size + len(raw) > CHUNK:
+                    yield packed()
+                    rows, size, number = [], 0, number + 1
+                rows.append((d, raw))
+                size += len(raw)
+        if rows:
+            yield packed()
+
+    return materialise(docs.select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInArrow(run, "chunk bigint, n_bytes bigint, docs binary, texts binary"), "suffix-chunks")
+
+
+class _Chunk:
+    """An unpacked chunk, and its stretches by hash, then place."""
+
+    def __init__(self, docs: bytes, texts: bytes, n_buckets: int):
+        self.has, self.ids, self.lengths = _unpack(docs, 3)
+        self.raw = _inflate(texts)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        known = int(self.has.sum())  # documents without an id come last and take no part
+        low, start, n, owner = stretches(self.data[: self.lengths[:known].sum()], self.lengths[:known])
+        order = np.argsort(low, kind="stable")
+        self.low, self.start, self.n, self.doc = low[order].astype(np.int64), start[order], n[order], self.ids[owner[order]]
+        head = np.ones(len(low), bool)
+        head[1:] = self.low[1:] != self.low[:-1]
+        self.head, self.group = np.flatnonzero(head), np.cumsum(head) - 1
+        self.lows = self.low[self.head]
+        # A hash's bucket is its range of values, so that buckets are slices of the sorted hashes.
+        edges = np.array([(b << 48) // n_buckets for b in range(1, n_buckets)], np.int64)
+        self.cuts = [0, *np.searchsorted(self.lows, edges).tolist(), len(self.lows)]
+        self.head_at = head
+
+    def requests(self):
+        """(bucket, hashes, stretches and documents of each)."""
+        fresh = self.head_at.copy()
+        fresh[1:] |= self.doc[1:] != self.doc[:-1]
+        docs, count = (np.bincount(self.group, w, len(self.lows)).astype(np.int64) for w in (fresh, None))
+        for b, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            if j > i:
+                yield b, _pack(np.diff(self.lows[i:j], prepend=0), count[i:j], docs[i:j])
+
+    def parts(self, answers):
+        """The stretches that are shared, once each: (hash, text, number of places, least document), and of which part and place
+        each of their occurrences is: (part, start, document). answers: (bucket, packed state of its hashes)."""
+        state = np.zeros(len(self.lows), np.int8)
+        for b, blob in answers:
+            state[self.cuts[b] : self.cuts[b + 1]] = np.frombuffer(_inflate(blob), np.int8)
+        at = np.flatnonzero(state[self.group] > 0)
+        split = state[self.group[at]] == 2
+        times = np.where(split, self.n[at], 1)
+        low, start, n, doc = (np.repeat(x[at], times) for x in (self.low, self.start, self.n, self.doc))
+        split = np.repeat(split, times)
+        start = start + np.where(split, _ranges(times), 0)
+        n = np.where(split, 1, n)
+        seen: dict[bytes, int] = {}
+        part = np.array([seen.setdefault(self.raw[a : a + k], len(seen)) for a, k in zip(start.tolist(), (n + WIDTH - 1).tolist(), strict=True)], np.int64)
+        first = np.full(len(seen), len(part), np.int64)
+        np.minimum.at(first, part, np.arange(len(part)))
+        least = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(least, part, doc)
+        where = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=6).digest(), "little") for t, s in zip(seen, split[first].tolist(), strict=True) if s], np.int64)
+        key = low[first]
+        key[split[first]] = where
+        return list(seen), key, n[first], least, part, start, doc
+
 
-    parts = materialise(docs.select("doc_id", whole("text").alias("text")).mapInArrow(cut, "doc_id bigint, low bigint, start bigint, part binary"), "suffixes")
-    # A stretch can only repeat another if its least hash occurs twice or more.
-    shared = parts.groupBy("low").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("low")
-    some = materialise(parts.join(shared, "low"), "suffixes-shared")
-    each = some.groupBy("low", "part").agg(F.min("doc_id").alias("least"))
-    n = 16 * shuffle_partitions(docs.sparkSession)
-    runs = each.withColumn("task", F.pmod(F.xxhash64("low"), F.lit(n))).groupBy("task").applyInArrow(_sorted_least, "part binary, a bigint, b bigint, by bigint")
-    found = some.join(runs, "part").filter("by < doc_id")
-    return found.select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+def _answer(key, rows):
+    """For each chunk the state of its hashes in a bucket: 0 in one document, 1 shared, 2 shared and to be split."""
+    cols = [_unpack(x, 3) for x in rows.column("lows").to_pylist()]
+    sizes = [len(c[0]) for c in cols]
+    low = np.concatenate([np.cumsum(c[0]) for c in cols])
+    order = np.argsort(low, kind="stable")
+    head = np.ones(len(low), bool)
+    head[1:] = low[order][1:] != low[order][:-1]
+    group = np.empty(len(low), np.int64)
+    group[order] = np.cumsum(head) - 1
+    count, docs = (np.bincount(group, np.concatenate([c[i] for c in cols])) for i in (1, 2))
+    state = ((docs > 1).astype(np.int8) + ((docs > 1) & (count > HOT)))[group].astype(np.int8)
+    n_parts = np.concatenate([c[1] for c in cols]) * (state > 0)
+    ends = np.cumsum(sizes)
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "state": pa.array([_deflate(state[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "n_shared": pa.array([int(n_parts[e - n : e].sum()) for e, n in zip(ends, sizes, strict=True)], pa.int64())})
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) for each row of docs (doc_id, text).
+def _sorted_least(key, rows):
+    """For each chunk the places of its stretches, in the order it sent them, whose least document is smaller than the chunk's own."""
+    sent = [_unpack(x, 2) for x in rows.column("heads").to_pylist()]
+    seen: dict[bytes, int] = {}
+    which, least = [], [s[1] for s in sent]
+    for (n, _), blob in zip(sent, rows.column("parts").to_pylist(), strict=True):
+        raw, ends = _inflate(blob), np.cumsum(n + WIDTH - 1).tolist()
+        which.append(np.array([seen.setdefault(raw[a:e], len(seen)) for a, e in zip([0, *ends], ends, strict=False)], np.int64))
+    docs = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(docs, np.concatenate(which), np.concatenate(least))
+    sizes = np.array([len(t) for t in seen])
+    data = np.frombuffer(b"".join(seen), np.uint8)
+    counts = sizes - WIDTH + 1
+    owner, offset = np.repeat(np.arange(len(sizes)), counts), _ranges(counts)
+    order, fresh = deep_shallow(data, (np.cumsum(sizes) - sizes)[owner] + offset)
+    lows = np.empty(len(owner), np.int64)
+    heads = np.flatnonzero(fresh)
+    lows[order] = np.repeat(np.minimum.reduceat(docs[owner[order]], heads), np.diff(np.concatenate([heads, [len(order)]])))
+    cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (lows[1:] != lows[:-1])]))
+    run_of, a, by = owner[cut], offset[cut], lows[cut]
+    b = offset[np.concatenate([cut[1:], [len(owner)]]) - 1] + WIDTH
+    first, n_runs = np.searchsorted(run_of, np.arange(len(sizes))), np.bincount(run_of, minlength=len(sizes))
+    out = []
+    for parts, own in zip(which, least, strict=True):
+        number = np.repeat(np.arange(len(parts)), n_runs[parts])
+        at = np.repeat(first[parts], n_runs[parts]) + _ranges(n_runs[parts])
+        less = by[at] < own[number]
+        number, at = number[less], at[less]
+        out.append(_pack(np.diff(number, prepend=0), a[at], b[at], by[at]))
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("task"), "state": pa.array(out, pa.binary())})
+
+
+def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (the bytes that stay) for each row of docs (doc_id, text).
 
     Null text is empty. Matches never cross documents; a document doesn't repeat itself. Rows with a null id keep all and repeat for
     nobody; rows of one id are judged alike against smaller ids. An empty table gives an empty result.
     """
-    spans = repeated_ranges(docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    joined = docs.select("doc_id", whole("text").alias("text")).join(spans, "doc_id", "left")
+    spark = docs.sparkSession
+    packed = chunks(docs)
+    total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
+    n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
 
-    def run(batches):
+    def ask(batches):
         for batch in batches:
-            rows = []
-            for d, text, spans_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gone = np.zeros(len(raw) + 1, np.int8)
-                for s in spans_ or ():
-                    gone[s["a"] : s["b"]] = 1
-                gone[len(raw)] = 0
-                kept = np.frombuffer(raw, np.uint8)[gone[:-1] == 0].tobytes()
-                rows.append((d, len(raw), len(raw) - len(kept), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for c, docs_, texts_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows = [(c, *r) for r in _Chunk(docs_, texts_, n_buckets).requests()]
+                yield _batch({"chunk": pa.int64(), "bucket": pa.int64(), "lows": pa.binary()}, rows)
+
+    asked = packed.select("chunk", "docs", "texts").mapInArrow(ask, "chunk bigint, bucket bigint, lows binary")
+    answers = materialise(asked.groupBy("bucket").applyInArrow(_answer, "chunk bigint, bucket bigint, state binary, n_shared bigint"), "suffix-answers")
+    shared = answers.agg(F.coalesce(F.sum("n_shared"), F.lit(0))).head()[0]
+    n_tasks = max(shuffle_partitions(spark), -(-shared * 2 * WIDTH // TASK))
+
+    def by_task(chunk):
+        """What a chunk sends to each task: (task, numbers of its parts)."""
+        key = chunk[1]
+        task = ((key.astype(np.uint64) * _A) >> np.uint64(20)).astype(np.int64) % n_tasks
+        order = np.lexsort([key, task])
+        cuts = np.flatnonzero(np.diff(task[order], prepend=-1, append=n_tasks))
+        return [(int(task[order[i]]), order[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def send(key, mine, states):
+        rows = []
+        for c, docs_, texts_ in zip(*(mine.column(x).to_pylist() for x in ("chunk", "docs", "texts")), strict=True):
+            made = _Chunk(docs_, texts_, n_buckets).parts(zip(states.column("bucket").to_pylist(), states.column("state").to_pylist(), strict=True))
+            rows += [(c, t, _pack(made[2][at], made[3][at]), _deflate(b"".join([made[0][i] for i in at.tolist()]))) for t, at in by_task(made)]
+        return pa.Table.from_batches([_batch({"chunk": pa.int64(), "task": pa.int64(), "heads": pa.binary(), "parts": pa.binary()}, rows)])
+
+    sent = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, "chunk bigint, task bigint, heads binary, parts binary")
+    found = sent.groupBy("task").applyInArrow(_sorted_least, "chunk bigint, bucket bigint, state binary")
+    told = answers.select("chunk", "bucket", "state", F.lit(True).alias("first")).unionByName(found.withColumn("first", F.lit(False)))
+    result = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if texts else {})
+
+    def mark(key, mine, told_):
+        rows = []
+        said = list(zip(*(told_.column(x).to_pylist() for x in ("bucket", "state", "first")), strict=True))
+        for docs_, texts_ in zip(mine.column("docs").to_pylist(), mine.column("texts").to_pylist(), strict=True):
+            chunk = _Chunk(docs_, texts_, n_buckets)
+            made = chunk.parts((b, s) for b, s, first in said if first)
+            n, least, part, start, doc = made[2:]
+            later = doc > least[part]  # a smaller document of the same chunk has all of the stretch
+            begins, ends = [start[later]], [(start + n[part] + WIDTH - 1)[later]]
+            places = dict(by_task(made))
+            runs = [(places[b], _unpack(s, 4)) for b, s, first in said if not first]
+            of = np.concatenate([np.zeros(0, np.int64), *(at[np.cumsum(r[0])] for at, r in runs)])
+            a, b, by = (np.concatenate([np.zeros(0, np.int64), *(r[i] for _, r in runs)]) for i in (1, 2, 3))
+            order = np.argsort(of, kind="stable")
+            a, b, by = a[order], b[order], by[order]
+            n_runs = np.bincount(of, minlength=len(n))
+            at = np.repeat((np.cumsum(n_runs) - n_runs)[part], n_runs[part]) + _ranges(n_runs[part])
+            hit = np.repeat(doc, n_runs[part]) > by[at]
+            at, base = at[hit], np.repeat(start, n_runs[part])[hit]
+            size = len(chunk.data) + 1
+            change = np.bincount(np.concatenate([*begins, base + a[at]]), minlength=size) - np.bincount(np.concatenate([*ends, base + b[at]]), minlength=size)
+            gone = np.cumsum(change)[:-1] > 0
+            end = 0
+            for has, d, k in zip(chunk.has.tolist(), chunk.ids.tolist(), chunk.lengths.tolist(), strict=True):
+                end, mask = end + k, gone[end : end + k]
+                kept = chunk.data[end - k : end][~mask].tobytes()
+                spans = int((mask[1:] & ~mask[:-1]).sum()) + int(k > 0 and mask[0])
+                rows.append((d if has else None, k, k - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+        return pa.Table.from_batches([_batch(result, rows)])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    kinds = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
+    return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(mark, kinds)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
