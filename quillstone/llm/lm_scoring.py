@@ -1,115 +1,185 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, one of the target (documents labelled good) and one of the
-background (all documents), are matched in order, smoothing and vocabulary. A
-document's score is its loss a token under the target less that under the
-background: lower is more like the target.
-
-Words are in the shared vocabulary, and bigrams in the models, by their relative
-frequency, so the tables that executors are sent have at most 1 / MIN_WORD and
-1 / MIN_BIGRAM entries at any size of the corpus; rarer words are one unknown word,
-and rarer bigrams are left to the unigram part. Counts cover all rows.
+background (all documents), are matched in order, smoothing and vocabulary: all words
+of the background, and one place for the unknown. A document's score is its loss a
+token under the target less that under the background: lower is more like the target.
+
+The models are a table of the counts of all words and word pairs, by hashes of 63
+bits, packed by bucket of hashes; nothing of them is broadcast or collected but three
+totals, and they grow with the corpus. Documents are packed into chunks; a chunk asks
+each bucket once for the counts of what its documents hold, so that a common word is
+one entry of a chunk.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
+import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .chunks import batch_of, chunks, inflate, pack, unpack
+from .common import materialise, shuffle_partitions, table
 
-MIN_WORD, MIN_BIGRAM, WEIGHT = 1e-5, 2e-6, 0.7
-
-
-def _count(docs: DataFrame, keys_of, state: bytes) -> DataFrame:
-    """(key, n_target, n_all) of docs (text, is_target); keys_of(text, state) gives a text's keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(state)
-
-    def run(batches):
-        given = pickle.loads(shared.value)
-        for batch in batches:
-            seen = (Counter(), Counter())
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = keys_of(text, given)
-                seen[1].update(keys)
-                if target:
-                    seen[0].update(keys)
-            keys = list(seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys], pa.string()), pa.array([seen[0].get(k, 0) for k in keys], pa.int64()), pa.array([seen[1][k] for k in keys], pa.int64())], ["key", "n_target", "n_all"])
-
-    part = docs.select(whole("text").alias("text"), "is_target").mapInArrow(run, "key string, n_target bigint, n_all bigint")
-    return part.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
-
-
-def _ids(text: str, vocab: dict) -> list[int]:
-    return [vocab.get(w, 0) for w in text.lower().split()]
+#: What the unigram model adds to each count; how many counts the unigram model is worth to a bigram.
+ADD, PRIOR = 0.5, 20.0
+#: Bytes of text that a bucket stands for.
+BUCKET = 32 << 20
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass
 class Models:
-    def __init__(self, vocab: dict[str, int], uni: np.ndarray, keys: np.ndarray, bi: np.ndarray):
-        """uni: (2, V) counts; bi: (2, n) counts of the sorted keys first * V + second. Row 0 is the target's."""
-        self.vocab, self.keys, v = vocab, keys, uni.shape[1]
-        self.uni = (uni + 0.5) / (uni + 0.5).sum(axis=1, keepdims=True)
-        self.bi = bi / np.maximum(1, uni[:, keys // v]) if len(keys) else bi.astype(float)
-
-    def losses(self, text: str) -> tuple[int, float, float]:
-        """Tokens, and nats a token under the target and the background model."""
-        ids = np.array(_ids(text, self.vocab), np.int64)
-        if not len(ids):
-            return 0, 0.0, 0.0
-        p = self.uni[:, ids]
-        if len(ids) > 1 and len(self.keys):
-            want = ids[:-1] * self.uni.shape[1] + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            seen = np.where(self.keys[at] == want, self.bi[:, at], 0.0)
-            p[:, 1:] = WEIGHT * np.minimum(1.0, seen) + (1 - WEIGHT) * p[:, 1:]
-        loss = -np.log(p).mean(axis=1)
-        return len(ids), float(loss[0]), float(loss[1])
-
-
-def fit(docs: DataFrame) -> Models:
-    """docs: (text, is_target)."""
-    words = _count(docs, lambda text, _: text.lower().split(), pickle.dumps(None))
-    totals = words.agg(F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).head()
-    top = sorted(words.filter(F.col("n_all") >= max(1.0, MIN_WORD * totals[1])).collect())  # at most 1 / MIN_WORD rows
-    vocab = {r[0]: i + 1 for i, r in enumerate(top)}
-    uni = np.array([[0, 0], *[[r[1], r[2]] for r in top]], float).T
-    uni[:, 0] = np.array(totals, float) - uni.sum(axis=1)
-    v = len(vocab) + 1
-
-    def pairs(text, vocab):
-        ids = _ids(text, vocab)
-        return [a * v + b for a, b in zip(ids, ids[1:], strict=False)]
-
-    bigrams = _count(docs, pairs, pickle.dumps(vocab)).filter(F.col("n_all") >= max(1.0, MIN_BIGRAM * totals[1]))
-    rows = sorted((int(k), t, n) for k, t, n in bigrams.collect())  # at most 1 / MIN_BIGRAM rows
-    keys = np.array([r[0] for r in rows], np.int64)
-    return Models(vocab, uni, keys, np.array([[r[1] for r in rows], [r[2] for r in rows]], float))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score (their difference) of docs (doc_id, text). A text without words, or
-    null, has no tokens and scores 0. Repeated rows score alike; an empty table gives an empty result."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
-
+    """counts: (bucket, model: sorted hashes, counts in the background and in the target); words have even hashes, pairs odd ones."""
+
+    counts: DataFrame
+    n_buckets: int
+    n_words: int
+    n_all: int
+    n_target: int
+
+
+class _Chunk:
+    """The tokens of a chunk's documents, and its words and pairs by hash."""
+
+    def __init__(self, docs: bytes, texts: bytes, n_buckets: int):
+        self.has, self.ids, self.lengths, self.flags = unpack(docs, 4)
+        raw, seen, tokens, self.n_tokens, end = inflate(texts), {}, [], [], 0
+        for k in self.lengths.tolist():
+            found = raw[end : end + k].decode("utf-8").lower().split()
+            tokens += [seen.setdefault(w, len(seen)) for w in found]
+            self.n_tokens.append(len(found))
+            end += k
+        self.tokens, n = np.array(tokens, np.int64), len(seen)
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.n_tokens)
+        self.second = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1
+        pairs, self.pair = np.unique(self.tokens[self.second - 1] * n + self.tokens[self.second], return_inverse=True)
+        words = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in seen), np.uint64)
+        h = (words[pairs // max(1, n)] * _A) ^ (words[pairs % max(1, n)] + _B)
+        h = (h ^ (h >> np.uint64(31))) * _B
+        h ^= h >> np.uint64(29)
+        one = np.uint64(1)
+        keys = np.concatenate([(words >> one) & ~one, (h >> one) | one]).astype(np.int64)
+        self.n_words, self.order = n, np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        edges = np.array([(b << 63) // n_buckets for b in range(1, n_buckets)], np.int64)
+        self.cuts = [0, *np.searchsorted(self.keys, edges).tolist(), len(keys)]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs, and how often in flagged documents."""
+        out = []
+        for weight in (np.ones(len(self.flags)), self.flags):
+            w = weight[self.owner]
+            both = np.concatenate([np.bincount(self.tokens, w, self.n_words), np.bincount(self.pair, w[self.second], len(self.keys) - self.n_words)])
+            out.append(both.astype(np.int64)[self.order])
+        return out[0], out[1]
+
+    def slices(self):
+        return ((b, i, j) for b, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)) if j > i)
+
+    def losses(self, found: np.ndarray, models: tuple) -> list[np.ndarray]:
+        """The loss of each document in nats a token, under the background and the target; found: the counts of the keys in both."""
+        n_words, *totals = models
+        counts = np.empty_like(found)
+        counts[:, self.order] = found
+        out = []
+        for c, total in zip(counts, totals, strict=True):
+            alone = ((c[: self.n_words] + ADD) / (total + ADD * (n_words + 1)))[self.tokens]
+            p = alone.copy()
+            p[self.second] = (c[self.n_words :][self.pair] + PRIOR * alone[self.second]) / (c[: self.n_words][self.tokens[self.second - 1]] + PRIOR)
+            out.append(np.bincount(self.owner, -np.log(p), len(self.lengths)) / np.maximum(1, self.n_tokens))
+        return out
+
+
+def _unsorted(blobs: list[bytes]) -> list[list[np.ndarray]]:
+    """Arrays of packed rows, the hashes (kept as differences) first."""
+    every = [unpack(b, 3) for b in blobs]
+    return [[np.cumsum(x[0]), *x[1:]] for x in every]
+
+
+def _add(key, rows):
+    """All counts of a bucket as one row, with its words and their occurrences."""
+    cols = _unsorted(rows.column("counts").to_pylist())
+    keys, at = np.unique(np.concatenate([c[0] for c in cols]), return_inverse=True)
+    n, t = (np.bincount(at, np.concatenate([c[i] for c in cols]), len(keys)).astype(np.int64) for i in (1, 2))
+    word = keys % 2 == 0
+    values = (key[0].as_py(), pack(np.diff(keys, prepend=0), n, t), int(word.sum()), int(n[word].sum()), int(t[word].sum()))
+    return pa.Table.from_batches([batch_of({"bucket": pa.int64(), "model": pa.binary(), "n_words": pa.int64(), "n_all": pa.int64(), "n_target": pa.int64()}, [values])])
+
+
+def _tell(key, asked, models):
+    """For each chunk the counts of its hashes in a bucket."""
+    model = [np.concatenate(x) for x in zip(*_unsorted(models.column("model").to_pylist()), strict=True)] or [np.zeros(0, np.int64)] * 3
+    rows = []
+    for c, b, blob in zip(*(asked.column(x).to_pylist() for x in ("chunk", "bucket", "counts")), strict=True):
+        want = np.cumsum(unpack(blob, 1)[0])
+        at = np.minimum(np.searchsorted(model[0], want), max(0, len(model[0]) - 1))
+        hit = model[0][at] == want if len(model[0]) else np.zeros(len(want), bool)
+        rows.append((c, b, pack(*(np.where(hit, m[at], 0) if len(m) else np.zeros(len(want)) for m in model[1:]))))
+    return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}, rows)])
+
+
+def _asked(packed: DataFrame, n_buckets: int, counted: bool) -> DataFrame:
     def run(batches):
-        m = pickle.loads(shared.value)
         for batch in batches:
-            made = [m.losses(t) for t in batch.column(1).to_pylist()]
-            cols = [pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([x[1] - x[2] for x in made], pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+            for c, docs, texts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                chunk = _Chunk(docs, texts, n_buckets)
+                more = chunk.counts() if counted else ()
+                rows = [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0), *(x[i:j] for x in more))) for b, i, j in chunk.slices()]
+                yield batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}, rows)
+
+    return packed.select("chunk", "docs", "texts").mapInArrow(run, "chunk bigint, bucket bigint, counts binary")
+
+
+def fit(docs: DataFrame, packed: DataFrame | None = None) -> Models:
+    """docs: (doc_id, text, is_target). A null text is empty, a null is_target false. packed: chunks of docs, where they exist."""
+    packed = pack_docs(docs) if packed is None else packed
+    spark = packed.sparkSession
+    total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
+    n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
+    counts = _asked(packed, n_buckets, True).groupBy("bucket").applyInArrow(_add, "bucket bigint, model binary, n_words bigint, n_all bigint, n_target bigint")
+    counts = materialise(counts, "lm-counts")
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_all", "n_target"))).head()
+    return Models(counts.select("bucket", "model"), n_buckets, *totals)
+
+
+def pack_docs(docs: DataFrame) -> DataFrame:
+    return chunks(docs.select("doc_id", "text", F.coalesce(F.col("is_target").cast("long"), F.lit(0)).alias("flag")), "lm-chunks")
+
+
+def score(docs: DataFrame, models: Models, packed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score (their difference) of docs (doc_id: a whole number, text). A text
+    without words, or null, has no tokens and scores 0. Repeated rows, and rows with a null id, score alike; an empty table gives an
+    empty result. packed: chunks of docs, where they exist."""
+    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "lm-chunks") if packed is None else packed
+    n_buckets, totals = models.n_buckets, (models.n_words, models.n_all, models.n_target)
+    asked = _asked(packed, n_buckets, False)
+    told = asked.groupBy("bucket").cogroup(models.counts.groupBy("bucket")).applyInArrow(_tell, "chunk bigint, bucket bigint, counts binary")
+
+    def run(key, mine, told_):
+        rows = []
+        said = list(zip(told_.column("bucket").to_pylist(), told_.column("counts").to_pylist(), strict=True))
+        for docs_, texts in zip(mine.column("docs").to_pylist(), mine.column("texts").to_pylist(), strict=True):
+            chunk = _Chunk(docs_, texts, n_buckets)
+            found = np.zeros((2, len(chunk.keys)), np.int64)
+            for b, blob in said:
+                found[:, chunk.cuts[b] : chunk.cuts[b + 1]] = unpack(blob, 2)
+            background, target = chunk.losses(found, totals)
+            ids = [d if has else None for has, d in zip(chunk.has.tolist(), chunk.ids.tolist(), strict=True)]
+            rows += zip(ids, chunk.n_tokens, target.tolist(), background.tolist(), (target - background).tolist(), strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.Table.from_batches([batch_of(dict(zip(("doc_id", "n_tokens", "target_loss", "background_loss", "score"), kinds, strict=True)), rows)])
+
+    return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    return score(docs, fit(docs.join(good, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))))
+    docs = docs.join(good, "doc_id", "left")
+    packed = pack_docs(docs)
+    return score(docs, fit(docs, packed), packed)

@@ -27,17 +27,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table, whole
+from .chunks import batch_of, chunks, deflate, inflate, pack, ranges, unpack
+from .common import materialise, shuffle_partitions, table
 
 WIDTH, GRAM = 50, 20
 #: Bytes that the shallow sort compares, a multiple of 8.
 SHALLOW = 32
-#: Bytes of text in a chunk (a longer document is one alone), of text a bucket of hashes stands for, and of stretches a task sorts.
-CHUNK, BUCKET, TASK = 4 << 20, 32 << 20, 8 << 20
+#: Bytes of text that a bucket of hashes stands for, and of stretches that a task sorts.
+BUCKET, TASK = 32 << 20, 8 << 20
 #: Stretches of one hash beyond which they are dealt as single strings.
 HOT = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,69 +144,12 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return order, fresh
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers by planes of their bytes, compressed."""
-    raw = b"".join(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(_inflate(blob), np.uint8).reshape(n, 8, -1)
-    return [np.ascontiguousarray(a.T).reshape(-1).view(np.int64) for a in raw]
-
-
-def _deflate(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _inflate(blob: bytes) -> bytes:
-    size = int.from_bytes(blob[:8], "little")
-    return pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
-
-
-def _batch(schema: dict, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())], list(schema))
-
-
-def _ranges(n: np.ndarray) -> np.ndarray:
-    """0 to n[0] - 1, 0 to n[1] - 1 and so on."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-_CHUNKS = {"chunk": pa.int64(), "n_bytes": pa.int64(), "docs": pa.binary(), "texts": pa.binary()}
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) packed: (chunk, n_bytes, docs: has an id, id and length of each document by id, texts)."""
-
-    def run(batches):
-        rows, size, number = [], 0, TaskContext.get().partitionId() << 32
-
-        def packed():
-            rows.sort(key=lambda r: (r[0] is None, r[0]))
-            heads = [np.array(x, np.int64) for x in ([r[0] is not None for r in rows], [r[0] or 0 for r in rows], [len(r[1]) for r in rows])]
-            return _batch(_CHUNKS, [(number, size, _pack(*heads), _deflate(b"".join(r[1] for r in rows)))])
-
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = t.as_buffer().to_pybytes()
-                if rows and size + len(raw) > CHUNK:
-                    yield packed()
-                    rows, size, number = [], 0, number + 1
-                rows.append((d, raw))
-                size += len(raw)
-        if rows:
-            yield packed()
-
-    return materialise(docs.select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInArrow(run, "chunk bigint, n_bytes bigint, docs binary, texts binary"), "suffix-chunks")
-
-
 class _Chunk:
     """An unpacked chunk, and its stretches by hash, then place."""
 
     def __init__(self, docs: bytes, texts: bytes, n_buckets: int):
-        self.has, self.ids, self.lengths = _unpack(docs, 3)
-        self.raw = _inflate(texts)
+        self.has, self.ids, self.lengths, _ = unpack(docs, 4)
+        self.raw = inflate(texts)
         self.data = np.frombuffer(self.raw, np.uint8)
         known = int(self.has.sum())  # documents without an id come last and take no part
         low, start, n, owner = stretches(self.data[: self.lengths[:known].sum()], self.lengths[:known])
@@ -228,20 +171,20 @@ class _Chunk:
         docs, count = (np.bincount(self.group, w, len(self.lows)).astype(np.int64) for w in (fresh, None))
         for b, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             if j > i:
-                yield b, _pack(np.diff(self.lows[i:j], prepend=0), count[i:j], docs[i:j])
+                yield b, pack(np.diff(self.lows[i:j], prepend=0), count[i:j], docs[i:j])
 
     def parts(self, answers):
         """The stretches that are shared, once each: (hash, text, number of places, least document), and of which part and place
         each of their occurrences is: (part, start, document). answers: (bucket, packed state of its hashes)."""
         state = np.zeros(len(self.lows), np.int8)
         for b, blob in answers:
-            state[self.cuts[b] : self.cuts[b + 1]] = np.frombuffer(_inflate(blob), np.int8)
+            state[self.cuts[b] : self.cuts[b + 1]] = np.frombuffer(inflate(blob), np.int8)
         at = np.flatnonzero(state[self.group] > 0)
         split = state[self.group[at]] == 2
         times = np.where(split, self.n[at], 1)
         low, start, n, doc = (np.repeat(x[at], times) for x in (self.low, self.start, self.n, self.doc))
         split = np.repeat(split, times)
-        start = start + np.where(split, _ranges(times), 0)
+        start = start + np.where(split, ranges(times), 0)
         n = np.where(split, 1, n)
         seen: dict[bytes, int] = {}
         part = np.array([seen.setdefault(self.raw[a : a + k], len(seen)) for a, k in zip(start.tolist(), (n + WIDTH - 1).tolist(), strict=True)], np.int64)
@@ -257,7 +200,7 @@ class _Chunk:
 
 def _answer(key, rows):
     """For each chunk the state of its hashes in a bucket: 0 in one document, 1 shared, 2 shared and to be split."""
-    cols = [_unpack(x, 3) for x in rows.column("lows").to_pylist()]
+    cols = [unpack(x, 3) for x in rows.column("lows").to_pylist()]
     sizes = [len(c[0]) for c in cols]
     low = np.concatenate([np.cumsum(c[0]) for c in cols])
     order = np.argsort(low, kind="stable")
@@ -269,23 +212,23 @@ def _answer(key, rows):
     state = ((docs > 1).astype(np.int8) + ((docs > 1) & (count > HOT)))[group].astype(np.int8)
     n_parts = np.concatenate([c[1] for c in cols]) * (state > 0)
     ends = np.cumsum(sizes)
-    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "state": pa.array([_deflate(state[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "n_shared": pa.array([int(n_parts[e - n : e].sum()) for e, n in zip(ends, sizes, strict=True)], pa.int64())})
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "state": pa.array([deflate(state[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "n_shared": pa.array([int(n_parts[e - n : e].sum()) for e, n in zip(ends, sizes, strict=True)], pa.int64())})
 
 
 def _sorted_least(key, rows):
     """For each chunk the places of its stretches, in the order it sent them, whose least document is smaller than the chunk's own."""
-    sent = [_unpack(x, 2) for x in rows.column("heads").to_pylist()]
+    sent = [unpack(x, 2) for x in rows.column("heads").to_pylist()]
     seen: dict[bytes, int] = {}
     which, least = [], [s[1] for s in sent]
     for (n, _), blob in zip(sent, rows.column("parts").to_pylist(), strict=True):
-        raw, ends = _inflate(blob), np.cumsum(n + WIDTH - 1).tolist()
+        raw, ends = inflate(blob), np.cumsum(n + WIDTH - 1).tolist()
         which.append(np.array([seen.setdefault(raw[a:e], len(seen)) for a, e in zip([0, *ends], ends, strict=False)], np.int64))
     docs = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(docs, np.concatenate(which), np.concatenate(least))
     sizes = np.array([len(t) for t in seen])
     data = np.frombuffer(b"".join(seen), np.uint8)
     counts = sizes - WIDTH + 1
-    owner, offset = np.repeat(np.arange(len(sizes)), counts), _ranges(counts)
+    owner, offset = np.repeat(np.arange(len(sizes)), counts), ranges(counts)
     order, fresh = deep_shallow(data, (np.cumsum(sizes) - sizes)[owner] + offset)
     lows = np.empty(len(owner), np.int64)
     heads = np.flatnonzero(fresh)
@@ -297,10 +240,10 @@ def _sorted_least(key, rows):
     out = []
     for parts, own in zip(which, least, strict=True):
         number = np.repeat(np.arange(len(parts)), n_runs[parts])
-        at = np.repeat(first[parts], n_runs[parts]) + _ranges(n_runs[parts])
+        at = np.repeat(first[parts], n_runs[parts]) + ranges(n_runs[parts])
         less = by[at] < own[number]
         number, at = number[less], at[less]
-        out.append(_pack(np.diff(number, prepend=0), a[at], b[at], by[at]))
+        out.append(pack(np.diff(number, prepend=0), a[at], b[at], by[at]))
     return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("task"), "state": pa.array(out, pa.binary())})
 
 
@@ -311,7 +254,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     nobody; rows of one id are judged alike against smaller ids. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    packed = chunks(docs)
+    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "suffix-chunks")
     total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
 
@@ -319,7 +262,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
         for batch in batches:
             for c, docs_, texts_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 rows = [(c, *r) for r in _Chunk(docs_, texts_, n_buckets).requests()]
-                yield _batch({"chunk": pa.int64(), "bucket": pa.int64(), "lows": pa.binary()}, rows)
+                yield batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "lows": pa.binary()}, rows)
 
     asked = packed.select("chunk", "docs", "texts").mapInArrow(ask, "chunk bigint, bucket bigint, lows binary")
     answers = materialise(asked.groupBy("bucket").applyInArrow(_answer, "chunk bigint, bucket bigint, state binary, n_shared bigint"), "suffix-answers")
@@ -338,8 +281,8 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
         rows = []
         for c, docs_, texts_ in zip(*(mine.column(x).to_pylist() for x in ("chunk", "docs", "texts")), strict=True):
             made = _Chunk(docs_, texts_, n_buckets).parts(zip(states.column("bucket").to_pylist(), states.column("state").to_pylist(), strict=True))
-            rows += [(c, t, _pack(made[2][at], made[3][at]), _deflate(b"".join([made[0][i] for i in at.tolist()]))) for t, at in by_task(made)]
-        return pa.Table.from_batches([_batch({"chunk": pa.int64(), "task": pa.int64(), "heads": pa.binary(), "parts": pa.binary()}, rows)])
+            rows += [(c, t, pack(made[2][at], made[3][at]), deflate(b"".join([made[0][i] for i in at.tolist()]))) for t, at in by_task(made)]
+        return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "task": pa.int64(), "heads": pa.binary(), "parts": pa.binary()}, rows)])
 
     sent = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, "chunk bigint, task bigint, heads binary, parts binary")
     found = sent.groupBy("task").applyInArrow(_sorted_least, "chunk bigint, bucket bigint, state binary")
@@ -356,13 +299,13 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
             later = doc > least[part]  # a smaller document of the same chunk has all of the stretch
             begins, ends = [start[later]], [(start + n[part] + WIDTH - 1)[later]]
             places = dict(by_task(made))
-            runs = [(places[b], _unpack(s, 4)) for b, s, first in said if not first]
+            runs = [(places[b], unpack(s, 4)) for b, s, first in said if not first]
             of = np.concatenate([np.zeros(0, np.int64), *(at[np.cumsum(r[0])] for at, r in runs)])
             a, b, by = (np.concatenate([np.zeros(0, np.int64), *(r[i] for _, r in runs)]) for i in (1, 2, 3))
             order = np.argsort(of, kind="stable")
             a, b, by = a[order], b[order], by[order]
             n_runs = np.bincount(of, minlength=len(n))
-            at = np.repeat((np.cumsum(n_runs) - n_runs)[part], n_runs[part]) + _ranges(n_runs[part])
+            at = np.repeat((np.cumsum(n_runs) - n_runs)[part], n_runs[part]) + ranges(n_runs[part])
             hit = np.repeat(doc, n_runs[part]) > by[at]
             at, base = at[hit], np.repeat(start, n_runs[part])[hit]
             size = len(chunk.data) + 1
@@ -374,7 +317,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
                 kept = chunk.data[end - k : end][~mask].tobytes()
                 spans = int((mask[1:] & ~mask[:-1]).sum()) + int(k > 0 and mask[0])
                 rows.append((d if has else None, k, k - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return pa.Table.from_batches([_batch(result, rows)])
+        return pa.Table.from_batches([batch_of(result, rows)])
 
     kinds = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
     return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(mark, kinds)

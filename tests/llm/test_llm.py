@@ -134,3 +134,27 @@ def test_language_id(spark, odd):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
     nothing = langid.predict(odd, langid.fit(docs)).filter("doc_id < 3").collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_lm_scoring_equals_plain_models(spark):
+    from collections import Counter
+    from math import log
+
+    rows = [(1, "a b a b C", True), (2, "a c\tc d", False), (3, None, True), (4, "a b a b c", None), (5, "zz", False)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, is_target boolean")
+    texts = [((t or "").lower().split(), bool(g)) for _, t, g in rows]
+    vocabulary = {w for t, _ in texts for w in t}
+
+    def loss(words, only):
+        uni = Counter(w for t, g in texts if g or not only for w in t)
+        bi = Counter(p for t, g in texts if g or not only for p in zip(t, t[1:], strict=False))
+        alone = {w: (uni[w] + 0.5) / (uni.total() + 0.5 * (len(vocabulary) + 1)) for w in vocabulary}
+        p = [alone[words[0]], *((bi[a, b] + 20 * alone[b]) / (uni[a] + 20) for a, b in zip(words, words[1:], strict=False))] if words else []
+        return -sum(map(log, p)) / max(1, len(words))
+
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for (i, *_), (words_, _) in zip(rows, texts, strict=True):
+        assert got[i].n_tokens == len(words_)
+        assert got[i].target_loss == pytest.approx(loss(words_, True)) and got[i].background_loss == pytest.approx(loss(words_, False))
+        assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
