@@ -101,14 +101,31 @@ def _unsorted(blobs: list[bytes]) -> list[list[np.ndarray]]:
     return [[np.cumsum(x[0]), *x[1:]] for x in every]
 
 
-def _add(key, rows):
-    """All counts of a bucket as one row, with its words and their occurrences."""
-    cols = _unsorted(rows.column("counts").to_pylist())
+def _summed(cols: list[list[np.ndarray]]):
+    """The sorted hashes of a bucket, the places in them of the rows' hashes, and their counts."""
     keys, at = np.unique(np.concatenate([c[0] for c in cols]), return_inverse=True)
     n, t = (np.bincount(at, np.concatenate([c[i] for c in cols]), len(keys)).astype(np.int64) for i in (1, 2))
     word = keys % 2 == 0
-    values = (key[0].as_py(), pack(np.diff(keys, prepend=0), n, t), int(word.sum()), int(n[word].sum()), int(t[word].sum()))
-    return pa.Table.from_batches([batch_of({"bucket": pa.int64(), "model": pa.binary(), "n_words": pa.int64(), "n_all": pa.int64(), "n_target": pa.int64()}, [values])])
+    return keys, at, n, t, (int(word.sum()), int(n[word].sum()), int(t[word].sum()))
+
+
+_TOTALS = {"n_words": pa.int64(), "n_all": pa.int64(), "n_target": pa.int64()}
+
+
+def _add(key, rows):
+    """All counts of a bucket as one row, with its words and their occurrences."""
+    keys, _, n, t, totals = _summed(_unsorted(rows.column("counts").to_pylist()))
+    return pa.Table.from_batches([batch_of({"bucket": pa.int64(), "model": pa.binary()} | _TOTALS, [(key[0].as_py(), pack(np.diff(keys, prepend=0), n, t), *totals)])])
+
+
+def _add_and_tell(key, rows):
+    """For each chunk the summed counts of its hashes in a bucket; the first row has the bucket's totals too."""
+    cols = _unsorted(rows.column("counts").to_pylist())
+    _, at, n, t, totals = _summed(cols)
+    ends, out = np.cumsum([len(c[0]) for c in cols]).tolist(), []
+    for c, b, i, j in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), [0, *ends], ends, strict=False):
+        out.append((c, b, pack(n[at[i:j]], t[at[i:j]]), *(totals if not out else (0, 0, 0))))
+    return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()} | _TOTALS, out)])
 
 
 def _tell(key, asked, models):
@@ -135,31 +152,48 @@ def _asked(packed: DataFrame, n_buckets: int, counted: bool) -> DataFrame:
     return packed.select("chunk", "docs", "texts").mapInArrow(run, "chunk bigint, bucket bigint, counts binary")
 
 
-def fit(docs: DataFrame, packed: DataFrame | None = None) -> Models:
-    """docs: (doc_id, text, is_target). A null text is empty, a null is_target false. packed: chunks of docs, where they exist."""
-    packed = pack_docs(docs) if packed is None else packed
-    spark = packed.sparkSession
+def _buckets(packed: DataFrame) -> int:
     total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
-    n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
+    return max(shuffle_partitions(packed.sparkSession), -(-total // BUCKET))
+
+
+def _totals(counts: DataFrame) -> tuple[int, int, int]:
+    return tuple(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _TOTALS)).head())
+
+
+def fit(docs: DataFrame) -> Models:
+    """docs: (doc_id, text, is_target). A null text is empty, a null is_target false."""
+    packed = pack_docs(docs)
+    n_buckets = _buckets(packed)
     counts = _asked(packed, n_buckets, True).groupBy("bucket").applyInArrow(_add, "bucket bigint, model binary, n_words bigint, n_all bigint, n_target bigint")
     counts = materialise(counts, "lm-counts")
-    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_all", "n_target"))).head()
-    return Models(counts.select("bucket", "model"), n_buckets, *totals)
+    return Models(counts.select("bucket", "model"), n_buckets, *_totals(counts))
 
 
 def pack_docs(docs: DataFrame) -> DataFrame:
     return chunks(docs.select("doc_id", "text", F.coalesce(F.col("is_target").cast("long"), F.lit(0)).alias("flag")), "lm-chunks")
 
 
-def score(docs: DataFrame, models: Models, packed: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of docs (doc_id: a whole number, text). A text
     without words, or null, has no tokens and scores 0. Repeated rows, and rows with a null id, score alike; an empty table gives an
-    empty result. packed: chunks of docs, where they exist."""
-    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "lm-chunks") if packed is None else packed
-    n_buckets, totals = models.n_buckets, (models.n_words, models.n_all, models.n_target)
-    asked = _asked(packed, n_buckets, False)
+    empty result."""
+    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "lm-chunks")
+    asked = _asked(packed, models.n_buckets, False)
     told = asked.groupBy("bucket").cogroup(models.counts.groupBy("bucket")).applyInArrow(_tell, "chunk bigint, bucket bigint, counts binary")
+    return _scored(packed, told, models.n_buckets, (models.n_words, models.n_all, models.n_target))
 
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """score(docs, fit(docs)) of docs (doc_id, text, is_target), with hashes and counts moved once."""
+    packed = pack_docs(docs)
+    n_buckets = _buckets(packed)
+    told = _asked(packed, n_buckets, True).groupBy("bucket").applyInArrow(_add_and_tell, "chunk bigint, bucket bigint, counts binary, n_words bigint, n_all bigint, n_target bigint")
+    told = materialise(told, "lm-told")
+    return _scored(packed, told.select("chunk", "bucket", "counts"), n_buckets, _totals(told))
+
+
+def _scored(packed: DataFrame, told: DataFrame, n_buckets: int, totals: tuple[int, int, int]) -> DataFrame:
     def run(key, mine, told_):
         rows = []
         said = list(zip(told_.column("bucket").to_pylist(), told_.column("counts").to_pylist(), strict=True))
@@ -180,6 +214,4 @@ def score(docs: DataFrame, models: Models, packed: DataFrame | None = None) -> D
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    docs = docs.join(good, "doc_id", "left")
-    packed = pack_docs(docs)
-    return score(docs, fit(docs, packed), packed)
+    return fit_and_score(docs.join(good, "doc_id", "left"))

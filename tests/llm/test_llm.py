@@ -153,7 +153,8 @@ def test_lm_scoring_equals_plain_models(spark):
         return -sum(map(log, p)) / max(1, len(words))
 
     got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert sorted(got) == [1, 2, 3, 4, 5] and got == {r.doc_id: r for r in lm_scoring.fit_and_score(docs).collect()}
+    assert lm_scoring.fit_and_score(docs.limit(0)).count() == 0
     for (i, *_), (words_, _) in zip(rows, texts, strict=True):
         assert got[i].n_tokens == len(words_)
         assert got[i].target_loss == pytest.approx(loss(words_, True)) and got[i].background_loss == pytest.approx(loss(words_, False))
