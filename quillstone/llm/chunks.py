@@ -51,27 +51,27 @@ _CHUNKS = {"chunk": pa.int64(), "n_bytes": pa.int64(), "docs": pa.binary(), "tex
 
 
 def chunks(docs: DataFrame, tag: str, size_of: int = CHUNK) -> DataFrame:
-    """docs (doc_id, text, flag: a whole number) packed and written: (chunk, n_bytes, docs: has an id, id, length and flag of each
-    document, by id, texts). A document of more than size_of bytes is a chunk by itself. Ids are taken as bigint."""
+    """docs (doc_id, text) packed and written: (chunk, n_bytes, docs: has an id, id and length of each document, by id, texts).
+    A document of more than size_of bytes is a chunk by itself. Ids are taken as bigint."""
 
     def run(batches):
         rows, size, number = [], 0, TaskContext.get().partitionId() << 32
 
         def packed():
             rows.sort(key=lambda r: (r[0] is None, r[0]))
-            heads = [np.array(x, np.int64) for x in ([r[0] is not None for r in rows], [r[0] or 0 for r in rows], [len(r[1]) for r in rows], [r[2] for r in rows])]
+            heads = [np.array(x, np.int64) for x in ([r[0] is not None for r in rows], [r[0] or 0 for r in rows], [len(r[1]) for r in rows])]
             return batch_of(_CHUNKS, [(number, size, pack(*heads), deflate(b"".join(r[1] for r in rows)))])
 
         for batch in batches:
-            for d, t, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = t.as_buffer().to_pybytes()
                 if rows and size + len(raw) > size_of:
                     yield packed()
                     rows, size, number = [], 0, number + 1
-                rows.append((d, raw, flag))
+                rows.append((d, raw))
                 size += len(raw)
         if rows:
             yield packed()
 
-    docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"), F.col("flag").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     return materialise(docs.mapInArrow(run, "chunk bigint, n_bytes bigint, docs binary, texts binary"), tag)

@@ -47,7 +47,7 @@ class _Chunk:
     """The tokens of a chunk's documents, and its words and pairs by hash."""
 
     def __init__(self, docs: bytes, texts: bytes, n_buckets: int):
-        self.has, self.ids, self.lengths, self.flags = unpack(docs, 4)
+        self.has, self.ids, self.lengths = unpack(docs, 3)
         raw, seen, tokens, self.n_tokens, end = inflate(texts), {}, [], [], 0
         for k in self.lengths.tolist():
             found = raw[end : end + k].decode("utf-8").lower().split()
@@ -69,10 +69,10 @@ class _Chunk:
         edges = np.array([(b << 63) // n_buckets for b in range(1, n_buckets)], np.int64)
         self.cuts = [0, *np.searchsorted(self.keys, edges).tolist(), len(keys)]
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs, and how often in flagged documents."""
         out = []
-        for weight in (np.ones(len(self.flags)), self.flags):
+        for weight in (np.ones(len(flags)), flags.astype(float)):
             w = weight[self.owner]
             both = np.concatenate([np.bincount(self.tokens, w, self.n_words), np.bincount(self.pair, w[self.second], len(self.keys) - self.n_words)])
             out.append(both.astype(np.int64)[self.order])
@@ -140,18 +140,42 @@ def _tell(key, asked, models):
     return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}, rows)])
 
 
-def _asked(packed: DataFrame, n_buckets: int, counted: bool) -> DataFrame:
+_ASKED = {"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}
+
+
+def _asked(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """The hashes of each chunk, by bucket."""
+
     def run(batches):
         for batch in batches:
             for c, docs, texts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 chunk = _Chunk(docs, texts, n_buckets)
-                more = chunk.counts() if counted else ()
-                rows = [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0), *(x[i:j] for x in more))) for b, i, j in chunk.slices()]
-                yield batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}, rows)
+                yield batch_of(_ASKED, [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0))) for b, i, j in chunk.slices()])
 
     return packed.select("chunk", "docs", "texts").mapInArrow(run, "chunk bigint, bucket bigint, counts binary")
 
 
+def _counted(packed: DataFrame, target: DataFrame, n_buckets: int) -> DataFrame:
+    """The hashes of each chunk and their counts, by bucket. Only ids meet those of the target, whatever its size."""
+
+    def ids(batches):
+        for batch in batches:
+            for c, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                has, doc_ids, _ = unpack(docs, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(has.sum()), c)), pa.array(doc_ids[has == 1])], ["chunk", "doc_id"])
+
+    def run(key, mine, flagged):
+        rows, good = [], flagged.column("doc_id").to_numpy()
+        for c, docs, texts in zip(*(mine.column(x).to_pylist() for x in ("chunk", "docs", "texts")), strict=True):
+            chunk = _Chunk(docs, texts, n_buckets)
+            n, t = chunk.counts((chunk.has == 1) & np.isin(chunk.ids, good))
+            rows += [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0), n[i:j], t[i:j])) for b, i, j in chunk.slices()]
+        return pa.Table.from_batches([batch_of(_ASKED, rows)])
+
+    flagged = packed.select("chunk", "docs").mapInArrow(ids, "chunk bigint, doc_id bigint").join(target.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    return packed.groupBy("chunk").cogroup(flagged.groupBy("chunk")).applyInArrow(run, "chunk bigint, bucket bigint, counts binary")
+
+
 def _buckets(packed: DataFrame) -> int:
     total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     return max(shuffle_partitions(packed.sparkSession), -(-total // BUCKET))
@@ -161,34 +185,31 @@ def _totals(counts: DataFrame) -> tuple[int, int, int]:
     return tuple(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _TOTALS)).head())
 
 
-def fit(docs: DataFrame) -> Models:
-    """docs: (doc_id, text, is_target). A null text is empty, a null is_target false."""
-    packed = pack_docs(docs)
+def fit(docs: DataFrame, target: DataFrame) -> Models:
+    """docs: (doc_id: a whole number, text); target: the doc_id of the target's documents. A null text is empty; a row with a null id
+    is none of the target."""
+    packed = chunks(docs, "lm-chunks")
     n_buckets = _buckets(packed)
-    counts = _asked(packed, n_buckets, True).groupBy("bucket").applyInArrow(_add, "bucket bigint, model binary, n_words bigint, n_all bigint, n_target bigint")
+    counts = _counted(packed, target, n_buckets).groupBy("bucket").applyInArrow(_add, "bucket bigint, model binary, n_words bigint, n_all bigint, n_target bigint")
     counts = materialise(counts, "lm-counts")
     return Models(counts.select("bucket", "model"), n_buckets, *_totals(counts))
 
 
-def pack_docs(docs: DataFrame) -> DataFrame:
-    return chunks(docs.select("doc_id", "text", F.coalesce(F.col("is_target").cast("long"), F.lit(0)).alias("flag")), "lm-chunks")
-
-
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of docs (doc_id: a whole number, text). A text
     without words, or null, has no tokens and scores 0. Repeated rows, and rows with a null id, score alike; an empty table gives an
     empty result."""
-    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "lm-chunks")
-    asked = _asked(packed, models.n_buckets, False)
+    packed = chunks(docs, "lm-chunks")
+    asked = _asked(packed, models.n_buckets)
     told = asked.groupBy("bucket").cogroup(models.counts.groupBy("bucket")).applyInArrow(_tell, "chunk bigint, bucket bigint, counts binary")
     return _scored(packed, told, models.n_buckets, (models.n_words, models.n_all, models.n_target))
 
 
-def fit_and_score(docs: DataFrame) -> DataFrame:
-    """score(docs, fit(docs)) of docs (doc_id, text, is_target), with hashes and counts moved once."""
-    packed = pack_docs(docs)
+def fit_and_score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """score(docs, fit(docs, target)), with hashes and counts moved once."""
+    packed = chunks(docs, "lm-chunks")
     n_buckets = _buckets(packed)
-    told = _asked(packed, n_buckets, True).groupBy("bucket").applyInArrow(_add_and_tell, "chunk bigint, bucket bigint, counts binary, n_words bigint, n_all bigint, n_target bigint")
+    told = _counted(packed, target, n_buckets).groupBy("bucket").applyInArrow(_add_and_tell, "chunk bigint, bucket bigint, counts binary, n_words bigint, n_all bigint, n_target bigint")
     told = materialise(told, "lm-told")
     return _scored(packed, told.select("chunk", "bucket", "counts"), n_buckets, _totals(told))
 
@@ -213,5 +234,5 @@ def _scored(packed: DataFrame, told: DataFrame, n_buckets: int, totals: tuple[in
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    return fit_and_score(docs.join(good, "doc_id", "left"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return fit_and_score(docs, good)

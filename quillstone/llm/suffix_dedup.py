@@ -148,7 +148,7 @@ class _Chunk:
     """An unpacked chunk, and its stretches by hash, then place."""
 
     def __init__(self, docs: bytes, texts: bytes, n_buckets: int):
-        self.has, self.ids, self.lengths, _ = unpack(docs, 4)
+        self.has, self.ids, self.lengths = unpack(docs, 3)
         self.raw = inflate(texts)
         self.data = np.frombuffer(self.raw, np.uint8)
         known = int(self.has.sum())  # documents without an id come last and take no part
@@ -254,7 +254,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     nobody; rows of one id are judged alike against smaller ids. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    packed = chunks(docs.select("doc_id", "text", F.lit(0).alias("flag")), "suffix-chunks")
+    packed = chunks(docs, "suffix-chunks")
     total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
 

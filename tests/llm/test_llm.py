@@ -77,10 +77,10 @@ def test_mixing(odd):
 
 
 def test_lm_scoring(spark, odd):
-    docs = odd.selectExpr("doc_id", "text", "doc_id = 7 AS is_target")
-    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
+    docs, good = odd, odd.filter("doc_id = 7")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, good)).collect()}
     assert got[0].n_tokens == 0 and got[0].score == 0 and got[7].score < got[6].score
-    assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0))).count() == 0
+    assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0), good)).count() == 0
 
 
 def test_pii(spark):
@@ -142,6 +142,7 @@ def test_lm_scoring_equals_plain_models(spark):
 
     rows = [(1, "a b a b C", True), (2, "a c\tc d", False), (3, None, True), (4, "a b a b c", None), (5, "zz", False)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, is_target boolean")
+    good = docs.filter("is_target")
     texts = [((t or "").lower().split(), bool(g)) for _, t, g in rows]
     vocabulary = {w for t, _ in texts for w in t}
 
@@ -152,9 +153,9 @@ def test_lm_scoring_equals_plain_models(spark):
         p = [alone[words[0]], *((bi[a, b] + 20 * alone[b]) / (uni[a] + 20) for a, b in zip(words, words[1:], strict=False))] if words else []
         return -sum(map(log, p)) / max(1, len(words))
 
-    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5] and got == {r.doc_id: r for r in lm_scoring.fit_and_score(docs).collect()}
-    assert lm_scoring.fit_and_score(docs.limit(0)).count() == 0
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, good)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got == {r.doc_id: r for r in lm_scoring.fit_and_score(docs, good).collect()}
+    assert lm_scoring.fit_and_score(docs.limit(0), good).count() == 0
     for (i, *_), (words_, _) in zip(rows, texts, strict=True):
         assert got[i].n_tokens == len(words_)
         assert got[i].target_loss == pytest.approx(loss(words_, True)) and got[i].background_loss == pytest.approx(loss(words_, False))
