@@ -46,6 +46,13 @@ def question_collisions(spark, sf_dir):
     return shared.groupBy(T.severity(F.col("n")).alias("severity")).agg(F.count("*").alias("n_questions"), F.sum("n").alias("n_chunks"))
 
 
+def collision_severity(spark, sf_dir):
+    """The collision report over the lines of documents that hold more than white space."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("[^ \t\r\n]"))
+    shared = lines.groupBy(T.norm_question(F.col("line")).alias("question")).agg(F.count_distinct("doc_id").alias("n")).filter("n > 1")
+    return shared.groupBy(T.severity(F.col("n")).alias("severity")).agg(F.count("*").alias("n_questions"), F.sum("n").alias("n_chunks"))
+
+
 def token_overlap(spark, sf_dir):
     items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("expected"))
     both = _read(spark, sf_dir, "documents").select("doc_id", "text").join(items, "doc_id")
@@ -93,7 +100,7 @@ def rate_limit(spark, sf_dir):
     return review.limited(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", ((3, 3600), (20, 86400))).select("event_id", "user_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (text_forms, content_ids, rule_failures, citation_lists, duplicate_documents, question_collisions, token_overlap, vector_search, lexical_search, clean_history, stale_documents, baseline_report, event_percentiles, page_facts, rate_limit)}
+QUERIES = {f.__name__: f for f in (text_forms, content_ids, rule_failures, citation_lists, duplicate_documents, question_collisions, collision_severity, token_overlap, vector_search, lexical_search, clean_history, stale_documents, baseline_report, event_percentiles, page_facts, rate_limit)}
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _QUESTION = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), '[ ?!.,;:]+$', ''))"
@@ -106,6 +113,7 @@ ORACLE_SQL = {
     "citation_lists": r"WITH m AS (SELECT doc_id, text, [x::INT FOR x IN regexp_extract_all(concat_ws(' ', '[3] [1]', text, '[3] [99]'), '\[([0-9]{1,6})\]', 1) IF x::INT BETWEEN 1 AND 9] AS n FROM documents) SELECT doc_id, array_to_string([x FOR x, i IN n IF list_position(n, x) = i], ',') AS cited, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\[[0-9]+\]', '', 'g'), ' +', ' ', 'g'))) AS bare_md5 FROM m",
     "duplicate_documents": "SELECT sha256(coalesce(text, '')) AS key, count(*) AS n, min(doc_id) AS survivor FROM documents GROUP BY 1 HAVING count(*) > 1",
     "question_collisions": f"WITH s AS (SELECT {_QUESTION} AS question, count(DISTINCT conv_id) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING n > 1) SELECT CASE WHEN n >= 21 THEN 'critical' WHEN n >= 11 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_questions, sum(n)::BIGINT AS n_chunks FROM s GROUP BY 1",
+    "collision_severity": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), s AS (SELECT {_QUESTION} AS question, count(DISTINCT doc_id) AS n FROM l WHERE regexp_matches(text, '[^ \t\r\n]') GROUP BY 1 HAVING n > 1) SELECT CASE WHEN n >= 21 THEN 'critical' WHEN n >= 11 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_questions, sum(n)::BIGINT AS n_chunks FROM s GROUP BY 1",
     "token_overlap": f"WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS x FROM documents), b AS (SELECT item_id AS doc_id, list_distinct({_TOKENS}) AS y FROM benchmark), j AS (SELECT doc_id, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c FROM d JOIN b USING (doc_id)) SELECT doc_id, round(CASE WHEN a > 0 AND b > 0 THEN 2.0::DOUBLE * c / (a + b) ELSE 0 END, 6)::DOUBLE AS f1, round(CASE WHEN a > 0 AND b > 0 THEN c::DOUBLE / (a + b - c) ELSE 0 END, 6)::DOUBLE AS jaccard FROM j",
     "vector_search": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 10",
     "lexical_search": f"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS word FROM benchmark), c AS (SELECT word, doc_id, size, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY 1), g AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 8) AS score FROM q JOIN c USING (word) JOIN f USING (word), t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g) SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10",

@@ -1,0 +1,13 @@
+"""Queries that are asked for whole tables."""
+
+from quillstone.plans.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_collisions_of_document_lines(spark, tmp_path):
+    texts = ["Who?\n\nwho\nwhat is  this?", "WHO!\nonly here", "What is this\n \t\n", None, "", *["all of them"] * 21]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["collision_severity"](spark, str(tmp_path)).collect())
+    assert got == [("critical", 1, 21), ("low", 2, 4)]
+    assert QUERIES["collision_severity"](spark, DATA).count() > 0
