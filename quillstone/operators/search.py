@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +45,38 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     scored = weighed.select("word", "doc_id", weight.alias("w")).join(asked, "word").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 8).alias("score"))
     return top(scored, "query_id", k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
+
+
+def closest(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, f1 and jaccard of each row of docs (doc_id, words): the item of items (item_id, words) with the highest F1 of
+    the overlap of their sets of words, the least item_id of equals. Both scores are 0 if either set is empty or there is no item.
+
+    items is a stated set of queries, held whole by each worker: an index from words to items, so that one pass over a document's
+    words counts its overlap with every item. Jaccard rises with F1, so the item is the best by either.
+    """
+    asked = sorted((r.item_id, sorted(set(r.words))) for r in items.select("item_id", "words").filter("item_id is not null").collect())
+    shared = docs.sparkSession.sparkContext.broadcast(asked)  # the queries
+
+    def run(batches):
+        ids, n = [i for i, _ in shared.value], np.array([len(w) for _, w in shared.value], np.int64)
+        index = {}
+        for k, (_, words) in enumerate(shared.value):
+            for w in words:
+                index.setdefault(w, []).append(k)
+        index = {w: np.array(at) for w, at in index.items()}
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            best = []
+            for words in batch.column(1).to_pylist():
+                words = set(words)
+                hits = [index[w] for w in words if w in index]
+                if not ids or not words:
+                    best.append((min(ids, default=None), 0.0, 0.0))
+                    continue
+                met = np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), np.int64)
+                k = int((2.0 * met / (len(words) + n)).argmax())
+                best.append((ids[k], float(2.0 * met[k] / (len(words) + n[k])), float(met[k] / (len(words) + n[k] - met[k]))))
+            cols = [pa.array([b[i] for b in best], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "item_id", "f1", "jaccard"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.array_distinct("words").alias("words")).mapInArrow(run, f"doc_id {kind}, item_id bigint, f1 double, jaccard double")

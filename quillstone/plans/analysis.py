@@ -59,6 +59,13 @@ def token_overlap(spark, sf_dir):
     return both.select("doc_id", F.round(T.token_f1(F.col("text"), F.col("expected")), 6).alias("f1"), F.round(T.jaccard(T.alnum_words(F.col("text")), T.alnum_words(F.col("expected"))), 6).alias("jaccard"))
 
 
+def token_f1(spark, sf_dir):
+    """The closest benchmark item of every document, among all items."""
+    words = T.alnum_words(F.col("text")).alias("words")
+    found = search.closest(_read(spark, sf_dir, "documents").select("doc_id", words), _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), words))
+    return found.select("doc_id", "item_id", F.round("f1", 6).alias("f1"), F.round("jaccard", 6).alias("jaccard"))
+
+
 def vector_search(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -100,7 +107,7 @@ def rate_limit(spark, sf_dir):
     return review.limited(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", ((3, 3600), (20, 86400))).select("event_id", "user_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (text_forms, content_ids, rule_failures, citation_lists, duplicate_documents, question_collisions, collision_severity, token_overlap, vector_search, lexical_search, clean_history, stale_documents, baseline_report, event_percentiles, page_facts, rate_limit)}
+QUERIES = {f.__name__: f for f in (text_forms, content_ids, rule_failures, citation_lists, duplicate_documents, question_collisions, collision_severity, token_overlap, token_f1, vector_search, lexical_search, clean_history, stale_documents, baseline_report, event_percentiles, page_facts, rate_limit)}
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _QUESTION = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), '[ ?!.,;:]+$', ''))"
@@ -115,6 +122,7 @@ ORACLE_SQL = {
     "question_collisions": f"WITH s AS (SELECT {_QUESTION} AS question, count(DISTINCT conv_id) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING n > 1) SELECT CASE WHEN n >= 21 THEN 'critical' WHEN n >= 11 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_questions, sum(n)::BIGINT AS n_chunks FROM s GROUP BY 1",
     "collision_severity": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), s AS (SELECT {_QUESTION} AS question, count(DISTINCT doc_id) AS n FROM l WHERE regexp_matches(text, '[^ \t\r\n]') GROUP BY 1 HAVING n > 1) SELECT CASE WHEN n >= 21 THEN 'critical' WHEN n >= 11 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_questions, sum(n)::BIGINT AS n_chunks FROM s GROUP BY 1",
     "token_overlap": f"WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS x FROM documents), b AS (SELECT item_id AS doc_id, list_distinct({_TOKENS}) AS y FROM benchmark), j AS (SELECT doc_id, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c FROM d JOIN b USING (doc_id)) SELECT doc_id, round(CASE WHEN a > 0 AND b > 0 THEN 2.0::DOUBLE * c / (a + b) ELSE 0 END, 6)::DOUBLE AS f1, round(CASE WHEN a > 0 AND b > 0 THEN c::DOUBLE / (a + b - c) ELSE 0 END, 6)::DOUBLE AS jaccard FROM j",
+    "token_f1": f"WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_distinct({_TOKENS}) AS x FROM documents), b AS (SELECT item_id, list_distinct({_TOKENS}) AS y FROM benchmark), j AS (SELECT doc_id, r, item_id::BIGINT AS item_id, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c FROM d LEFT JOIN b ON true), s AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 2.0::DOUBLE * c / (a + b) ELSE 0 END AS f FROM j), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY f DESC, item_id) AS rank FROM s) SELECT doc_id, item_id, round(f, 6)::DOUBLE AS f1, round(CASE WHEN a > 0 AND b > 0 THEN c::DOUBLE / (a + b - c) ELSE 0 END, 6)::DOUBLE AS jaccard FROM k WHERE rank = 1",
     "vector_search": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 10",
     "lexical_search": f"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS word FROM benchmark), c AS (SELECT word, doc_id, size, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY 1), g AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 8) AS score FROM q JOIN c USING (word) JOIN f USING (word), t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g) SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10",
     "clean_history": "WITH m AS (SELECT *, coalesce(role = 'assistant' AND length(text) < 120, false) AS bad FROM conversations), n AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY conv_id ORDER BY turn), false) AS nxt FROM m) SELECT conv_id, turn, role FROM n WHERE NOT bad AND NOT (nxt AND role = 'user')",

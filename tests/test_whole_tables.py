@@ -11,3 +11,12 @@ def test_collisions_of_document_lines(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["collision_severity"](spark, str(tmp_path)).collect())
     assert got == [("critical", 1, 21), ("low", 2, 4)]
     assert QUERIES["collision_severity"](spark, DATA).count() > 0
+
+
+def test_every_document_meets_every_item(spark, tmp_path):
+    texts, items = ["a b c", "C d!", "", None, "x y", "b a"], [(3, "c d"), (1, "a b"), (2, "b, A"), (7, None)]
+    spark.createDataFrame(list(enumerate(texts, 100)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in QUERIES["token_f1"](spark, str(tmp_path)).collect())
+    assert got == [(100, 1, 0.8, 0.666667), (101, 3, 1.0, 1.0), (102, 1, 0.0, 0.0), (103, 1, 0.0, 0.0), (104, 1, 0.0, 0.0), (105, 1, 1.0, 1.0)]
+    assert QUERIES["token_f1"](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
