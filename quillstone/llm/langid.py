@@ -8,7 +8,9 @@ cross-entropy a character wins; a document is rejected if that is above a limit
 calibrated on documents the models haven't seen.
 
 The models are fitted on a bounded sample: about SAMPLE documents of each language,
-chosen by a hash of the id, and as many others for the calibration.
+chosen by a hash of the id, and as many others calibrate the limit. A language of at
+most 2 * SAMPLE documents is halved for the calibration: models of the lower half judge
+the upper half, and the final models still learn from SAMPLE documents, or all there are.
 """
 
 from __future__ import annotations
@@ -133,31 +135,37 @@ def fit(docs, may_learn=None, sample: int = SAMPLE) -> Model:
     every document is und."""
     taught = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     taught = taught.filter(may_learn) if may_learn is not None else taught
-    sizes = dict(taught.groupBy("lang").count().collect())
     at = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = {r.lang: (r.n, r.mid) for r in taught.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx(at, 0.5).alias("mid")).collect()}
     if not sizes:
         return Model({})
-    share = F.lit(float(sample)) / F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
-    part = F.when(at < share, 0).when(at < 2 * share, 1)
+    by_lang = lambda f: F.element_at(F.create_map(*[F.lit(x) for lang, of in sizes.items() for x in (lang, float(f(*of)))]), F.col("lang"))
+    # Below half: learnt by all models; from there to twice the share: for the calibration; below share: learnt by the final models.
+    half = by_lang(lambda n, mid: sample / n if n > 2 * sample else mid + 0.5 / (1 << 30))
+    share = by_lang(lambda n, _: sample / n)
 
     def grams(batches):
         for batch in batches:
-            seen: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen: dict[tuple[str, bool], Counter] = {}
+            for text, *group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = letters(text)
                 if len(codes):
                     keys, n = np.unique(_pack(codes[:-2], codes[1:-1], codes[2:]), return_counts=True)
-                    seen.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-            rows = [(lang, k, n) for lang, c in seen.items() for k, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
+                    seen.setdefault(tuple(group), Counter()).update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            rows = [(*g, k, n) for g, c in seen.items() for k, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["lang", "low", "gram", "n"])
 
-    chosen = taught.withColumn("_part", part).select("text", "lang", "_part")
-    counted = chosen.filter("_part = 0").select("text", "lang").mapInArrow(grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    chosen = taught.select("text", "lang", (at < half).alias("low"), (at < share).alias("learnt"), (at < 2 * share).alias("near"))
+    counted = chosen.filter("low or learnt").select("text", "lang", "low").mapInArrow(grams, "lang string, low boolean, gram bigint, n bigint").groupBy("lang", "low", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {}
-    for lang, gram, n in counted.collect():  # bounded by the sample
-        counts.setdefault(lang, Counter())[gram] = n
+    lows: dict[str, Counter] = {}
+    for lang, low, gram, n in counted.collect():  # bounded by the sample
+        for c in (counts, lows) if low else (counts,):
+            c.setdefault(lang, Counter())[gram] += n
     model = Model(counts)
-    unseen = predict(chosen.filter("_part = 1").select(F.lit(0).cast("long").alias("doc_id"), "text"), model).filter("lang_pred <> 'und'").agg(F.percentile_approx("cross_entropy", QUANTILE)).head()[0]
+    judge = model if lows == counts else Model(lows)
+    others = chosen.filter("near and not low").filter(F.col("lang").isin(judge.langs))  # a language that judge lacks would only raise the limit
+    unseen = predict(others.select(F.lit(0).cast("long").alias("doc_id"), "text"), judge).filter("lang_pred <> 'und'").agg(F.percentile_approx("cross_entropy", QUANTILE)).head()[0]
     if unseen is not None:
         model.limit = unseen * MARGIN
     return model
