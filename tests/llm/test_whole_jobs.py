@@ -16,3 +16,15 @@ def test_small_tables_calibrate_the_limit(spark):
     assert {r.rejected for r in langid.predict(odd, model).collect()} == {True}
     two = docs.filter("lang = 'en'").limit(2)
     assert math.isfinite(langid.fit(two).limit) and langid.fit(docs.limit(1)).limit == math.inf
+
+
+def test_decoded_text_is_made_from_ids(spark, tmp_path):
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    wrong = spec["model"]["vocab"]["the</w>"]
+    spec["added_tokens"].append({"content": "<|wrong|>", "id": wrong})  # the id of "the" now means something else
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    docs = spark.createDataFrame([(1, "the")], "doc_id int, text string")
+    assert bpe.encode_docs(docs, str(path)).head().decoded == "<|wrong|>"
+    assert bpe.digests(docs, str(path)).head().decoded_sha256 == bpe.hashlib.sha256(b"<|wrong|>").hexdigest()
