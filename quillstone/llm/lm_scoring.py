@@ -6,15 +6,17 @@ of the background, and one place for the unknown. A document's score is its loss
 token under the target less that under the background: lower is more like the target.
 
 The models are a table of the counts of all words and word pairs, by hashes of 63
-bits, packed by bucket of hashes; nothing of them is broadcast or collected but three
-totals, and they grow with the corpus. Documents are packed into chunks; a chunk asks
-each bucket once for the counts of what its documents hold, so that a common word is
-one entry of a chunk.
+bits; nothing of them is broadcast or collected but three totals, and they grow with the
+corpus. Documents are packed into chunks; a chunk sends the counts of what its documents
+hold, once a word or pair, to buckets of hashes, and is told the sums (chunks.tally, in
+two levels beyond chunks.MOST buckets), so that a common word is one entry of a chunk,
+and of a group of chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks as C
 from .chunks import batch_of, chunks, inflate, pack, unpack
 from .common import materialise, shuffle_partitions, table
 
@@ -29,18 +32,30 @@ from .common import materialise, shuffle_partitions, table
 ADD, PRIOR = 0.5, 20.0
 #: Bytes of text that a bucket stands for.
 BUCKET = 32 << 20
+#: Bits of a hash.
+BITS = 63
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = re.compile(r"\s")
 
 
 @dataclass
 class Models:
-    """counts: (bucket, model: sorted hashes, counts in the background and in the target); words have even hashes, pairs odd ones."""
+    """counted: what each chunk of the background holds (chunk < 0, bucket, counts: hashes, and how often they occur in it and in its
+    documents of the target); words have even hashes, pairs odd ones."""
 
-    counts: DataFrame
+    counted: DataFrame
     n_buckets: int
-    n_words: int
-    n_all: int
-    n_target: int
+    parts: int
+
+
+def words_of(text: str, piece: int = 1 << 20):
+    """Lists of the lower-case words of text, a piece at a time: what a very long text takes beside itself is bounded."""
+    low, begin = text.lower(), 0
+    while begin < len(low):
+        blank = _BLANK.search(low, begin + piece) if len(low) - begin > piece else None
+        end = blank.start() if blank else len(low)
+        yield low[begin:end].split()
+        begin = end
 
 
 class _Chunk:
@@ -50,9 +65,10 @@ class _Chunk:
         self.has, self.ids, self.lengths = unpack(docs, 3)
         raw, seen, tokens, self.n_tokens, end = inflate(texts), {}, [], [], 0
         for k in self.lengths.tolist():
-            found = raw[end : end + k].decode("utf-8").lower().split()
-            tokens += [seen.setdefault(w, len(seen)) for w in found]
-            self.n_tokens.append(len(found))
+            before = len(tokens)
+            for found in words_of(raw[end : end + k].decode("utf-8")):
+                tokens += [seen.setdefault(w, len(seen)) for w in found]
+            self.n_tokens.append(len(tokens) - before)
             end += k
         self.tokens, n = np.array(tokens, np.int64), len(seen)
         self.owner = np.repeat(np.arange(len(self.lengths)), self.n_tokens)
@@ -66,8 +82,7 @@ class _Chunk:
         keys = np.concatenate([(words >> one) & ~one, (h >> one) | one]).astype(np.int64)
         self.n_words, self.order = n, np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
-        edges = np.array([(b << 63) // n_buckets for b in range(1, n_buckets)], np.int64)
-        self.cuts = [0, *np.searchsorted(self.keys, edges).tolist(), len(keys)]
+        self.cuts = C.cuts(self.keys, n_buckets, BITS)
 
     def counts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs, and how often in flagged documents."""
@@ -95,64 +110,27 @@ class _Chunk:
         return out
 
 
-def _unsorted(blobs: list[bytes]) -> list[list[np.ndarray]]:
-    """Arrays of packed rows, the hashes (kept as differences) first."""
-    every = [unpack(b, 3) for b in blobs]
-    return [[np.cumsum(x[0]), *x[1:]] for x in every]
-
-
-def _summed(cols: list[list[np.ndarray]]):
-    """The sorted hashes of a bucket, the places in them of the rows' hashes, and their counts."""
-    keys, at = np.unique(np.concatenate([c[0] for c in cols]), return_inverse=True)
-    n, t = (np.bincount(at, np.concatenate([c[i] for c in cols]), len(keys)).astype(np.int64) for i in (1, 2))
-    word = keys % 2 == 0
-    return keys, at, n, t, (int(word.sum()), int(n[word].sum()), int(t[word].sum()))
-
-
-_TOTALS = {"n_words": pa.int64(), "n_all": pa.int64(), "n_target": pa.int64()}
-
+def _totals(keys: np.ndarray, sums: list[np.ndarray]) -> list[int]:
+    """Words of the background, their occurrences, and those in the target."""
+    word = (keys % 2 == 0) & (sums[0] > 0)
+    return [int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
 
-def _add(key, rows):
-    """All counts of a bucket as one row, with its words and their occurrences."""
-    keys, _, n, t, totals = _summed(_unsorted(rows.column("counts").to_pylist()))
-    return pa.Table.from_batches([batch_of({"bucket": pa.int64(), "model": pa.binary()} | _TOTALS, [(key[0].as_py(), pack(np.diff(keys, prepend=0), n, t), *totals)])])
 
-
-def _add_and_tell(key, rows):
-    """For each chunk the summed counts of its hashes in a bucket; the first row has the bucket's totals too."""
-    cols = _unsorted(rows.column("counts").to_pylist())
-    _, at, n, t, totals = _summed(cols)
-    ends, out = np.cumsum([len(c[0]) for c in cols]).tolist(), []
-    for c, b, i, j in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), [0, *ends], ends, strict=False):
-        out.append((c, b, pack(n[at[i:j]], t[at[i:j]]), *(totals if not out else (0, 0, 0))))
-    return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()} | _TOTALS, out)])
-
-
-def _tell(key, asked, models):
-    """For each chunk the counts of its hashes in a bucket."""
-    model = [np.concatenate(x) for x in zip(*_unsorted(models.column("model").to_pylist()), strict=True)] or [np.zeros(0, np.int64)] * 3
-    rows = []
-    for c, b, blob in zip(*(asked.column(x).to_pylist() for x in ("chunk", "bucket", "counts")), strict=True):
-        want = np.cumsum(unpack(blob, 1)[0])
-        at = np.minimum(np.searchsorted(model[0], want), max(0, len(model[0]) - 1))
-        hit = model[0][at] == want if len(model[0]) else np.zeros(len(want), bool)
-        rows.append((c, b, pack(*(np.where(hit, m[at], 0) if len(m) else np.zeros(len(want)) for m in model[1:]))))
-    return pa.Table.from_batches([batch_of({"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}, rows)])
-
-
-_ASKED = {"chunk": pa.int64(), "bucket": pa.int64(), "counts": pa.binary()}
+def _tally(asked: DataFrame, n_buckets: int, parts: int) -> tuple[DataFrame, tuple[int, int, int]]:
+    told, totals = C.tally(asked, 2, n_buckets, parts, BITS, _totals, lambda sums: pack(*sums), "lm-told")
+    return told, tuple(totals or (0, 0, 0))
 
 
 def _asked(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """The hashes of each chunk, by bucket."""
+    """The hashes of each chunk, by bucket, with counts of 0."""
 
     def run(batches):
         for batch in batches:
             for c, docs, texts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 chunk = _Chunk(docs, texts, n_buckets)
-                yield batch_of(_ASKED, [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0))) for b, i, j in chunk.slices()])
+                yield batch_of(C.ASKED, [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0), *[np.zeros(j - i)] * 2)) for b, i, j in chunk.slices()])
 
-    return packed.select("chunk", "docs", "texts").mapInArrow(run, "chunk bigint, bucket bigint, counts binary")
+    return packed.select("chunk", "docs", "texts").mapInArrow(run, C.ASKED_SQL)
 
 
 def _counted(packed: DataFrame, target: DataFrame, n_buckets: int) -> DataFrame:
@@ -170,48 +148,41 @@ def _counted(packed: DataFrame, target: DataFrame, n_buckets: int) -> DataFrame:
             chunk = _Chunk(docs, texts, n_buckets)
             n, t = chunk.counts((chunk.has == 1) & np.isin(chunk.ids, good))
             rows += [(c, b, pack(np.diff(chunk.keys[i:j], prepend=0), n[i:j], t[i:j])) for b, i, j in chunk.slices()]
-        return pa.Table.from_batches([batch_of(_ASKED, rows)])
+        return pa.Table.from_batches([batch_of(C.ASKED, rows)])
 
     flagged = packed.select("chunk", "docs").mapInArrow(ids, "chunk bigint, doc_id bigint").join(target.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
-    return packed.groupBy("chunk").cogroup(flagged.groupBy("chunk")).applyInArrow(run, "chunk bigint, bucket bigint, counts binary")
+    return packed.groupBy("chunk").cogroup(flagged.groupBy("chunk")).applyInArrow(run, C.ASKED_SQL)
 
 
-def _buckets(packed: DataFrame) -> int:
+def _buckets(packed: DataFrame, most: int) -> tuple[int, int]:
     total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
-    return max(shuffle_partitions(packed.sparkSession), -(-total // BUCKET))
-
-
-def _totals(counts: DataFrame) -> tuple[int, int, int]:
-    return tuple(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _TOTALS)).head())
+    return C.levels(max(shuffle_partitions(packed.sparkSession), -(-total // BUCKET)), most)
 
 
-def fit(docs: DataFrame, target: DataFrame) -> Models:
+def fit(docs: DataFrame, target: DataFrame, most: int = C.MOST, chunk: int = C.CHUNK) -> Models:
     """docs: (doc_id: a whole number, text); target: the doc_id of the target's documents. A null text is empty; a row with a null id
-    is none of the target."""
-    packed = chunks(docs, "lm-chunks")
-    n_buckets = _buckets(packed)
-    counts = _counted(packed, target, n_buckets).groupBy("bucket").applyInArrow(_add, "bucket bigint, model binary, n_words bigint, n_all bigint, n_target bigint")
-    counts = materialise(counts, "lm-counts")
-    return Models(counts.select("bucket", "model"), n_buckets, *_totals(counts))
+    is none of the target. most: the buckets that a chunk of so many bytes sends to at once."""
+    packed = chunks(docs, "lm-chunks", chunk)
+    n_buckets, parts = _buckets(packed, most)
+    counted = _counted(packed, target, n_buckets).withColumn("chunk", -1 - F.col("chunk"))
+    return Models(materialise(counted, "lm-counted"), n_buckets, parts)
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
+def score(docs: DataFrame, models: Models, chunk: int = C.CHUNK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of docs (doc_id: a whole number, text). A text
-    without words, or null, has no tokens and scores 0. Repeated rows, and rows with a null id, score alike; an empty table gives an
-    empty result."""
-    packed = chunks(docs, "lm-chunks")
-    asked = _asked(packed, models.n_buckets)
-    told = asked.groupBy("bucket").cogroup(models.counts.groupBy("bucket")).applyInArrow(_tell, "chunk bigint, bucket bigint, counts binary")
-    return _scored(packed, told, models.n_buckets, (models.n_words, models.n_all, models.n_target))
+    without words, or null, has no tokens and scores 0. Repeated rows, and rows with a null id, score alike; other columns are not
+    carried, whatever their names; an empty table gives an empty result."""
+    packed = chunks(docs, "lm-chunks", chunk)
+    told, totals = _tally(models.counted.unionByName(_asked(packed, models.n_buckets)), models.n_buckets, models.parts)
+    return _scored(packed, told.filter("chunk >= 0"), models.n_buckets, totals)
 
 
-def fit_and_score(docs: DataFrame, target: DataFrame) -> DataFrame:
+def fit_and_score(docs: DataFrame, target: DataFrame, most: int = C.MOST, chunk: int = C.CHUNK) -> DataFrame:
     """score(docs, fit(docs, target)), with hashes and counts moved once."""
-    packed = chunks(docs, "lm-chunks")
-    n_buckets = _buckets(packed)
-    told = _counted(packed, target, n_buckets).groupBy("bucket").applyInArrow(_add_and_tell, "chunk bigint, bucket bigint, counts binary, n_words bigint, n_all bigint, n_target bigint")
-    told = materialise(told, "lm-told")
-    return _scored(packed, told.select("chunk", "bucket", "counts"), n_buckets, _totals(told))
+    packed = chunks(docs, "lm-chunks", chunk)
+    n_buckets, parts = _buckets(packed, most)
+    told, totals = _tally(_counted(packed, target, n_buckets), n_buckets, parts)
+    return _scored(packed, told, n_buckets, totals)
 
 
 def _scored(packed: DataFrame, told: DataFrame, n_buckets: int, totals: tuple[int, int, int]) -> DataFrame:
