@@ -1,7 +1,7 @@
 """N-gram Jaccard join by MinHash banding.
 
-A document is the set of its N-word shingles. Documents of equal sets are one class
-and meet once. Rows a band and the number of bands follow from the threshold
+A document is the set of its N-word shingles. Documents of equal sets are one node,
+known by its least doc_id and its set's hash, and meet once. Rows a band and the number of bands follow from the threshold
 and the target recall at it. Classes that share a band meet by a shuffle on the
 band's hash; the smallest label spreads over the bands to candidate groups, each
 class's full set, made anew from its text, goes to its group once for each pair of
@@ -16,16 +16,18 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import WORD, filtered_joins, materialise, slices, table, whole
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
-#: Classes in a block: a task holds the sets of two blocks.
-BLOCK = 256
+#: Classes in a block, and shingles: a task holds the sets of two blocks.
+BLOCK, SHINGLES = 256, 1 << 20
+#: Edges of a hub beyond which it is split.
+SPLIT = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,9 +57,9 @@ def _signatures(n_rows: int):
 
 
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
-    """columns of docs, and h: the hashes of its text's words."""
+    """columns of docs, and _near_hashes: those of its text's words."""
     words = F.regexp_extract_all(whole("text"), F.lit(f"({WORD})"), F.lit(1))
-    return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("_near_hashes"))
 
 
 def _shingles(hashes: pa.Array, n: int):
@@ -74,39 +76,63 @@ def _shingles(hashes: pa.Array, n: int):
 
 
 def _key(shingles: np.ndarray) -> bytes:
-    return hashlib.sha256(shingles.tobytes()).digest()
+    return hashlib.sha256(shingles.tobytes()).digest()[:16]
+
+
+def _id(doc_id: str, key: str) -> Column:
+    """16 bytes for a different set of shingles: its least doc_id, so that ids are ordered as these, and 8 bytes of its key, so that
+    different texts of one doc_id are told apart."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.substring(F.col(key), 1, 8))
+
+
+def _doc_id(id_: str) -> Column:
+    return (F.conv(F.hex(F.substring(F.col(id_), 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
 
 
 def signed(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, key (of the set of shingles; null if that is empty) and hubs (the hashes of its bands) of each row. Sets stay behind."""
+    """doc_id, key (of the set of shingles; null if that is empty), size of the set and hubs (the hashes of its bands) of each row. Sets
+    stay behind."""
 
     def run(batches):
         signer, numbers = _signatures(rows * bands), np.arange(bands, dtype=np.uint64) * _ODD
         for batch in slices(batches):
-            keys, hubs = [], []
+            keys, sizes, hubs = [], [], []
             for s in _shingles(batch.column(1), n):
                 h = numbers.copy()
                 sig = signer(s).reshape(bands, rows)
                 for j in range(rows):
                     h = _mix(h ^ sig[:, j])
                 keys.append(_key(s) if len(s) else None)
+                sizes.append(len(s))
                 hubs.append(h.view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(hubs, pa.list_(pa.int64()))], ["doc_id", "key", "hubs"])
+            cols = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hubs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "key", "size", "hubs"])
 
-    return _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, key binary, hubs array<bigint>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _hashed(slim, "doc_id").mapInArrow(run, "doc_id bigint, key binary, size bigint, hubs array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id and set of each row (id, key) of wanted: made anew from the texts, so that only sets with candidates are ever moved."""
+    """id and set of each row (id, doc_id, key) of wanted: made anew from the texts, so that only sets with candidates are ever moved."""
 
     def run(batches):
         for batch in slices(batches):
-            made = [(i, s.tobytes()) for i, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _shingles(batch.column(2), n), strict=True) if _key(s) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            made = [(i, s.tobytes()) for i, key, s in zip(ids, keys, _shingles(batch.column(2), n), strict=True) if _key(s) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
 
     # The condition always holds; the optimizer makes a Bloom filter only of a side that has one.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.filter("copies > 0").select("id", "key"), "id")
-    return _hashed(texts, "id", "key").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.filter("copies > 0").select("id", "doc_id", "key"), "doc_id")
+    return _hashed(texts, "id", "key").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
+
+
+def split_hubs(edges: DataFrame) -> DataFrame:
+    """edges (id, hub, m: the edges of the hub) as (id, hub: struct): a hub of many edges becomes about sqrt(m) hubs of as many, and one
+    of their least ids, so that no task reads all edges of a hub. What is connected stays the same."""
+    salt = F.when(F.col("m") > SPLIT, F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("m")).cast("long"))).otherwise(F.lit(-1).cast("long"))
+    dealt = edges.select("id", F.struct("hub", salt.alias("salt")).alias("hub"))
+    tops = dealt.filter("hub.salt >= 0").groupBy("hub").agg(F.min("id").alias("id"))
+    return dealt.unionByName(tops.select("id", F.struct("hub.hub", F.lit(-1).cast("long").alias("salt")).alias("hub")))
 
 
 def components(nodes: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
@@ -152,10 +178,10 @@ def _verify(threshold: float):
         if same:
             np.fill_diagonal(link, False)
         ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        rows = [(int(i), int(n), None) for i, n in zip(ids_a, link @ b["copies"].to_numpy(), strict=True)]
+        rows = [(i, int(n), None) for i, n in zip(ids_a, link @ b["copies"].to_numpy(), strict=True)]
         if not same:
-            rows += [(int(i), int(n), None) for i, n in zip(ids_b, link.T @ a["copies"].to_numpy(), strict=True)]
-        parent: dict[int, int] = {}
+            rows += [(i, int(n), None) for i, n in zip(ids_b, link.T @ a["copies"].to_numpy(), strict=True)]
+        parent: dict[bytes, bytes] = {}
 
         def root(x):
             while parent.setdefault(x, x) != x:
@@ -164,54 +190,87 @@ def _verify(threshold: float):
             return x
 
         for i, j in zip(*np.nonzero(link), strict=True):
-            x, y = root(int(ids_a[i])), root(int(ids_b[j]))
+            x, y = root(ids_a[i]), root(ids_b[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
         rows += [(x, 0, root(x)) for x in list(parent)]
-        return pa.Table.from_pandas(pd.DataFrame(rows, columns=["id", "n", "hub"]).astype({"id": "int64", "n": "int64", "hub": "Int64"}), preserve_index=False)
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+        return pa.Table.from_arrays(cols, ["id", "n", "hub"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, class_id (the least doc_id that links lead to), copy_of (the least doc_id with
-    the same shingles) and n_links: how many other documents have a Jaccard similarity of at least threshold with it, copies included.
-
-    Null and empty texts, and null ids, link to nothing. doc_id is taken to be unique: of several texts with one id, that with the
-    least key is compared. Repeated rows are copies of each other. An empty table gives an empty result.
-    """
+def _joined(docs: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
+    """doc_id, key, label (the least id of the class), copy (the id of its own set) and n_links for each row of docs."""
     bands = bands_for(threshold, recall, rows)
     every = materialise(signed(docs, n, rows, bands), "near-signed")
     known = every.filter("key is not null and doc_id is not null")
-    copies = known.groupBy("key").agg(F.min(F.struct("doc_id", "hubs")).alias("first"), F.count("*").alias("copies"))
-    copies = materialise(copies.select("key", F.col("first.doc_id").alias("id"), "first.hubs", "copies"), "near-copies")
+    copies = known.groupBy("key").agg(F.min(F.struct("doc_id", "size", "hubs")).alias("first"), F.count("*").alias("copies"))
+    copies = copies.select("key", "first.doc_id", "first.size", "first.hubs", "copies").withColumn("id", _id("doc_id", "key"))
+    copies = materialise(copies, "near-copies")
     bound = copies.select("id", F.explode("hubs").alias("hub"))
-    shared = bound.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1").select("hub")
-    edges = materialise(bound.join(shared, "hub"), "near-edges")
+    shared = bound.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1")
+    edges = materialise(split_hubs(bound.join(shared, "hub")), "near-edges")
     groups = components(edges.select("id").distinct(), edges, "near-groups").withColumnRenamed("label", "grp")
-    # Blocks of a group: by a hash, in as many parts as its size asks for; each pair of parts is a task's work.
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    firsts = copies.groupBy("id").agg(F.min(F.struct("key", "copies")).alias("k")).select("id", "k.key", "k.copies")
-    placed = materialise(groups.join(sizes, "grp").join(firsts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "near-placed")
+    # Blocks of a group: by a hash, in as many parts as its sets or their shingles ask for; each pair of parts is a task's work.
+    slim = groups.join(copies.select("id", "doc_id", "key", "size", "copies"), "id")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES))
+    placed = slim.join(slim.groupBy("grp").agg(parts.alias("parts")), "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    placed = materialise(placed, "near-placed")
     work = placed.select("id", "copies", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
+    side = F.when(F.col("part") <= F.col("other"), 0).otherwise(1)
+    work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), side.alias("side"))
     work = work.join(sets_of(docs, placed, n), "id")
     with filtered_joins(docs.sparkSession):
-        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
+        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id binary, n bigint, hub binary"), "near-links")
     links = done.groupBy("id").agg(F.sum("n").alias("n"))
     hubs = done.filter("hub is not null").select("id", "hub")
     classes = components(hubs.select("id").distinct(), hubs, "near-classes")
     reps = copies.join(links, "id", "left").join(classes, "id", "left")
-    reps = reps.select("key", F.col("id").alias("copy_of"), F.coalesce("label", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = every.select("doc_id", "key").join(reps, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    reps = reps.select("key", F.col("id").alias("copy"), F.coalesce("label", "id").alias("label"), n_links.alias("n_links"))
+    return every.select("doc_id", "key").join(reps, "key", "left")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each class; columns as in docs. Of rows with the same id and class one stays; rows without id stay."""
-    joined = jaccard_join(docs.select("doc_id", "text")).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(joined, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, class_id (the least doc_id that links lead to), copy_of (the least doc_id with
+    the same shingles) and n_links: how many other rows have a Jaccard similarity of at least threshold with it, copies included.
+
+    Null and empty texts, and rows with a null id, link to nothing. Different texts of one doc_id are judged each by itself, and link
+    if they are alike; repeated rows are copies of each other. Of a very long text only the shingles' hashes are held. Other columns of
+    docs are not carried, whatever their names. An empty table gives an empty result.
+    """
+    out = _joined(docs, n, threshold, recall, rows).withColumn("known", F.col("doc_id").isNotNull())
+    class_id, copy_of, links = F.when(F.col("known"), _doc_id("label")), F.when(F.col("known"), _doc_id("copy")), F.when(F.col("known"), F.col("n_links"))
+    return out.select("doc_id", F.coalesce(class_id, "doc_id").alias("class_id"), F.coalesce(copy_of, "doc_id").alias("copy_of"), F.coalesce(links, F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """One row of each class, that with the least doc_id; columns as in docs. Of repeated rows, equal in doc_id and shingles, one stays.
+    Rows without an id, and those without words, are classes of their own: all of them stay. Different texts of one doc_id stay or go
+    each by its own class."""
+    joined = _joined(docs.select("doc_id", "text"), n, threshold, recall, rows).filter("doc_id is not null")
+    won = (F.col("key").isNull()) | ((F.col("copy") == F.col("label")) & (F.col("doc_id") == _doc_id("label")))
+    joined = materialise(joined.select("doc_id", "key", won.alias("won")), "near-won")
+    many = joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("won").alias("won")).filter("won")
+    out = docs.join(many.filter("n = 1").select(F.col("doc_id").alias("_near_only")), F.col("doc_id").cast("long") == F.col("_near_only"), "left_semi")
+    # The few ids of several rows: their keys are made anew, to tell which of the texts won.
+    again = docs.join(many.filter("n > 1").select(F.col("doc_id").alias("_near_only")), F.col("doc_id").cast("long") == F.col("_near_only"), "left_semi")
+    names = docs.columns
+
+    def keyed(batches):
+        for batch in slices(batches):
+            keys = [_key(s) if len(s) else None for s in _shingles(batch.column(len(names)), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(keys, pa.binary())], [*names, "_near_key"])
+
+    again = _hashed(again, *names)
+    schema = StructType([*docs.schema.fields, StructField("_near_key", BinaryType())])
+    again = again.mapInArrow(keyed, schema)
+    winners = joined.filter("won and key is not null").select(F.col("doc_id").alias("_near_won_id"), F.col("key").alias("_near_won_key")).distinct()
+    won_by = (F.col("doc_id").cast("long") == F.col("_near_won_id")) & (F.col("_near_key") == F.col("_near_won_key"))
+    texts = again.join(winners, won_by, "left_semi").dropDuplicates(["doc_id", "_near_key"]).drop("_near_key")
+    blank = again.filter("_near_key is null").drop("_near_key")
+    return out.unionByName(texts).unionByName(blank).unionByName(docs.filter("doc_id is null"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
