@@ -4,13 +4,15 @@ One trigram model a language, over lower-cased letters with every run of other
 characters as one blank. The n-grams of all languages are packed into 64-bit keys
 and kept as sorted arrays with a row of log probabilities, a column a language, so
 that one search of a key serves all languages. The language with the lowest
-cross-entropy a character wins; a document is rejected if that is above a limit
-calibrated on documents the models haven't seen.
+cross-entropy a character wins; a document is rejected if that is above the limit of
+that language, calibrated on documents the models haven't seen.
 
 The models are fitted on a bounded sample: about SAMPLE documents of each language,
 chosen by a hash of the id, and as many others calibrate the limit. A language of at
 most 2 * SAMPLE documents is halved for the calibration: models of the lower half judge
 the upper half, and the final models still learn from SAMPLE documents, or all there are.
+What the driver collects and broadcasts is bounded by the sample: the distinct n-grams of at
+most SAMPLE whole documents a language, of at most LANGS languages.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, whole
 
 SAMPLE = 400
+#: More languages than these are refused with an error, not dropped.
+LANGS = 1000
 DISCOUNT = 0.75
 #: The limit of rejection: this quantile of the calibration's cross-entropies times MARGIN.
 QUANTILE, MARGIN = 0.999, 1.2
@@ -95,7 +99,7 @@ class Model:
         self.k1, self.v1 = self._table(sorted({*chars, 0}), [p.__getitem__ for p in p1s])
         self.h1, self.w1 = self._table(sorted({h for b in b1s for h in b}), [lambda h, b=b: b.get(h, 1.0) for b in b1s])
         self.h2, self.w2 = self._table(sorted({h for b in b2s for h in b}), [lambda h, b=b: b.get(h, 1.0) for b in b2s])
-        self.limit = float("inf")
+        self.limits = np.full(len(self.langs), np.inf)
 
     @staticmethod
     def _table(keys, columns):
@@ -127,18 +131,22 @@ class Model:
         ce = self.cross_entropies(codes)
         best = int(ce.argmin())  # a tie goes to the first language by name
         score = float(1 / np.exp(-(ce - ce[best]) * min(len(codes), 100)).sum())
-        return self.langs[best], score, float(ce[best]), bool(ce[best] > self.limit)
+        return self.langs[best], score, float(ce[best]), bool(ce[best] > self.limits[best])
 
 
 def fit(docs, may_learn=None, sample: int = SAMPLE) -> Model:
-    """A model of docs (doc_id, text, lang). may_learn: a condition; rows without lang never teach. Without any row to learn from,
-    every document is und."""
+    """A model of docs (doc_id, text, lang). may_learn: a condition; rows without lang or text never teach. Rows are chosen by a hash of
+    their id, so that repeated rows teach together; rows with a null id are chosen alike. Without any row to learn from, as in an empty
+    table, every document is und. A language that nothing can calibrate, as with a single document, has the greatest limit of the
+    others, and none if there is no other. Other columns play no part, whatever their names."""
     taught = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     taught = taught.filter(may_learn) if may_learn is not None else taught
     at = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sizes = {r.lang: (r.n, r.mid) for r in taught.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx(at, 0.5).alias("mid")).collect()}
     if not sizes:
         return Model({})
+    if len(sizes) > LANGS:
+        raise ValueError(f"{len(sizes)} languages, of at most {LANGS}")
     by_lang = lambda f: F.element_at(F.create_map(*[F.lit(x) for lang, of in sizes.items() for x in (lang, float(f(*of)))]), F.col("lang"))
     # Below half: learnt by all models; from there to twice the share: for the calibration; below share: learnt by the final models.
     half = by_lang(lambda n, mid: sample / n if n > 2 * sample else mid + 0.5 / (1 << 30))
@@ -165,9 +173,11 @@ def fit(docs, may_learn=None, sample: int = SAMPLE) -> Model:
     model = Model(counts)
     judge = model if lows == counts else Model(lows)
     others = chosen.filter("near and not low").filter(F.col("lang").isin(judge.langs))  # a language that judge lacks would only raise the limit
-    unseen = predict(others.select(F.lit(0).cast("long").alias("doc_id"), "text"), judge).filter("lang_pred <> 'und'").agg(F.percentile_approx("cross_entropy", QUANTILE)).head()[0]
-    if unseen is not None:
-        model.limit = unseen * MARGIN
+    judged = predict(others.select(F.lit(0).cast("long").alias("doc_id"), "text"), judge).filter("lang_pred <> 'und'")
+    limits = dict(judged.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", QUANTILE)).collect())  # one row a language
+    if limits:
+        greatest = max(limits.values())
+        model.limits = np.array([limits.get(lang, greatest) * MARGIN for lang in model.langs])
     return model
 
 
@@ -178,7 +188,8 @@ def _shared(docs, model: Model):
 
 def predict(docs, model: Model):
     """doc_id, lang_pred, score, cross_entropy, rejected for each row of docs (doc_id, text). A text that is null or has no letter is und,
-    with score 0, and rejected. Every row is judged by its text alone, whole."""
+    with score 0, and rejected. Every row is judged by its text alone, whole: repeated rows, and rows with a null id, alike. Other columns
+    are not carried, whatever their names. An empty table gives an empty result."""
     shared = _shared(docs, model)  # bounded by the sample that it was fitted on
 
     def run(batches):
