@@ -1,4 +1,4 @@
-"""Duplicate groups, sync gates, history and evaluation reports."""
+"""Duplicate groups, history and the sliding-window limiter over a table of events."""
 
 from __future__ import annotations
 
@@ -14,34 +14,19 @@ def duplicate_groups(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(order).alias("survivor")).filter("n > 1")
 
 
-def stale_plan(stored: DataFrame, fresh: DataFrame, key: str, at_least: int = 3, share: float = 0.1) -> DataFrame:
-    """One row: n_stored, n_vanished and aborted: at_least keys or more vanished, and more than share of all."""
-    gone = stored.select(key).distinct().join(fresh.select(key).distinct().withColumn("_here", F.lit(1)), key, "left")
-    counts = gone.agg(F.count("*").alias("n_stored"), F.count_if(F.col("_here").isNull()).alias("n_vanished"))
-    return counts.withColumn("aborted", (F.col("n_vanished") >= at_least) & (F.col("n_vanished") > share * F.col("n_stored")))
-
-
 def clean_history(turns: DataFrame, refused: Column) -> DataFrame:
     """turns (conv_id, turn, role, ...) without refused assistant turns and the user turn right before each."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    marked = turns.withColumn("_bad", F.coalesce((F.col("role") == "assistant") & refused, F.lit(False)))
+    marked = turns.withColumn("_bad", F.coalesce((F.lower("role") == "assistant") & refused, F.lit(False)))
     marked = marked.withColumn("_next", F.coalesce(F.lead("_bad").over(order), F.lit(False)))
-    return marked.filter(~F.col("_bad") & ~(F.col("_next") & (F.col("role") == "user"))).drop("_bad", "_next")
-
-
-def against_baseline(baseline: DataFrame, current: DataFrame, band: float = 0.03, lower_is_better: str = "(latency|cost|error)") -> DataFrame:
-    """metric, delta (signed share of the baseline; null where that is 0 or missing) and verdict, of two tables (metric, value)."""
-    b, c = baseline.select("metric", F.col("value").alias("_b")), current.select("metric", F.col("value").alias("_c"))
-    delta = (F.col("_c") - F.col("_b")) / F.when(F.col("_b") != 0, F.abs("_b"))
-    gain = F.when(F.col("metric").rlike(lower_is_better), -F.col("delta")).otherwise(F.col("delta"))
-    verdict = F.when(F.col("delta").isNull(), "unknown").when(gain > band, "better").when(gain < -band, "worse").otherwise("same")
-    return b.join(c, "metric", "full_outer").withColumn("delta", delta).select("metric", F.round("delta", 6).alias("delta"), verdict.alias("verdict"))
+    return marked.filter(~F.col("_bad") & ~(F.col("_next") & (F.lower("role") == "user"))).drop("_bad", "_next")
 
 
 def limited(events: DataFrame, key: str, at: str, order: str, limits: tuple[tuple[int, int], ...] = ((10, 60), (100, 3600))) -> DataFrame:
     """events with accepted: no window (n, seconds) before an event holds n accepted events of its key. Rejected ones don't count.
 
-    Keys are sorted inside partitions and read as a stream: a task holds at most the largest n events of one key.
+    Keys are sorted inside partitions and read as a stream: a task holds at most the largest n events of one key. Whether an event is accepted
+    depends on all of its key before it, so one key is one task's work, in order; null keys are one key.
     """
     most = max(n for n, _ in limits)
 
@@ -60,6 +45,7 @@ def limited(events: DataFrame, key: str, at: str, order: str, limits: tuple[tupl
             yield batch.drop_columns(["_key", "_at"]).append_column("accepted", pa.array(ok, pa.bool_()))
 
     kept = events.columns
-    keyed = events.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_at", F.unix_micros(F.coalesce(F.col(at).cast("timestamp"), F.lit(0).cast("timestamp"))))
+    at_ = F.unix_micros(F.coalesce(F.col(at).cast("timestamp"), F.lit(0).cast("timestamp")))
+    keyed = events.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_at", at_)
     dealt = keyed.repartition("_key").sortWithinPartitions("_key", "_at", order)
     return dealt.mapInArrow(run, events.select(kept).withColumn("accepted", F.lit(True)).schema)

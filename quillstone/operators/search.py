@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,23 +21,107 @@ def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 64) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of vectors (vec_id, embedding) to each of queries (query_id, query), itself
-    left out. Queries are packed in blocks, so a vector is read once for block queries; each partition keeps its k best."""
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / block))))
-    packed = packed.groupBy("_b").agg(F.collect_list(F.struct("query_id", "query")).alias("_q"))
-    pairs = vectors.select("vec_id", "embedding").crossJoin(packed).select("vec_id", "embedding", F.explode("_q").alias("_q")).filter("vec_id <> _q.query_id")
-    scored = pairs.select(F.col("_q.query_id").alias("query_id"), "vec_id", cosine(F.col("embedding"), F.col("_q.query")).alias("score"))
+#: Vectors in a block of the table, and queries in a block.
+ROWS, QUERIES = 4096, 1024
+#: Different words of a set of queries up to which its index is held by each worker.
+VOCABULARY = 200_000
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _blocks(df: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Rows of at most size keys and their vectors, scaled to length 1, as bytes of 64-bit numbers. Nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                m = _unit(np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}rows"])
+
+    slim = df.select(F.col(key).cast("long").alias("k"), vector).filter(F.col("k").isNotNull() & (F.size(vector) > 0))
+    return slim.mapInArrow(run, f"{prefix}ids array<bigint>, {prefix}rows binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest of vectors (vec_id, embedding) by cosine to each of queries (query_id, query), itself left
+    out; the least vec_id of equals. Rows without id or vector are left out; a vector without length has score 0.
+
+    Exhaustive, by blocks: every block of vectors meets every block of queries in one matrix product, and only the k best of each query leave it.
+    """
+    pairs = _blocks(vectors, "vec_id", "embedding", ROWS, "v").crossJoin(_blocks(queries, "query_id", "query", QUERIES, "q"))
+
+    def run(batches):
+        for batch in batches:
+            for v, vr, q, qr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                vids, qids = np.array(v, np.int64), np.array(q, np.int64)
+                order = np.argsort(vids, kind="stable")
+                vids = vids[order]
+                s = np.round(np.frombuffer(qr).reshape(len(qids), -1) @ np.frombuffer(vr).reshape(len(vids), -1)[order].T, 12)
+                s[qids[:, None] == vids[None, :]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order: equals stay so
+                score = np.take_along_axis(s, best, 1).ravel()
+                cols = [np.repeat(qids, best.shape[1]), vids[best].ravel(), score]
+                fine = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(c[fine]) for c in cols], ["query_id", "vec_id", "score"])
+
+    scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     return top(scored, "query_id", k, F.desc("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, rank, doc_id and score of the k best of docs (doc_id, words) for each of queries (query_id, words).
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, most: int = VOCABULARY) -> DataFrame:
+    """query_id, rank, doc_id and score of the k best of docs (doc_id, words) for each of queries (query_id: a whole number, words).
 
-    Words that no query has leave before the shuffle; statistics cover all docs.
+    Statistics cover all docs. A set of queries of at most `most` different words is held by each worker as an index from words to queries: a
+    batch of documents is scored in one pass, and only its k best of each query leave it. A larger set meets the documents by joins on words.
     """
-    totals = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "words").filter("query_id IS NOT NULL")
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    totals = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    vocabulary = asked.select("word").distinct()
+    if vocabulary.limit(most + 1).count() > most:
+        return _bm25_by_joins(docs, asked, totals, k, k1, b)
+    seen = docs.select(F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    n, mean = totals.first()
+    index: dict[str, list] = {r.word: [float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))), []] for r in seen.collect()}  # at most `most` words
+    ids = sorted(r.query_id for r in queries.select("query_id").distinct().collect())
+    place = {q: i for i, q in enumerate(ids)}
+    for q, w in asked.collect():
+        if w in index:
+            index[w][1].append(place[q])
+    shared = docs.sparkSession.sparkContext.broadcast({w: (idf, np.array(at, np.int64)) for w, (idf, at) in index.items()})
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            scores = np.zeros((len(ids), len(names)))
+            for j, words in enumerate(batch.column(1).to_pylist()):
+                tf: dict[str, int] = {}
+                for w in words or ():
+                    if w in known:
+                        tf[w] = tf.get(w, 0) + 1
+                base = k1 * (1 - b + b * len(words or ()) / (mean or 1))
+                for w, f in tf.items():
+                    idf, at = known[w]
+                    scores[at, j] += idf * f * (k1 + 1) / (f + base)
+            scores = np.round(scores, 8)
+            order = np.argsort(np.array([-1 if d is None else d for d in names], np.int64), kind="stable")
+            best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+            score = np.take_along_axis(scores, best, 1).ravel()
+            rows = [(ids[i // best.shape[1]], names[j], s) for i, (j, s) in enumerate(zip(best.ravel().tolist(), score.tolist(), strict=True)) if s > 0]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"}), preserve_index=False)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "words").filter("doc_id IS NOT NULL")
+    found = slim.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return top(found, "query_id", k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
+
+
+def _bm25_by_joins(docs: DataFrame, asked: DataFrame, totals: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Words that no query has leave before the shuffle."""
     counts = docs.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("word")).join(asked.select("word").distinct(), "word")
     counts = counts.groupBy("word", "doc_id", "size").agg(F.count("*").alias("tf"))
     seen = counts.groupBy("word").agg(F.count("*").alias("df"))

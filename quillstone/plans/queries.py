@@ -2,61 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import answers, corpus, indexing, searching, urls
 
-from ..functions import urls
-from ..operators import content
-from . import analysis
-
-SECTIONS = [("/en/", "english"), ("/fr/", "french"), ("/de/", "german"), ("/es/", "spanish")]
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def url_forms(spark, sf_dir):
-    u = F.col("url")
-    return _read(spark, sf_dir, "pages").select("page_id", urls.canonical_url(u).alias("canonical"), urls.lowered_url(u).alias("lowered"), urls.url_path(u).alias("lowered_path"), urls.has_fragment(u).alias("has_fragment"), urls.base_url(u).alias("base"), urls.first_segment(u).alias("segment"))
-
-
-def url_sections(spark, sf_dir):
-    u = F.col("url")
-    return _read(spark, sf_dir, "pages").select(urls.by_first_rule(u, SECTIONS, "general").alias("section"), urls.allowed_host(u, ["example.com", "example.org"]).alias("allowed")).groupBy("section", "allowed").agg(F.count("*").alias("n_pages"))
-
-
-def page_dedup(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
-    return content.first_by(pages, ["canonical"], F.col("page_id"))
-
-
-def document_chunks(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return content.chunks(docs).select("doc_id", "chunk_index", "total_chunks", F.md5("chunk").alias("chunk_md5"))
-
-
-def document_changes(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", content.content_hash(F.col("text")).alias("digest"))
-    old, new = docs.filter("doc_id % 10 <> 3"), docs.filter("doc_id % 7 <> 2").withColumn("digest", F.when(F.col("doc_id") % 5 == 0, F.reverse("digest")).otherwise(F.col("digest")))
-    return content.changes(old, new, "doc_id", "digest").groupBy("change").agg(F.count("*").alias("n_docs"))
-
-
-def conversation_history(spark, sf_dir):
-    turns = _read(spark, sf_dir, "conversations")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"))
-
-
-QUERIES = {"url_forms": url_forms, "url_sections": url_sections, "page_dedup": page_dedup, "document_chunks": document_chunks, "document_changes": document_changes, "conversation_history": conversation_history}
-
-_CANONICAL = r"regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) || lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '')), '/+$', '')"
-ORACLE_SQL = {
-    "url_forms": rf"SELECT page_id, {_CANONICAL} AS canonical, lower(regexp_replace(url, '/+$', '')) AS lowered, lower(regexp_replace(url, '[?#].*$', '')) AS lowered_path, contains(url, '#') AS has_fragment, split_part(url, '#', 1) AS base, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS segment FROM pages",
-    "url_sections": r"SELECT CASE WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/es/') THEN 'spanish' ELSE 'general' END AS section, regexp_matches(url, '^https://([^/?#]*\.)?(example\.com|example\.org)([/?#:]|$)') AS allowed, count(*) AS n_pages FROM pages GROUP BY 1, 2",
-    "page_dedup": rf"SELECT min(page_id) AS page_id, {_CANONICAL} AS canonical FROM pages GROUP BY 2",
-    "document_chunks": r"WITH d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+') IF w <> ''] AS w FROM documents), n AS (SELECT *, greatest(1, ceil((len(w) - 40) / 160))::INT AS total_chunks FROM d WHERE len(w) > 0), c AS (SELECT *, unnest(range(total_chunks))::INT AS chunk_index FROM n) SELECT doc_id, chunk_index, total_chunks, md5(array_to_string(w[chunk_index * 160 + 1 : chunk_index * 160 + 200], ' ')) AS chunk_md5 FROM c",
-    "document_changes": "SELECT change, count(*) AS n_docs FROM (SELECT CASE WHEN doc_id % 10 = 3 AND doc_id % 7 = 2 THEN NULL WHEN doc_id % 10 = 3 THEN 'added' WHEN doc_id % 7 = 2 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents) WHERE change IS NOT NULL GROUP BY change",
-    "conversation_history": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
-}
-QUERIES |= analysis.QUERIES
-ORACLE_SQL |= analysis.ORACLE_SQL
+PARTS = (urls, corpus, indexing, searching, answers)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
