@@ -41,11 +41,11 @@ _KEY = r"[A-Za-z0-9_+/-]"
 _PASS = "(?:[Pp]ass(?:word|wd|wort|phrase)?|PASSWORD|[Pp]wd|[Cc]ontraseña|[Cc]lave)"
 #: kind: (the kind in KINDS of its spans, pattern, guard). The lookbehinds of a pattern see text, not its other matches.
 CANDIDATES = {
-    "secret": ("secret", rf"(?<!{_KEY})(?={_KEY}{{0,256}}[0-9])(?={_KEY}{{0,256}}[A-Za-z]){_KEY}{{12,}}+={{0,2}}|(?<={_PASS}\x20{{0,2}}[:=]\x20{{0,2}}[\"']{{0,1}})[^\s\"']{{6,}}+|-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----", rf"{_KEY}{{12}}|[:=]"),
+    "secret": ("secret", rf"(?<!{_KEY})(?={_KEY}{{0,256}}[0-9])(?={_KEY}{{0,256}}[A-Za-z]){_KEY}{{12,}}+={{0,2}}|(?<={_PASS}\x20{{0,2}}[:=]\x20{{0,2}}[\"']{{0,1}})[^\s\"']{{6,}}+|-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----", r"[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]|BEGIN|PASS|[Pp]ass|[Pp]wd|[Cc]lave|traseña"),
     "number": ("phone", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", r"[0-9][\x20.-][0-9]"),
     "id": ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{1,2}[0-9]{6,9}[A-Z]?|[0-9]{8}-?[A-Z])(?![0-9A-Za-z-])", "[0-9]{4}"),
     "account": ("account", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![0-9A-Za-z])", "[A-Z]{2}[0-9]{2}"),
-    "name": ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Señor|Señora|Sra?)\.?\x20\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}\p{Ll}++){0,2}", "(?:r|s|f|u|e)\\.? "),
+    "name": ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Señor|Señora|Sra?)\.?\x20\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}\p{Ll}++){0,2}", r"(?:[MS]rs?|Ms|[DS]ra?|Prof|Herr|Frau|Mme|Mlle|Señora?)\.?\x20\p{Lu}"),
 }
 CODES = (*BASE, *CANDIDATES)
 #: Words that announce a kind, in the languages of the tables.
