@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..storage import materialise
 
 #: Places of a result, how many are searched for each, answers put first and by what factor, and the least best scores.
 TOP, WIDER, ANSWERS, ANSWER_FACTOR, LEAST_ANSWER = 5, 3, 2, 10, 0.7
@@ -307,7 +308,8 @@ def retrieval_check(found: DataFrame, expected: DataFrame, top: int = 10) -> Dat
 
 def run_batch(queries: DataFrame, cache: DataFrame, templates: dict[str, str], most_words: int = 500) -> DataFrame:
     """The batch up to retrieval: every query with its outcome, flags, route and, where it is refused, its answer. Columns as the steps want them."""
-    out = looked_up(classified(guarded(supervised(queries, most_words))), cache)
+    asked = materialise(classified(guarded(supervised(queries, most_words))), "batch")  # read three times by what follows
+    out = looked_up(asked, cache)
     q = {"query": F.col("query"), "disclaimer": F.col("needs_disclaimer"), "bereavement": F.col("bereavement"), "confidence": F.col("confidence"), "n_history": F.col("n_history"), "kind": F.col("kind")}
     out = out.withColumn("semantic", uses_semantic(q)).withColumn("simple", R.is_simple(F.col("query"), F.col("needs_empathy"), F.col("kind")))
     return with_refusals(out, templates)

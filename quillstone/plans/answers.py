@@ -282,5 +282,5 @@ SELECT low, high, low > high AS separable, round(low - high, 6) AS gap, high < 5
 SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1""",
     "event_sessions": """
 WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)
-SELECT min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+SELECT min(ts) AS started, max(ts) + INTERVAL 2 HOUR AS ended, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
 }

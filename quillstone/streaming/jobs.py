@@ -49,9 +49,9 @@ def sliding(events: DataFrame, at: str, width: str, step: str, late: str, *by: s
 
 
 def sessions(events: DataFrame, at: str, gap: str, late: str, *by: str) -> DataFrame:
-    """start, end, by and n of runs of events without a gap as long."""
+    """started, ended, by and n of runs of events without a gap as long."""
     out = events.withWatermark(at, late).groupBy(F.session_window(at, gap), *by).agg(F.count("*").alias("n"))
-    return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
+    return out.select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), *by, "n")
 
 
 def usage(calls: DataFrame) -> DataFrame:
