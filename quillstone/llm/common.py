@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir
+
+__all__ = ["SPACE", "WORD", "bound", "filtered_joins", "fresh", "materialise", "shared_dir", "shuffle_partitions", "slices", "table", "whole"]
+
 #: What separates words everywhere in this subpackage: the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and one of our own only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def filtered_joins(spark: SparkSession):
     """Joins that run inside filter their large side by a Bloom filter of the other's keys before they shuffle it, however small the
@@ -53,6 +40,13 @@ def slices(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or the first longer one that none of columns has."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

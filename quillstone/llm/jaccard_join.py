@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WORD, filtered_joins, materialise, slices, table, whole
+from .common import WORD, filtered_joins, fresh, materialise, slices, table, whole
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
 #: Classes in a block, and shingles: a task holds the sets of two blocks.
@@ -59,7 +59,7 @@ def _signatures(n_rows: int):
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
     """columns of docs, and _near_hashes: those of its text's words."""
     words = F.regexp_extract_all(whole("text"), F.lit(f"({WORD})"), F.lit(1))
-    return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("_near_hashes"))
+    return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias(fresh("_near_hashes", docs.columns)))
 
 
 def _shingles(hashes: pa.Array, n: int):
@@ -155,8 +155,10 @@ def _verify(threshold: float):
     def run(key, table_):
         pdf = table_.to_pandas()
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = not len(b)
+        same = key[1].as_py() == key[2].as_py()
         b = a if same else b
+        if not len(a) or not len(b):  # a part that no set fell into
+            return pa.table({"id": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "hub": pa.array([], pa.binary())})
         sets_a, sets_b = ([np.frombuffer(x, np.uint64) for x in side["set"]] for side in (a, b))
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_b]))
         met = np.zeros((len(a), len(b)), np.int64)
@@ -253,23 +255,23 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     won = (F.col("key").isNull()) | ((F.col("copy") == F.col("label")) & (F.col("doc_id") == _doc_id("label")))
     joined = materialise(joined.select("doc_id", "key", won.alias("won")), "near-won")
     many = joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("won").alias("won")).filter("won")
-    out = docs.join(many.filter("n = 1").select(F.col("doc_id").alias("_near_only")), F.col("doc_id").cast("long") == F.col("_near_only"), "left_semi")
-    # The few ids of several rows: their keys are made anew, to tell which of the texts won.
-    again = docs.join(many.filter("n > 1").select(F.col("doc_id").alias("_near_only")), F.col("doc_id").cast("long") == F.col("_near_only"), "left_semi")
     names = docs.columns
+    only, won_id, won_key, key = (fresh(n, names) for n in ("_near_only", "_near_won_id", "_near_won_key", "_near_key"))
+    is_only = F.col("doc_id").cast("long") == F.col(only)
+    out = docs.join(many.filter("n = 1").select(F.col("doc_id").alias(only)), is_only, "left_semi")
+    # The few ids of several rows: their keys are made anew, to tell which of the texts won.
+    again = docs.join(many.filter("n > 1").select(F.col("doc_id").alias(only)), is_only, "left_semi")
 
     def keyed(batches):
         for batch in slices(batches):
             keys = [_key(s) if len(s) else None for s in _shingles(batch.column(len(names)), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(keys, pa.binary())], [*names, "_near_key"])
-
-    again = _hashed(again, *names)
-    schema = StructType([*docs.schema.fields, StructField("_near_key", BinaryType())])
-    again = again.mapInArrow(keyed, schema)
-    winners = joined.filter("won and key is not null").select(F.col("doc_id").alias("_near_won_id"), F.col("key").alias("_near_won_key")).distinct()
-    won_by = (F.col("doc_id").cast("long") == F.col("_near_won_id")) & (F.col("_near_key") == F.col("_near_won_key"))
-    texts = again.join(winners, won_by, "left_semi").dropDuplicates(["doc_id", "_near_key"]).drop("_near_key")
-    blank = again.filter("_near_key is null").drop("_near_key")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(keys, pa.binary())], [*names, key])
+
+    again = _hashed(again, *names).mapInArrow(keyed, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    winners = joined.filter("won and key is not null").select(F.col("doc_id").alias(won_id), F.col("key").alias(won_key)).distinct()
+    won_by = (F.col("doc_id").cast("long") == F.col(won_id)) & (F.col(key) == F.col(won_key))
+    texts = again.join(winners, won_by, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    blank = again.filter(F.col(key).isNull()).drop(key)
     return out.unionByName(texts).unionByName(blank).unionByName(docs.filter("doc_id is null"))
 
 

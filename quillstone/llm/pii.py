@@ -252,9 +252,11 @@ def listed(spans: str) -> Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span of its text replaced by its kind in square brackets, and n_chars of the new text. Of overlapping spans
-    the first is replaced, with the others up to their ends. A null text stays null."""
-    got = find(docs)
+    """docs with every span of its text replaced by its kind in square brackets, and n_chars, if there is one, of the new text. Of
+    overlapping spans the first is replaced, with the others up to their ends. A null text stays null, an empty one empty; repeated rows are
+    masked alike; all other columns are kept, whatever their names; an empty table gives an empty result."""
+    rest = [c for c in docs.columns if c != "text"]  # apart, so that no name clashes
+    got = find(docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("_doc"), "text"))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
     def step(acc, s):
@@ -264,7 +266,11 @@ def masked(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(bound(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring("text", d["at"] + 1, F.length("text")))))
-    return got.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    got = got.withColumn("text", text)
+    columns = {c: F.col(f"_doc.c{i}") for i, c in enumerate(rest)} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return got.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
