@@ -22,6 +22,8 @@ once, and the fingerprint of the edited text is that sum and the sum of the new
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from .common import shuffle_partitions, table, whole
 LANES = 8
 LEAST, MOST = 8, 48
 HASHES, HALF = 2, 31
-#: Bytes of the input that a range of documents stands for.
-RANGE = 64 << 20
+#: Bytes of the input that a range of documents stands for, and the most ranges that the driver makes.
+RANGE, RANGES = 64 << 20, 1 << 14
 _ONES = 1 | 1 << HALF
 _PIECE = r"([^\n]{%d,%d}?(?:[^\p{L}\p{N}\n]|(?=\n)|$)|[^\n]{1,%d})" % (LEAST, MOST, MOST)
 _PACKED = [f"_p{h}_{q}" for h in range(HASHES) for q in range(HALF)]
@@ -105,9 +107,7 @@ def _dealt(docs: DataFrame, n: int) -> DataFrame:
     collects is two numbers a range."""
     keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     cuts = keyed.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10 * n)).head()[0] or []
-    cuts = sorted(set(cuts))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("_bucket", F.size(F.filter(edges, lambda c: c <= F.col("_k"))))
+    keyed = keyed.withColumn("_bucket", _place(F.col("_k"), sorted(set(cuts))))
     firsts = sorted((b, k) for b, k in keyed.groupBy("_bucket").agg(F.min("_k")).collect())
     if not firsts:
         return keyed.withColumn("_guest", F.lit(0))
@@ -118,6 +118,19 @@ def _dealt(docs: DataFrame, n: int) -> DataFrame:
     return dealt.drop("_host", "_bucket").withColumnRenamed("_at", "_bucket")
 
 
+def _place(key: Column, cuts: list[int]) -> Column:
+    """How many of cuts, which are in order, key has reached: first among every m-th of them, then among the m from there."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    reached = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    block = reached(numbers([b[0] for b in blocks]))
+    inside = F.get(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), block - 1)
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * m + reached(F.split(inside, ",").cast("array<bigint>")))
+
+
 def paragraph_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row of docs (doc_id, text), one by one; rows of the same doc_id are one multiset of paragraphs.
     Null text is empty; an empty table gives an empty result."""
@@ -133,7 +146,8 @@ def fingerprints(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     whatever their names. A table of one row is its own successor; an empty table gives an empty result.
     """
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files; none are read
-    n = n_ranges or max(shuffle_partitions(docs.sparkSession), min(1 << 20, size // RANGE))
+    known = size // RANGE if size < 1 << 60 else 0  # beyond that it is a plan without statistics
+    n = n_ranges or max(shuffle_partitions(docs.sparkSession), min(RANGES, known))
     dealt = _dealt(docs.select("doc_id", whole("text").alias("text")), n)
     order = Window.partitionBy("_bucket").orderBy("_guest", "_k", "text")
     near = dealt.withColumn("_next", F.lead("text").over(order)).withColumn("_row", F.row_number().over(order))
