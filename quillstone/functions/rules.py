@@ -13,7 +13,7 @@ def _low(query: Column) -> Column:
     return F.lower(F.coalesce(query, F.lit("")))
 
 
-def length_problem(query: Column, most: int = 500) -> Column:
+def length_problem(query: Column, most: int = 100) -> Column:
     """empty or too long (more than most words); null if neither."""
     return F.when(strip(F.coalesce(query, F.lit(""))) == "", "empty").when(n_words(query) > most, "too long")
 

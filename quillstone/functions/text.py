@@ -129,7 +129,7 @@ def first_filled(*fields: Column) -> Column:
 
 
 def size_bucket(n_words: Column, small: int = 300, large: int = 700) -> Column:
-    return F.when(n_words < small, "small").when(n_words > large, "large").otherwise("medium")
+    return F.when(n_words < small, "short").when(n_words > large, "long").otherwise("medium")
 
 
 def severity(n: Column) -> Column:

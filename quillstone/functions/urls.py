@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_any, strip
+from .text import has_any, partial_similarity, sequence_similarity, strip
 
 #: Rules (substring of the lower-cased url, value), the first that fits decides.
 CONTENT_TYPES = (
@@ -35,6 +35,7 @@ DEDICATED = (
     "/pensions/", "/insurance/", "/life-insurance/", "/income-protection/", "/critical-illness/", "/isa/", "/investments/", "/funeral/",
     "/pension-guides/", "/life-insurance-guides/", "/isa-guides/", "/existing-customers/",
 )
+GENERAL = ("/about-us/", "/our-purpose/", "/our-performance/", "/agm/", "/life-events/", "/cost-of-living/", "/planning-ahead/", "/money-guides/")
 VARIANT_MARKS = ("#state=", "#policy=")
 
 
@@ -166,6 +167,15 @@ def is_dedicated(url: Column, parts=DEDICATED) -> Column:
     return has_any(F.lower(_url(url)), parts)
 
 
+def is_general(url: Column, parts=GENERAL) -> Column:
+    return has_any(F.lower(_url(url)), parts)
+
+
+def slug(url: Column) -> Column:
+    """The name of a page's file: its canonical url with everything but letters and digits as one underscore."""
+    return F.regexp_replace(F.regexp_replace(canonical_url(url), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
+
+
 def host(url: Column) -> Column:
     """The host in lower case, without user, password and port; "" if there is none."""
     place = F.regexp_extract(_url(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
@@ -194,7 +204,7 @@ def rough_chunks(length: Column, size: int = 1600, overlap: int = 200) -> Column
     return F.greatest(F.lit(1), F.floor((length - overlap) / (size - overlap)).cast("int"))
 
 
-def size_flag(n_chunks: Column, warn: int = 50, critical: int = 200) -> Column:
+def size_flag(n_chunks: Column, warn: int = 20, critical: int = 50) -> Column:
     return F.when(n_chunks > critical, "CRITICAL").when(n_chunks > warn, "WARN").otherwise("OK")
 
 
@@ -207,12 +217,23 @@ def health(code: Column, final_url: Column, url: Column, own: str, failure: Colu
     return F.when(failure.isNotNull(), failure).when(code.isNull(), "error").when(code < 300, ok).when(code.isin(404, 410), "dead_404").otherwise("error")
 
 
-def redirect_reason(url: Column, final_url: Column) -> Column:
-    """How a url differs from where it led: parent, slug, restructured or other; null if the paths are the same. Any difference counts."""
+def redirect_reason(url: Column, final_url: Column, title: Column | None = None, live_title: Column | None = None) -> Column:
+    """How a url differs from where it led: parent, slug, restructured, title (of titles that are given, less than 60 % of the shorter is found in
+    the other) or other; null if the paths are the same. Any difference counts; the reason only says which."""
     a, b = (F.regexp_replace(F.regexp_extract(_bare(F.lower(_url(u))), r"^[a-z][a-z0-9+.-]*://[^/]*(/.*)?$", 1), "/+$", "") for u in (url, final_url))
     x, y = (F.filter(F.split(p, "/"), lambda s: s != "") for p in (a, b))
     last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(""))
     kept = F.size(F.filter(y, lambda s: F.array_contains(x, s)))
     moved = (F.size(x) > 0) & (F.bround(kept / F.when(F.size(x) > 0, F.size(x)) * 100) < 100)
-    slug = (last(x) != "") & (last(y) != "") & (last(x) != last(y))
-    return F.when(a == b, None).when(a.startswith(F.concat(b, F.lit("/"))), "parent").when(slug, "slug").when(moved, "restructured").otherwise("other")
+    other_slug = (last(x) != "") & (last(y) != "") & (last(x) != last(y))
+    out = F.when(a == b, None).when(a.startswith(F.concat(b, F.lit("/"))), "parent").when(other_slug, "slug").when(moved, "restructured")
+    if title is not None and live_title is not None:
+        some = (_url(title) != "") & (_url(live_title) != "")
+        out = out.when(some & (F.round(partial_similarity(title, live_title) * 100) < 60), "title")
+    return out.otherwise("other")
+
+
+def slug_likeness(url: Column, final_url: Column) -> Column:
+    """How alike the last parts of two paths are, in percent: context for whoever looks at a redirect, no gate."""
+    last = lambda u: F.coalesce(F.try_element_at(segments(F.lower(u)), F.lit(-1)), F.lit(""))
+    return F.round(sequence_similarity(last(url), last(final_url)) * 100)

@@ -14,7 +14,7 @@ from ..functions import text as T
 
 METRICS = [f"{m}_{k}" for k in M.DEPTHS for m in ("hit", "recall", "all", "success")] + ["mrr", "ndcg_10", "raw_success_5", "raw_mrr"]
 #: Names of metrics that are better when lower end in these.
-LOWER_IS_BETTER = ("error_rate", "latency", "mean_seconds", "p95_seconds", "max_seconds", "cost_usd", "num_errors", "refusal_rate")
+LOWER_IS_BETTER = ("error_rate", "mean_seconds", "p95_seconds", "max_seconds", "cost_usd")
 
 
 def group_by_url(found: DataFrame) -> DataFrame:

@@ -18,6 +18,10 @@ STOP = tuple(
     """the a an is are was were in on at to for of and or but it this that with my your our i we you they be do have will can could would
     should may might from by as if when what how about which there their than then""".split()
 )
+TOPIC_STOP = tuple(
+    """the a an and or of to in for on with is are be by at as it that this from your you our we can will if not have has how what when who which
+    more about their they there""".split()
+)
 GENERIC = (
     r"^what is (insurance|a pension|an isa)\??$", r"^how do (pensions|isas|policies) work\??$", r"^tell me about", r"^explain ", r"^how can (i|you) help",
 )
@@ -120,7 +124,7 @@ def is_evidence(evidence: Column, text: Column) -> Column:
     return (F.length(e) >= 20) & T.norm_text(text).contains(e)
 
 
-def priority(url: Column, index: Column, generic=()) -> Column:
+def priority(url: Column, index: Column, generic=U.GENERAL) -> Column:
     """What keeps a question: pages of their own before others, general ones last; the first chunk, then by index."""
     low = F.lower(F.coalesce(url, F.lit("")))
     general = T.has_any(low, generic)
@@ -129,7 +133,7 @@ def priority(url: Column, index: Column, generic=()) -> Column:
     return F.struct(page.alias("page"), F.when(i == 0, 1).otherwise(2).alias("first"), i.cast("long").alias("index"))
 
 
-def dedup_questions(chunks: DataFrame, fields: tuple[str, ...] = ("title_questions", "augmented_questions"), places: int = PLACES, generic=()) -> DataFrame:
+def dedup_questions(chunks: DataFrame, fields: tuple[str, ...] = ("title_questions", "augmented_questions"), places: int = PLACES, generic=U.GENERAL) -> DataFrame:
     """chunks (chunk_id, source_url, chunk_index, fields of newline lists) with every question that stands in more than `places` places of both
     fields together left only in the chunk of the best priority, the least chunk_id of equals. Fields without change stay as they are."""
     every = None
@@ -164,7 +168,7 @@ def seed_rows(chunks: DataFrame, per_url: int) -> DataFrame:
 def embedding_text(content: Column, title_questions: Column, augmented_questions: Column) -> Column:
     """What is embedded of a chunk: its content, and its questions if it has any."""
     part = lambda c, name: F.when(T.strip(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{name}:\n"), T.strip(c)))
-    return F.concat_ws("\n\n", content, part(title_questions, "Title questions"), part(augmented_questions, "Questions"))
+    return F.concat_ws("\n\n", content, part(title_questions, "Entry-point questions this page answers"), part(augmented_questions, "Questions this answers"))
 
 
 def by_category(rows: DataFrame, category: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -235,7 +239,7 @@ def eligible(pages: DataFrame, terms: tuple[str, ...], least_score: int, deny_ur
     return out.filter(F.col("score") >= least_score).orderBy(F.desc("score"), "url")
 
 
-def top_terms(pages: DataFrame, key: str, text: str, n: int = 30, stop: tuple[str, ...] = STOP, most: int = 6000) -> DataFrame:
+def top_terms(pages: DataFrame, key: str, text: str, n: int = 30, stop: tuple[str, ...] = TOPIC_STOP, most: int = 6000) -> DataFrame:
     """key and terms: the n most frequent words of more than 3 letters, stop words left out, the first by spelling of equals."""
     words = F.filter(T.alnum_words(F.substring(text, 1, most)), lambda w: (F.length(w) > 3) & ~w.isin(*stop))
     counted = pages.select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
@@ -270,11 +274,11 @@ def topic_pairs(pages: DataFrame, key: str, category: str, terms: str, n: int, l
 
 
 def representative(chunks: DataFrame, target: int, weights: dict[str, float], order: str = "chunk_id") -> DataFrame:
-    """target of chunks (chunk_id, content_type, size_category, position): first one each of large, medium, first and last, of the type that is named
-    first in weights; then of each type its share of the places left, evenly spaced among its chunks from large to small."""
+    """target of chunks (chunk_id, content_type, size_category, position): first one each of long, medium, first and last, of the type that is named
+    first in weights; then of each type its share of the places left, evenly spaced among its chunks from long to short."""
     types = list(weights)
     place = F.coalesce(*[F.when(F.col("content_type") == t, i) for i, t in enumerate(types)], F.lit(99))
-    kind = [("size_category", "large"), ("size_category", "medium"), ("position", "first"), ("position", "last")]
+    kind = [("size_category", "long"), ("size_category", "medium"), ("position", "first"), ("position", "last")]
     ranked = chunks.withColumn("_t", place)
     some = [ranked.filter(F.col(c) == v).orderBy("_t", order).limit(1).withColumn("_g", F.lit(i)) for i, (c, v) in enumerate(kind)]
     sure = some[0]
@@ -283,7 +287,7 @@ def representative(chunks: DataFrame, target: int, weights: dict[str, float], or
     sure = materialise(sure.dropDuplicates(["chunk_id"]), "sample-sure")
     left = target - sure.count()
     rest = ranked.join(sure.select("chunk_id"), "chunk_id", "left_anti").filter(F.col("_t") < len(types))
-    size_rank = F.coalesce(*[F.when(F.col("size_category") == s, i) for i, s in enumerate(("large", "medium", "small"))], F.lit(2))
+    size_rank = F.coalesce(*[F.when(F.col("size_category") == s, i) for i, s in enumerate(("long", "medium", "short"))], F.lit(2))
     pos_rank = F.coalesce(*[F.when(F.col("position") == s, i) for i, s in enumerate(("first", "last", "middle"))], F.lit(2))
     w = Window.partitionBy("content_type")
     rest = rest.withColumn("_i", F.row_number().over(w.orderBy(size_rank, pos_rank, order)) - 1).withColumn("_n", F.count("*").over(w))

@@ -44,6 +44,13 @@ def weighted(found: DataFrame, weights: dict[str, float]) -> DataFrame:
     return found.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.coalesce(F.try_element_at(names, F.col("field")), F.lit(1.0))).alias("score"))
 
 
+def reranked(found: DataFrame, scores: DataFrame, top: int = 10) -> DataFrame:
+    """A ranking (query_id, rank, doc_id) in the order of a reranker's scores (query_id, doc_id, rerank); what it hasn't scored comes after."""
+    both = found.join(scores, ["query_id", "doc_id"], "left")
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank"), "rank", "doc_id")
+    return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).select("query_id", F.col("_r").alias("rank"), "doc_id", "rerank")
+
+
 def url_hits(chunks: DataFrame, fragment: str, top: int = 20) -> DataFrame:
     """At most top chunks whose url contains a fragment: a look into the index."""
     return chunks.filter(F.col("source_url").contains(fragment)).limit(top)
@@ -151,7 +158,13 @@ def last_user(turns: DataFrame) -> DataFrame:
     return turns.withColumn("last_user", F.last(said, ignorenulls=True).over(w)).withColumn("n_history", F.count("*").over(w))
 
 
-def supervised(queries: DataFrame, most_words: int = 500) -> DataFrame:
+def with_request_ids(queries: DataFrame, column: str = "request_id") -> DataFrame:
+    """queries with an id for each that has none."""
+    own = F.nullif(F.col(column), F.lit("")) if column in queries.columns else F.lit(None).cast("string")
+    return queries.withColumn(column, F.coalesce(own, F.uuid()))
+
+
+def supervised(queries: DataFrame, most_words: int = 100) -> DataFrame:
     """queries (query, last_user, n_history) cleaned and expanded, with outcome (empty, too long, ACCOUNT_LOOKUP, GREETING, FAREWELL, THANKS or null) and
     the flags needs_empathy, needs_disclaimer, bereavement and recommendation."""
     out = queries.withColumn("query", T.sanitized(F.col("query")))
@@ -261,6 +274,33 @@ def with_refusals(queries: DataFrame, templates: dict[str, str]) -> DataFrame:
     return queries.withColumn("answer", F.when(reason.isNotNull(), R.refusal(reason, templates)).otherwise(F.col("answer") if "answer" in queries.columns else F.lit(None).cast("string")))
 
 
+#: Codes and errors that are worth another try.
+TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
+
+
+def is_transient(error: BaseException) -> bool:
+    """Whether a call may succeed if it is made again: the network, a time-out, throttling or a server's failure."""
+    return isinstance(error, (TimeoutError, ConnectionError)) or getattr(error, "status_code", None) in TRANSIENT
+
+
+def retrying(fn, attempts: int = 4, base: float = 2.0, longest: float = 60.0):
+    """fn, called again after a transient error, each time after twice as long, give or take a quarter: for the hooks below, whose calls go out from
+    tasks. What remains an error is left to Spark, which runs the task again."""
+    import random
+    import time
+
+    def run(*args, **how):
+        for i in range(attempts):
+            try:
+                return fn(*args, **how)
+            except Exception as e:
+                if i + 1 == attempts or not is_transient(e):
+                    raise
+                time.sleep(min(longest, base * 2**i) * random.uniform(0.75, 1.25))
+
+    return run
+
+
 def answered(rows: DataFrame, ask, question: str, schema: str = "answer string, error string, latency_seconds double") -> DataFrame:
     """rows with what ask(question) returns, a text or a dict: a hook. An error is a value, and every call is timed."""
     import time
@@ -306,7 +346,7 @@ def retrieval_check(found: DataFrame, expected: DataFrame, top: int = 10) -> Dat
     return out.withColumn("verdict", F.when(F.col("hits") == F.col("n"), "passed").when(F.col("hits") >= 0.8 * F.col("n"), "partial").otherwise("failed"))
 
 
-def run_batch(queries: DataFrame, cache: DataFrame, templates: dict[str, str], most_words: int = 500) -> DataFrame:
+def run_batch(queries: DataFrame, cache: DataFrame, templates: dict[str, str], most_words: int = 100) -> DataFrame:
     """The batch up to retrieval: every query with its outcome, flags, route and, where it is refused, its answer. Columns as the steps want them."""
     asked = materialise(classified(guarded(supervised(queries, most_words))), "batch")  # read three times by what follows
     out = looked_up(asked, cache)

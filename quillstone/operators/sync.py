@@ -116,6 +116,13 @@ def invalidated(cache: DataFrame, urls: DataFrame, key: str = "query") -> DataFr
     return rows.join(changed, "_u", "left_semi").select(key).distinct()
 
 
+def matched_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """urls (url) with the columns of the page (url) that is the same but for trailing slashes; without one they are null."""
+    cut = lambda c: F.regexp_replace(c, "/+$", "")
+    there = pages.withColumn("_u", cut("url")).withColumnRenamed("url", "page_url")
+    return urls.withColumn("_u", cut("url")).join(there, "_u", "left").drop("_u")
+
+
 def new_only(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pages whose source_url no chunk has."""
     return pages.join(chunks.select("source_url").filter("source_url <> ''").distinct(), "source_url", "left_anti")
@@ -212,7 +219,7 @@ def failure_gate(rows: DataFrame, failed: Column, most: float = 0.05) -> DataFra
     return out.withColumn("ratio", F.coalesce(F.col("n_failed") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))).withColumn("ok", F.col("ratio") <= most)
 
 
-def promotion(indexes: DataFrame, live: str | None, wanted: str | None = None, force: bool = False, least: int = 100, ratio: float = 0.8, keep: int = 3) -> DataFrame:
+def promotion(indexes: DataFrame, live: str | None, wanted: str | None = None, force: bool = False, least: int = 20, ratio: float = 0.5, keep: int = 3) -> DataFrame:
     """name and role of each of indexes (name, n_docs): promoted, live, kept or dropped, with a reason on the one that was to be promoted: index not
     found, already live, or shrink gate (it has less than ratio of the live one's documents, which has at least that many). The newest by
     name is promoted unless one is wanted; the last keep by name stay, and so do the promoted and the live one until then."""

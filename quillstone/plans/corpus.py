@@ -75,6 +75,14 @@ def md_tables(spark, sf_dir):
     return found.select("doc_id", F.size("t").alias("n_tables"), markdown.table_class(F.col("t")).alias("kind"), "n_tags", "n_aligned")
 
 
+def md_statistics(spark, sf_dir):
+    return markdown.page_statistics(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def md_profile(spark, sf_dir):
+    return markdown.sample_profile(read(spark, sf_dir, "documents"), "doc_id", "text", 30, 42, 5)
+
+
 def page_chunks(spark, sf_dir):
     """Pages to chunks: content, cleaning, splitting, ids."""
     rows = markup.page_rows(read(spark, sf_dir, "pages")).filter("problem IS NULL")
@@ -189,7 +197,7 @@ def representative_chunks(spark, sf_dir):
 
 
 NAMES = (
-    text_forms, content_ids, citation_lists, duplicate_documents, duplicate_survivors, repetition_gate, document_chunks, cleaning, md_elements, md_tables,
+    text_forms, content_ids, citation_lists, duplicate_documents, duplicate_survivors, repetition_gate, document_chunks, cleaning, md_elements, md_tables, md_statistics, md_profile,
     page_chunks, main_content, page_facts, question_collisions, collision_severity, collision_summary, collision_impact, dangerous_questions,
     collisions_by_language, priority_dedup, seed_questions, question_quality, category_sample, stratified_sample, low_signal, fuzzy_items, top_terms,
     topic_pairs, product_pages, representative_chunks,
@@ -228,7 +236,7 @@ SELECT doc_id, md5(array_to_string({_T}, ' ')) AS norm_md5, md5({question('text'
   md5({STRIPPED.format("regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g')")}) AS bare_md5,
   md5({COLLAPSED.format(r"regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")}) AS sanitized_md5,
   md5({STRIPPED.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g')")}) AS unlinked_md5,
-  len({_T})::INT AS n_tokens, {_WORDS} AS n_words, CASE WHEN len({_T}) < 300 THEN 'small' WHEN len({_T}) > 700 THEN 'large' ELSE 'medium' END AS bucket FROM documents""",
+  len({_T})::INT AS n_tokens, {_WORDS} AS n_words, CASE WHEN len({_T}) < 300 THEN 'short' WHEN len({_T}) > 700 THEN 'long' ELSE 'medium' END AS bucket FROM documents""",
     "content_ids": f"""
 SELECT doc_id, sha256(coalesce(text, '')) AS digest, sha256(coalesce(nullif(trim(source), ''), 'none') || '|' || doc_id || '|' || coalesce(text, '')) AS chunk_id,
   'q-' || left(sha1({same_question('text')}), 10) AS question_id FROM documents""",
@@ -288,7 +296,7 @@ SELECT role, count(*) AS n_turns FROM conversations WHERE role <> 'system' AND
   len(list_filter(string_split({STRIPPED.format("regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g')")}, ' '), lambda w: w <> '')) >= 5 GROUP BY 1""",
     "top_terms": f"""
 WITH w AS (SELECT doc_id, unnest({TOKENS.format('left(text, 6000)')}) AS w FROM documents),
-c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ({', '.join(f"'{s}'" for s in questions.STOP)}) GROUP BY 1, 2),
+c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ({', '.join(f"'{s}'" for s in questions.TOPIC_STOP)}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM c)
 SELECT doc_id, string_agg(w, ',' ORDER BY w) AS terms FROM r WHERE k <= 30 GROUP BY 1""",
     "product_pages": """

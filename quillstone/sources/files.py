@@ -15,10 +15,10 @@ PAGE = "source_url string, url string, dropdown_url string, dropdown_title strin
 FAILURE = "url string, reason string"
 #: Names of a page's fields, in the order in which they are tried.
 URL_KEYS = ("source_url", "url", "page_url", "link")
-CONTENT_KEYS = ("content", "markdown", "text", "body")
-TITLE_KEYS = ("title", "page_title", "name")
-CATEGORY_KEYS = ("product_category", "category", "section")
-LIST_KEYS = ("pages", "documents", "data", "items", "results")
+CONTENT_KEYS = ("content", "clean_content", "text", "markdown", "body", "page_content", "raw_content")
+TITLE_KEYS = ("title", "page_title", "name", "heading")
+CATEGORY_KEYS = ("category", "product_category", "section", "topic")
+LIST_KEYS = ("pages", "data", "items", "documents", "records", "results")
 ANSWER_TYPES = ("single", "multi_required", "multi_any", "unanswerable")
 
 
@@ -153,6 +153,13 @@ def checked_scan(chunks: DataFrame, total: int) -> DataFrame:
     return chunks
 
 
+def fixture_html(spark: SparkSession, urls: DataFrame, folder: str) -> DataFrame:
+    """urls (url) with html of the file in folder that is named after the url, and error: fixture_not_found where there is none."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.html").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.html$", 1).alias("_s"), F.col("value").alias("html"))
+    out = urls.withColumn("_s", U.slug(F.col("url"))).join(files, "_s", "left")
+    return out.withColumn("error", F.when(F.col("html").isNull(), F.concat(F.lit("fixture_not_found:"), "_s"))).drop("_s")
+
+
 # Sinks ----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -184,6 +191,14 @@ def save_manifest(spark: SparkSession, manifest: dict, path: str) -> str:
     return row.select(F.sha2("value", 256)).first()[0]
 
 
+def save_evaluation(report: dict, results: DataFrame, path: str) -> str:
+    """report.json, its digest and the rows of each query in one folder; returns the digest."""
+    digest = save_manifest(results.sparkSession, report, f"{path}/report.json")
+    save_manifest(results.sparkSession, {"report.json": digest}, f"{path}/report.sha256")
+    save_report({"per_query": results}, path)
+    return digest
+
+
 def save_seed(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 

@@ -51,3 +51,6 @@ def test_health_and_redirects(spark):
     got = df.select(urls.health(F.col("c"), F.col("f"), F.col("u"), "x.com", F.col("e")), urls.redirect_reason(F.col("u"), F.col("f"))).collect()
     assert [r[0] for r in got] == ["live", "internal_redirect", "error", "external_redirect", "dead_404", "error", "timeout"]
     assert [r[1] for r in got][:4] == [None, "parent", "slug", "slug"]
+    one = spark.createDataFrame([("https://x.com/new/a/b", "https://x.com/a/b", "Pension guide", "Cookie policy"), ("https://x.com/a", "https://x.com/a/a", "", "x")], "u string, f string, t string, l string")
+    got = one.select(urls.redirect_reason(F.col("u"), F.col("f"), F.col("t"), F.col("l")), urls.slug_likeness(F.col("u"), F.col("f"))).collect()
+    assert [tuple(r) for r in got] == [("restructured", 100.0), ("other", 100.0)]

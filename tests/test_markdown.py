@@ -138,6 +138,15 @@ def test_versions(spark):
     assert df.select(M.digest(F.lit("a  b\n\n c")) == M.digest(F.lit("a b\nc"))).first()[0]
 
 
+def test_typed_elements(spark):
+    text = "# A\n- one\n  more\n- two\nprose\n```\n# code\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n\n1. x"
+    assert [(e["type"], len(e["lines"])) for e in M.typed_elements_of(text)] == [("header", 1), ("list", 3), ("prose", 1), ("code", 3), ("table", 3), ("blank", 1), ("list", 1)]
+    pages = spark.createDataFrame([(1, text), (2, _table(35)), (3, "x" * 50_000)], "k int, t string")
+    got = {r.k: r for r in M.page_statistics(pages, "k", "t").collect()}
+    assert (got[1].n_table, got[1].n_rows, got[1].n_list, got[2].n_rows, got[2].element_chunks, got[3].flat_chunks) == (1, 1, 2, 35, 2, 35)
+    assert tuple(M.sample_profile(pages, "k", "t", 5, 1).first()) == (2, 2, 2, 1)
+
+
 def test_headings(spark):
     df = spark.createDataFrame([("intro\n### Fees\nx\n**Risks** y\nplain Costs",)], "t string")
     got = df.select(M.headings_found(F.col("t"), ["Fees", "Risks", "Costs"])).first()[0]

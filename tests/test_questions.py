@@ -65,9 +65,9 @@ def test_samples(spark):
     assert one == two and len(one) == 6 and not {0, 1} & set(one)
     assert Q.with_signal(spark.createDataFrame([("one two three four five",), ("one, two",)], "q string"), "q").count() == 1
     assert [r.c for r in Q.by_category(rows, "c", exclude=("a", "b")).select("c").distinct().collect()] == ["c"]
-    chunks = spark.createDataFrame([(i, ["x", "y", "z"][i % 3], ["small", "medium", "large"][i % 4 % 3], ["first", "middle", "last"][i % 5 % 3]) for i in range(60)], "chunk_id int, content_type string, size_category string, position string")
+    chunks = spark.createDataFrame([(i, ["x", "y", "z"][i % 3], ["short", "medium", "long"][i % 4 % 3], ["first", "middle", "last"][i % 5 % 3]) for i in range(60)], "chunk_id int, content_type string, size_category string, position string")
     got = Q.representative(chunks, 12, {"x": 0.5, "y": 0.5}).collect()
-    assert len(got) == 12 and {"large", "medium"} <= {r.size_category for r in got} and {"first", "last"} <= {r.position for r in got} and "z" not in {r.content_type for r in got}
+    assert len(got) == 12 and {"long", "medium"} <= {r.size_category for r in got} and {"first", "last"} <= {r.position for r in got} and "z" not in {r.content_type for r in got}
 
 
 def test_pairs_are_the_greedy_choice(spark):
@@ -95,7 +95,7 @@ def test_models(spark):
     p = models.select(Q.resolved_price(F.lit("gpt-4o"), (("gpt-4o-mini", 1.0, 2.0), ("gpt-4o", 3.0, 4.0)), (9.0, 9.0)), Q.resolved_price(F.lit("my-gpt-4o-mini"), (("gpt-4o-mini", 1.0, 2.0),), (9.0, 9.0)), Q.resolved_price(F.lit("z"), (("gpt", 1.0, 2.0),), (9.0, 9.0))).first()
     assert [tuple(x) for x in p] == [(3.0, 4.0), (1.0, 2.0), (9.0, 9.0)]
     text = models.limit(1).select(Q.embedding_text(F.lit("body"), F.lit("A?\n"), F.lit(" "))).first()[0]
-    assert text == "body\n\nTitle questions:\nA?"
+    assert text == "body\n\nEntry-point questions this page answers:\nA?"
 
 
 def test_hooks(spark):

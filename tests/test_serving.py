@@ -91,6 +91,34 @@ def test_history(spark):
     assert [(r.last_user, r.n_history) for r in got] == [(None, 0), (None, 1), ("u1", 2), ("u1", 3)]
 
 
+def test_reranking_and_ids(spark):
+    found = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12)], "query_id int, rank int, doc_id int")
+    scores = spark.createDataFrame([(1, 12, 2.0), (1, 11, 3.0)], "query_id int, doc_id int, rerank double")
+    assert [r.doc_id for r in S.reranked(found, scores).orderBy("rank").collect()] == [11, 12, 10]
+    ids = [r.request_id for r in S.with_request_ids(spark.createDataFrame([("a",), ("",), (None,)], "request_id string")).collect()]
+    assert ids[0] == "a" and len(set(ids)) == 3 and all(ids)
+
+
+def test_retries():
+    tried = []
+
+    def call(kind):
+        tried.append(1)
+        if len(tried) < 3:
+            raise kind
+        return "ok"
+
+    assert S.retrying(call, base=0.001)(TimeoutError()) == "ok" and len(tried) == 3
+    tried.clear()
+    try:
+        S.retrying(call, base=0.001)(ValueError())
+    except ValueError:
+        assert len(tried) == 1
+    throttled = RuntimeError()
+    throttled.status_code = 429
+    assert S.is_transient(throttled) and not S.is_transient(RuntimeError())
+
+
 def test_checks(spark):
     found = spark.createDataFrame([(1, 1, "https://p/a"), (2, 11, "https://p/b")], "query_id int, rank int, url string")
     expected = spark.createDataFrame([(1, "/a"), (2, "/b")], "query_id int, fragment string")

@@ -114,6 +114,13 @@ def test_evaluation_sets(spark, tmp_path):
         S.load_answer_set(spark, "x.txt")
 
 
+def test_fixtures(spark, tmp_path):
+    (tmp_path / "https_A_com_x_y.html").write_text("<p>page</p>", encoding="utf-8")
+    urls = spark.createDataFrame([("https://A.com/X/y/?q",), ("https://A.com/none",)], "url string")
+    got = {r.url: (r.html, r.error) for r in S.fixture_html(spark, urls, str(tmp_path)).collect()}
+    assert got == {"https://A.com/X/y/?q": ("<p>page</p>", None), "https://A.com/none": (None, "fixture_not_found:https_A_com_none")}
+
+
 def test_index_scans(spark):
     chunks = spark.createDataFrame([("https://A.com/x/",), ("https://a.com/y",), (None,)], "source_url string")
     assert {r.url for r in S.index_urls(chunks).collect()} == {"https://a.com/x", "https://a.com/y"}
@@ -133,6 +140,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/report/pages", header=True).first()["list"] == '["a"]'
     digest = S.save_manifest(spark, {"b": 1, "a": 2}, f"{tmp_path}/m")
     assert spark.read.text(f"{tmp_path}/m").first()[0] == '{"a": 2, "b": 1}' and len(digest) == 64
+    digest = S.save_evaluation({"run_id": "t"}, pages, f"{tmp_path}/run")
+    assert len(digest) == 64 and json.loads(spark.read.text(f"{tmp_path}/run/report.json").first()[0]) == {"run_id": "t"}
+    assert spark.read.csv(f"{tmp_path}/run/per_query", header=True).count() == 1
     S.save_seed(pages.select("url"), f"{tmp_path}/seed")
     index = S.create_index(spark, f"{tmp_path}/ix")
     assert index.count() == 0 and S.create_index(spark, f"{tmp_path}/ix").columns == S.INDEX.names

@@ -44,6 +44,11 @@ def test_snapshots(spark):
     assert S.new_only(urls.withColumnRenamed("url", "source_url"), chunks).count() == 1
 
 
+def test_matched_pages(spark):
+    urls, pages = spark.createDataFrame([("u/",), ("v",)], "url string"), spark.createDataFrame([("u", 1)], "url string, n int")
+    assert sorted((r.url, r.n) for r in S.matched_pages(urls, pages).collect()) == [("u/", 1), ("v", None)]
+
+
 def test_freshness(spark):
     health = {"live": "u1 u2 u3 u4 u9", "dead_404": "u5", "internal_redirect": "u6", "external_redirect": "u7", "timeout": "u8"}
     rows = [(f"https://p/{u}", s) for s, us in health.items() for u in us.split()]
