@@ -1,8 +1,8 @@
 """N-gram Jaccard join by MinHash banding.
 
 A document is the set of its N-word shingles. Documents of equal sets are one node,
-known by its least doc_id and its set's hash, and meet once. Rows a band and the number of bands follow from the threshold
-and the target recall at it. Classes that share a band meet by a shuffle on the
+known by a number, and meet once. Rows a band and the number of bands follow from
+the threshold and the target recall at it. Classes that share a band meet by a shuffle on the
 band's hash; the smallest label spreads over the bands to candidate groups, each
 class's full set, made anew from its text, goes to its group once for each pair of
 blocks, and every pair in a group is verified there on full sets, by blocks of a
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -79,16 +79,6 @@ def _key(shingles: np.ndarray) -> bytes:
     return hashlib.sha256(shingles.tobytes()).digest()[:16]
 
 
-def _id(doc_id: str, key: str) -> Column:
-    """16 bytes for a different set of shingles: its least doc_id, so that ids are ordered as these, and 8 bytes of its key, so that
-    different texts of one doc_id are told apart."""
-    return F.concat(F.unhex(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.substring(F.col(key), 1, 8))
-
-
-def _doc_id(id_: str) -> Column:
-    return (F.conv(F.hex(F.substring(F.col(id_), 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
-
-
 def signed(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
     """doc_id, key (of the set of shingles; null if that is empty), size of the set and hubs (the hashes of its bands) of each row. Sets
     stay behind."""
@@ -119,11 +109,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches):
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             made = [(i, s.tobytes()) for i, key, s in zip(ids, keys, _shingles(batch.column(2), n), strict=True) if _key(s) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["id", "set"])
 
     # The condition always holds; the optimizer makes a Bloom filter only of a side that has one.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.filter("copies > 0").select("id", "doc_id", "key"), "doc_id")
-    return _hashed(texts, "id", "key").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
+    return _hashed(texts, "id", "key").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
 def split_hubs(edges: DataFrame) -> DataFrame:
@@ -137,7 +127,9 @@ def split_hubs(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
     """nodes (id), edges (id, hub: any key) -> (id, label): the least id that the ids sharing hubs lead to. Labels spread by
-    aggregation alone, so a hub of many ids is combined before it is shuffled."""
+    aggregation alone, so a hub of many ids is combined before it is shuffled, and jump to their labels' labels, so that a chain of n ids
+    takes about log n rounds. Nodes without edges keep their own id; repeated edges change nothing; no nodes give no labels. Ids of
+    edges that aren't among nodes are left out."""
     labels = materialise(nodes.select("id", F.col("id").alias("label")), tag)
     while True:
         hubs = edges.join(labels, "id").groupBy("hub").agg(F.min("label").alias("label"))
@@ -158,7 +150,7 @@ def _verify(threshold: float):
         same = key[1].as_py() == key[2].as_py()
         b = a if same else b
         if not len(a) or not len(b):  # a part that no set fell into
-            return pa.table({"id": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "hub": pa.array([], pa.binary())})
+            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "n", "hub")})
         sets_a, sets_b = ([np.frombuffer(x, np.uint64) for x in side["set"]] for side in (a, b))
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_b]))
         met = np.zeros((len(a), len(b)), np.int64)
@@ -179,11 +171,11 @@ def _verify(threshold: float):
         link = met >= threshold * union - 1e-9
         if same:
             np.fill_diagonal(link, False)
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+        ids_a, ids_b = a["id"].tolist(), b["id"].tolist()
         rows = [(i, int(n), None) for i, n in zip(ids_a, link @ b["copies"].to_numpy(), strict=True)]
         if not same:
             rows += [(i, int(n), None) for i, n in zip(ids_b, link.T @ a["copies"].to_numpy(), strict=True)]
-        parent: dict[bytes, bytes] = {}
+        parent: dict[int, int] = {}
 
         def root(x):
             while parent.setdefault(x, x) != x:
@@ -196,20 +188,21 @@ def _verify(threshold: float):
             if x != y:
                 parent[max(x, y)] = min(x, y)
         rows += [(x, 0, root(x)) for x in list(parent)]
-        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-        return pa.Table.from_arrays(cols, ["id", "n", "hub"])
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["id", "n", "hub"])
 
     return run
 
 
 def _joined(docs: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
-    """doc_id, key, label (the least id of the class), copy (the id of its own set) and n_links for each row of docs."""
+    """doc_id, key, class_id, copy_of, n_links and first (whether the row's set is that of its class with the least doc_id, then key) for each
+    row of docs; all but doc_id are null for empty sets."""
     bands = bands_for(threshold, recall, rows)
     every = materialise(signed(docs, n, rows, bands), "near-signed")
     known = every.filter("key is not null and doc_id is not null")
     copies = known.groupBy("key").agg(F.min(F.struct("doc_id", "size", "hubs")).alias("first"), F.count("*").alias("copies"))
-    copies = copies.select("key", "first.doc_id", "first.size", "first.hubs", "copies").withColumn("id", _id("doc_id", "key"))
-    copies = materialise(copies, "near-copies")
+    copies = copies.select("key", "first.doc_id", "first.size", "first.hubs", "copies")
+    # A number for each different set, so that texts of one doc_id are told apart; it is fixed when the table is written.
+    copies = materialise(copies.withColumn("id", F.monotonically_increasing_id()), "near-copies")
     bound = copies.select("id", F.explode("hubs").alias("hub"))
     shared = bound.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1")
     edges = materialise(split_hubs(bound.join(shared, "hub")), "near-edges")
@@ -224,13 +217,17 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, rows: int)
     work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), side.alias("side"))
     work = work.join(sets_of(docs, placed, n), "id")
     with filtered_joins(docs.sparkSession):
-        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id binary, n bigint, hub binary"), "near-links")
+        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
     links = done.groupBy("id").agg(F.sum("n").alias("n"))
     hubs = done.filter("hub is not null").select("id", "hub")
     classes = components(hubs.select("id").distinct(), hubs, "near-classes")
+    members = classes.join(copies.select("id", "doc_id", "key"), "id")
+    least = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("id", F.struct("doc_id", "key")).alias("top"))
+    classes = classes.join(least, "label").select("id", "class_id", "top")
     reps = copies.join(links, "id", "left").join(classes, "id", "left")
     n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-    reps = reps.select("key", F.col("id").alias("copy"), F.coalesce("label", "id").alias("label"), n_links.alias("n_links"))
+    first = F.coalesce(F.col("top") == F.col("id"), F.lit(True))
+    reps = reps.select("key", F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), first.alias("first"), n_links.alias("n_links"))
     return every.select("doc_id", "key").join(reps, "key", "left")
 
 
@@ -242,9 +239,10 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     if they are alike; repeated rows are copies of each other. Of a very long text only the shingles' hashes are held. Other columns of
     docs are not carried, whatever their names. An empty table gives an empty result.
     """
-    out = _joined(docs, n, threshold, recall, rows).withColumn("known", F.col("doc_id").isNotNull())
-    class_id, copy_of, links = F.when(F.col("known"), _doc_id("label")), F.when(F.col("known"), _doc_id("copy")), F.when(F.col("known"), F.col("n_links"))
-    return out.select("doc_id", F.coalesce(class_id, "doc_id").alias("class_id"), F.coalesce(copy_of, "doc_id").alias("copy_of"), F.coalesce(links, F.lit(0)).cast("long").alias("n_links"))
+    out = _joined(docs, n, threshold, recall, rows)
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c))
+    cols = [F.coalesce(known(c), "doc_id").alias(c) for c in ("class_id", "copy_of")]
+    return out.select("doc_id", *cols, F.coalesce(known("n_links"), F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
@@ -252,13 +250,17 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     Rows without an id, and those without words, are classes of their own: all of them stay. Different texts of one doc_id stay or go
     each by its own class."""
     joined = _joined(docs.select("doc_id", "text"), n, threshold, recall, rows).filter("doc_id is not null")
-    won = (F.col("key").isNull()) | ((F.col("copy") == F.col("label")) & (F.col("doc_id") == _doc_id("label")))
+    won = F.col("key").isNull() | (F.col("first") & (F.col("doc_id") == F.col("copy_of")))
     joined = materialise(joined.select("doc_id", "key", won.alias("won")), "near-won")
     many = joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("won").alias("won")).filter("won")
     names = docs.columns
     only, won_id, won_key, key = (fresh(n, names) for n in ("_near_only", "_near_won_id", "_near_won_key", "_near_key"))
     is_only = F.col("doc_id").cast("long") == F.col(only)
-    out = docs.join(many.filter("n = 1").select(F.col("doc_id").alias(only)), is_only, "left_semi")
+    # The ids have no bound: their side is dealt by hash, never broadcast, and the texts are not sorted.
+    out = docs.join(many.filter("n = 1").select(F.col("doc_id").alias(only)).hint("shuffle_hash"), is_only, "left_semi")
+    out = out.unionByName(docs.filter("doc_id is null"))
+    if not many.filter("n > 1").limit(1).count():
+        return out
     # The few ids of several rows: their keys are made anew, to tell which of the texts won.
     again = docs.join(many.filter("n > 1").select(F.col("doc_id").alias(only)), is_only, "left_semi")
 
@@ -272,7 +274,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     won_by = (F.col("doc_id").cast("long") == F.col(won_id)) & (F.col(key) == F.col(won_key))
     texts = again.join(winners, won_by, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     blank = again.filter(F.col(key).isNull()).drop(key)
-    return out.unionByName(texts).unionByName(blank).unionByName(docs.filter("doc_id is null"))
+    return out.unionByName(texts).unionByName(blank)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
