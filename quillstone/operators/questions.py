@@ -52,8 +52,8 @@ def listed(chunks: DataFrame, field: str) -> DataFrame:
 def collisions(questions: DataFrame, key: str, url: str, limit: int = TOP) -> DataFrame:
     """question (normal form), n (different keys), n_urls, severity, cross_page and slots (places of a result that it takes, if it is critical and
     on several pages) of the questions (key, url, question) that two keys or more have. Pairs are counted before they meet."""
-    pairs = questions.select(T.norm_question(F.col("question")).alias("question"), key, url).distinct()
-    per_key = pairs.groupBy("question", key).agg(F.min(url).alias("_u"), F.collect_set(url).alias("_us"))
+    normal = questions.select(T.norm_question(F.col("question")).alias("question"), key, url)
+    per_key = normal.groupBy("question", key).agg(F.min(url).alias("_u"))
     out = per_key.groupBy("question").agg(F.count("*").alias("n"), F.count_distinct("_u").alias("n_urls")).filter("n > 1")
     cross = F.col("n_urls") > 1
     slots = F.when(cross & (F.col("n") >= 21), F.least(F.col("n"), F.lit(limit))).otherwise(0)
@@ -250,7 +250,8 @@ def top_terms(pages: DataFrame, key: str, text: str, n: int = 30, stop: tuple[st
 def topic_pairs(pages: DataFrame, key: str, category: str, terms: str, n: int, least: float = 0.08) -> DataFrame:
     """The n pairs (a, b, likeness) of pages of one category that share most of their terms, each page in one pair at most, best first.
 
-    Pages meet by the terms they share, so that no two without any are compared; then a pair is taken if it is the best that both of its pages
+    Pages meet by the terms they share, so that no two without any are compared, but all that share a common one are: this is for pages by the
+    thousand, as the choice of pairs to write questions about is. Then a pair is taken if it is the best that both of its pages
     have, until n are taken or none is left: what the one-by-one choice of the best pair takes, a round at a time."""
     rows = pages.select(key, category, F.explode(terms).alias("t"))
     size = pages.select(F.col(key).alias("k"), F.size(terms).alias("s"))
