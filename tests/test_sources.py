@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.sources import files as S
 from quillstone.sources import workbook as W
-from quillstone.storage import materialise, shared_dir
+from quillstone.storage import materialise, scope, shared_dir
 
 NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
@@ -153,4 +153,9 @@ def test_sinks(spark, tmp_path):
 
 
 def test_storage(spark):
-    assert shared_dir(spark) and materialise(spark.range(3), "t").count() == 3
+    before = materialise(spark.range(2), "t")
+    with scope(spark) as clean:
+        one, two = materialise(spark.range(3), "t"), materialise(spark.range(4), "t")
+        files = [f.removeprefix("file://") for f in one.inputFiles()]
+        assert shared_dir(spark) and one.count() == 3 and all(map(os.path.exists, files))
+        assert clean(keep=1) == 1 and not any(map(os.path.exists, files)) and two.count() == 4 and before.count() == 2
