@@ -38,14 +38,25 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 
 _KEY = r"[A-Za-z0-9_+/-]"
-_PASS = "(?:[Pp]ass(?:word|wd|wort|phrase)?|PASSWORD|[Pp]wd|[Cc]ontraseña|[Cc]lave)"
-#: kind: (the kind in KINDS of its spans, pattern, guard). The lookbehinds of a pattern see text, not its other matches.
+_PASS = "(?:[Pp]ass(?:word|wd|wort|phrase)|PASSWORD|[Pp]wd|[Cc]ontraseña|[Cc]lave)"
+
+
+def _secret_signs(text: Column) -> Column:
+    """A digit beside another character of a key, or a part of what announces a password or a private key."""
+    out = text.rlike("[0-9]") & text.rlike("[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]")
+    for part in ("assw", "assph", "PASSW", "pwd", "Pwd", "ontrase", "lave", "PRIVATE KEY"):
+        out = out | text.contains(part)
+    return out
+
+
+#: kind: (the kind in KINDS of its spans, pattern, guard: a cheap pattern or condition without which there is no match). The lookbehinds
+#: of a pattern see text, not its other matches.
 CANDIDATES = {
-    "secret": ("secret", rf"(?<!{_KEY})(?={_KEY}{{0,256}}[0-9])(?={_KEY}{{0,256}}[A-Za-z]){_KEY}{{12,}}+={{0,2}}|(?<={_PASS}\x20{{0,2}}[:=]\x20{{0,2}}[\"']{{0,1}})[^\s\"']{{6,}}+|-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----", r"[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]|BEGIN|PASS|[Pp]ass|[Pp]wd|[Cc]lave|traseña"),
+    "secret": ("secret", rf"(?<!{_KEY})(?={_KEY}{{0,256}}[0-9])(?={_KEY}{{0,256}}[A-Za-z]){_KEY}{{12,}}+={{0,2}}|(?<={_PASS}\x20{{0,2}}[:=]\x20{{0,2}}[\"']{{0,1}})[^\s\"']{{6,}}+|-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----", _secret_signs),
     "number": ("phone", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", r"[0-9][\x20.-][0-9]"),
     "id": ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{1,2}[0-9]{6,9}[A-Z]?|[0-9]{8}-?[A-Z])(?![0-9A-Za-z-])", "[0-9]{4}"),
     "account": ("account", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![0-9A-Za-z])", "[A-Z]{2}[0-9]{2}"),
-    "name": ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Señor|Señora|Sra?)\.?\x20\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}\p{Ll}++){0,2}", r"(?:[MS]rs?|Ms|[DS]ra?|Prof|Herr|Frau|Mme|Mlle|Señora?)\.?\x20\p{Lu}"),
+    "name": ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Señor|Señora|Sra?)\.?\x20\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}\p{Ll}++){0,2}", r"[MDPHFS](?:rs?|s|rof|err|rau|me|lle|ra|eñora?)\.?\x20\p{Lu}"),
 }
 CODES = (*BASE, *CANDIDATES)
 #: Words that announce a kind, in the languages of the tables.
@@ -137,7 +148,7 @@ def _place(pairs: Column) -> Column:
     return bound(F.transform(F.sequence(F.lit(0), n_runs - 1), lambda i: F.slice(pairs, i * _RUN + 1, F.lit(_RUN))), placed)
 
 
-def _found(text: Column, pattern: str, guard: str) -> Column:
+def _found(text: Column, pattern: str, guard) -> Column:
     """Structs (start, end, match, text before it) for the pattern's matches, in order. Places are of code points."""
 
     def pairs(m):
@@ -145,7 +156,8 @@ def _found(text: Column, pattern: str, guard: str) -> Column:
         return bound(F.zip_with(m, gaps, lambda x, g: F.struct(x.alias("match"), g.alias("gap"))), _place)
 
     found = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, pairs(m)))
-    return F.coalesce(F.when(text.contains(guard) if guard == "@" else text.rlike(guard), found), F.array().cast(_FOUND))
+    sign = guard(text) if callable(guard) else text.contains(guard) if guard == "@" else text.rlike(guard)
+    return F.coalesce(F.when(sign, found), F.array().cast(_FOUND))
 
 
 def _voted(kind: str, x: Column) -> Column:
