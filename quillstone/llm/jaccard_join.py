@@ -28,6 +28,8 @@ N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
 BLOCK, SHINGLES = 256, 1 << 20
 #: Edges of a hub beyond which it is split.
 SPLIT = 64
+#: Into how many keys a group is dealt to learn its number of parts.
+SALT = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,14 +145,20 @@ def components(nodes: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
+_LINKS = ["id", "n", "hub", "p", "q"]
+
+
 def _verify(threshold: float):
+    """For a pair of blocks, p and q: the number of links of each set, and a forest of links, whose trees are hubs of that pair alone, so that
+    none has more members than two blocks."""
+
     def run(key, table_):
         pdf = table_.to_pandas()
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         same = key[1].as_py() == key[2].as_py()
         b = a if same else b
         if not len(a) or not len(b):  # a part that no set fell into
-            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "n", "hub")})
+            return pa.table({n: pa.array([], pa.int64()) for n in _LINKS})
         sets_a, sets_b = ([np.frombuffer(x, np.uint64) for x in side["set"]] for side in (a, b))
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_b]))
         met = np.zeros((len(a), len(b)), np.int64)
@@ -188,7 +196,8 @@ def _verify(threshold: float):
             if x != y:
                 parent[max(x, y)] = min(x, y)
         rows += [(x, 0, root(x)) for x in list(parent)]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["id", "n", "hub"])
+        place = [pa.array([k.as_py()] * len(rows), pa.int64()) for k in key[1:]]
+        return pa.Table.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), *place], _LINKS)
 
     return run
 
@@ -210,16 +219,19 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, rows: int)
     # Blocks of a group: by a hash, in as many parts as its sets or their shingles ask for; each pair of parts is a task's work.
     slim = groups.join(copies.select("id", "doc_id", "key", "size", "copies"), "id")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES))
-    placed = slim.join(slim.groupBy("grp").agg(parts.alias("parts")), "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    placed = materialise(placed, "near-placed")
+    # Few groups have several parts; theirs are dealt out by SALT, so that no task reads all rows of a large group.
+    large = slim.groupBy("grp").agg(parts.alias("parts")).filter("parts > 1").select("grp", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SALT)).cast("int"))
+    placed = salted.join(large, ["grp", "salt"], "left").drop("salt").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    placed = materialise(placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "near-placed")
     work = placed.select("id", "copies", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     side = F.when(F.col("part") <= F.col("other"), 0).otherwise(1)
     work = work.select("id", "copies", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), side.alias("side"))
     work = work.join(sets_of(docs, placed, n), "id")
     with filtered_joins(docs.sparkSession):
-        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), "id bigint, n bigint, hub bigint"), "near-links")
+        done = materialise(work.groupBy("grp", "p", "q").applyInArrow(_verify(threshold), ", ".join(f"{c} bigint" for c in _LINKS)), "near-links")
     links = done.groupBy("id").agg(F.sum("n").alias("n"))
-    hubs = done.filter("hub is not null").select("id", "hub")
+    hubs = done.filter("hub is not null").select("id", F.struct("hub", "p", "q").alias("hub"))
     classes = components(hubs.select("id").distinct(), hubs, "near-classes")
     members = classes.join(copies.select("id", "doc_id", "key"), "id")
     least = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("id", F.struct("doc_id", "key")).alias("top"))
