@@ -288,6 +288,16 @@ n AS (SELECT *, {STRIPPED.format("regexp_replace(lower(question), '[^a-z0-9 ]',
 f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS k FROM n WHERE norm <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS j FROM f WHERE k = 1)
 SELECT source AS source_url, doc_id AS chunk_id, product_category, md5(question) AS question_md5 FROM r WHERE j <= 20""",
+    "question_quality": rf"""
+WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS q, text AS t, lower(split_part(text, chr(10), 1)) AS low FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, len(list_filter(string_split({COLLAPSED.format('q')}, ' '), lambda w: w <> '')) AS n,
+  {STRIPPED.format("regexp_replace(" + STRIPPED.format('low') + ", '[?!.,;:]+$', '')")} AS plain,
+  len(list_filter(list_transform(list_filter(string_split({COLLAPSED.format('t')}, ' '), lambda w: length(w) > 3 AND lower(w) NOT IN ({', '.join(f"'{w}'" for w in questions.STOP)})),
+    lambda w: regexp_replace(lower(w), '^[.,?!:;()\[\]"'']+|[.,?!:;()\[\]"'']+$', '', 'g')), lambda w: contains(low, w))) > 0 AS grounded,
+  array_to_string({TOKENS.format('q')}, ' ') AS nq, array_to_string({TOKENS.format('t')}, ' ') AS nt FROM d),
+b AS (SELECT *, plain IN ({', '.join(f"'{w}'" for w in questions.BLOCKED)}) AS blocked, regexp_matches({STRIPPED.format('low')}, '({")|(".join(questions.GENERIC)})') AS generic FROM g)
+SELECT doc_id, CASE WHEN blocked OR NOT grounded OR n < 5 OR generic THEN 0 WHEN contains(low, 'er') OR contains(low, 'qu') THEN 2 ELSE 1 END AS score,
+  NOT blocked AND grounded AND n BETWEEN 1 AND 12 AS is_title, length(q) BETWEEN 8 AND 220 AS is_valid, length(nq) >= 20 AND contains(nt, nq) AS is_evidence FROM b""",
     "category_sample": """
 WITH r AS (SELECT doc_id, coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS n FROM documents)
 SELECT doc_id, source FROM r WHERE n <= 5 ORDER BY n, source LIMIT 60""",
