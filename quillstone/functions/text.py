@@ -27,16 +27,19 @@ def n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(collapsed(c), " "), lambda w: w != ""))
 
 
-def has_any(text: Column, phrases) -> Column:
-    """Whether text contains any of phrases, as they stand: one pattern, so that text stands in the plan once."""
-    return text.rlike("|".join(rf"\Q{p}\E" for p in phrases)) if phrases else F.lit(False)
-
-
 def bound(value, fn):
     """fn(value) with value computed once: a chain of steps that each use the last one twice stays as long as it is."""
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def has_any(text: Column, phrases) -> Column:
+    """Whether text contains any of phrases, as they stand. Text stands in the plan once, and is computed once."""
+    if not phrases:
+        return F.lit(False)
+    listed = F.array(*[F.lit(p) for p in phrases])
+    return bound(text, lambda t: F.exists(listed, lambda p: t.contains(p)))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
