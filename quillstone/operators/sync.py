@@ -1,16 +1,20 @@
 """Keeping an index of chunks in step with its pages: plans, gates, snapshots, changes and promotion.
 
-An index is a table of chunks (chunk_id, source_url, dropdown_url, ...). Plans are read-only tables; applying one writes a new snapshot and
-moves a pointer, so that a failure leaves the old one in place. Gates are one row of counts, checked before anything is written.
+An index is a table of chunks (chunk_id, source_url, dropdown_url, ...). Plans are read-only tables; applying one writes a new version of a
+sources.snapshots.Table and moves its pointer, so that a failure leaves the old one in place. Gates are one row of counts, checked before
+anything is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.snapshots import Pointer, Table
 
 
 class Refused(RuntimeError):
@@ -294,16 +298,32 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def apply_plan(table: DataFrame, rows: DataFrame, stale: DataFrame, key: str, path: str, aborted: bool = False) -> DataFrame:
-    """Writes the next snapshot (rows put in, then stale keys out) to path, counts it against what is expected, and returns it. Refuses if a gate
-    aborts, before anything is written; the old snapshot is never touched."""
+def apply_plan(index: Table, rows: DataFrame, stale: DataFrame, key: str, aborted: bool = False, batch: str | None = None) -> int:
+    """Commits the next version of index: rows put in, then stale keys out, counted against what is expected before the pointer moves; returns
+    its number. Refuses if a gate aborts, before anything is written. A batch of a name that was committed changes nothing."""
     if aborted:
         raise Refused("too many pages would vanish")
-    wanted = delete(upsert(table, rows, key), stale, key)
-    wanted.write.mode("errorifexists").parquet(path)
-    out = table.sparkSession.read.parquet(path)
-    verify_count(out, wanted.count())
-    return out
+    if batch is not None and (done := index.of_batch(batch)):
+        return done
+    base = index.version()
+    now = index.read(base)
+    expected = delete(now.select(key).union(rows.select(key)).distinct(), stale, key)
+    return index.write(delete(upsert(now, rows, key), stale, key), base=base, check=lambda df: verify_count(df, expected.count()), batch=batch)
+
+
+def promote(alias: Pointer, plan: DataFrame, drop: Callable[[str], object] | None = None) -> str:
+    """Moves alias to the index that promotion() promotes, then drops those that it drops, and returns the new name. Refuses for the reason that the
+    plan gives; Stale if another promotion came first. A drop that fails leaves the alias moved."""
+    base = alias.version()
+    rows = plan.collect()  # a handful of indexes
+    new = next((r.name for r in rows if r.role == "promoted"), None)
+    if new is None:
+        raise Refused(next((r.reason for r in rows if r.reason), "index not found"))
+    alias.move(new, base)
+    for r in rows:
+        if r.role == "dropped" and drop is not None:
+            drop(r.name)
+    return new
 
 
 def verify_count(table: DataFrame, expected: int) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, BooleanType, FloatType, LongType, Strin
 
 from ..functions import text as T
 from ..functions import urls as U
+from .snapshots import Table, current
 
 PAGE = "source_url string, url string, dropdown_url string, dropdown_title string, title string, section string, content string, content_hash string, video_url string, page_purpose string"
 FAILURE = "url string, reason string"
@@ -33,7 +34,7 @@ def latest(spark: SparkSession, folder: str, glob: str = "*.json", without: str
 
 def load_pages(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
     """The page records of a JSON file (an array, or an object a line). Refuses an empty file, and records without source_url or content."""
-    pages = spark.read.schema(schema).json(path, multiLine=True)
+    pages = spark.read.schema(schema).json(where := current(spark, path), multiLine=where == path)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     n, bad = pages.agg(F.count("*"), F.count_if(blank("source_url") | blank("content"))).first()
     if not n or bad:
@@ -164,23 +165,24 @@ def fixture_html(spark: SparkSession, urls: DataFrame, folder: str) -> DataFrame
 
 
 def save_pages(pages: DataFrame, path: str) -> bool:
-    """Writes pages as JSON, in place of what was there only when all are written; an empty result leaves it alone. Returns whether it wrote."""
+    """Writes pages as JSON, as the next version of the table at path: what was there stays until all are written. An empty result leaves it alone.
+    Returns whether it wrote."""
     if not pages.limit(1).count():
         return False
-    pages.write.mode("overwrite").json(path)
+    Table(pages.sparkSession, path, "json").write(pages)
     return True
 
 
 def archive(rows: DataFrame, path: str, run: str) -> None:
-    """Keeps the full rows that are to be deleted, by run."""
-    rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(path)
+    """Keeps the full rows that are to be deleted, by run. A run that comes again writes the same folder again."""
+    rows.write.mode("overwrite").json(f"{path}/run={run}")
 
 
 def save_report(parts: dict[str, DataFrame], path: str) -> None:
-    """A folder of CSV files for each part of a report, arrays and maps as JSON."""
+    """A table of CSV files for each part of a report, arrays and maps as JSON; an earlier report stays until a part is written."""
     for name, df in parts.items():
         flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (ArrayType, StructType)) or f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema.fields]
-        df.select(*flat).write.mode("overwrite").csv(f"{path}/{name}", header=True)
+        Table(df.sparkSession, f"{path}/{name}", "csv", header=True).write(df.select(*flat))
 
 
 def save_manifest(spark: SparkSession, manifest: dict, path: str) -> str:
@@ -230,18 +232,14 @@ QUESTION_INDEX = StructType([*INDEX.fields, _field("title_questions", StringType
 WEIGHTS = {"title_questions": 5.0, "title": 4.0, "augmented_questions": 2.0, "section": 2.0, "description": 1.5, "content": 1.0, "dropdown_title": 1.0}
 
 
-def create_index(spark: SparkSession, path: str, schema: StructType = INDEX, fresh: bool = False) -> DataFrame:
-    """An empty table of the schema at path, if there is none or a fresh one is wanted; else the one that is there, if its fields are the same."""
-    try:
-        there = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
-    if there is None or fresh:
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-        return spark.read.schema(schema).parquet(path)
-    lacking = [f.name for f in schema.fields if f.name not in there.columns]
+def create_index(spark: SparkSession, path: str, schema: StructType = INDEX, fresh: bool = False) -> Table:
+    """The index at path. If there is none, or a fresh one is wanted, an empty version of the schema is committed; earlier ones stay. Refuses one that
+    lacks fields of the schema."""
+    index = Table(spark, path)
+    if fresh or not index.exists():
+        index.write(spark.createDataFrame([], schema))
+        return index
+    lacking = [f.name for f in schema.fields if f.name not in index.read().columns]
     if lacking:
         raise ValueError(f"{path} lacks {lacking}")
-    return there
+    return index

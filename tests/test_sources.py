@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.sources import files as S
 from quillstone.sources import workbook as W
+from quillstone.sources.snapshots import Table
 from quillstone.storage import materialise, scope, shared_dir
 
 NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -133,22 +134,22 @@ def test_index_scans(spark):
 
 def test_sinks(spark, tmp_path):
     pages = spark.createDataFrame([("u", ["a"], 1)], "url string, list array<string>, n int")
-    assert S.save_pages(pages, f"{tmp_path}/p") and not S.save_pages(pages.limit(0), f"{tmp_path}/p") and spark.read.json(f"{tmp_path}/p").count() == 1
+    assert S.save_pages(pages, f"{tmp_path}/p") and not S.save_pages(pages.limit(0), f"{tmp_path}/p") and Table(spark, f"{tmp_path}/p").read().count() == 1
     S.archive(pages, f"{tmp_path}/old", "r1"), S.archive(pages, f"{tmp_path}/old", "r2")
     assert spark.read.json(f"{tmp_path}/old").filter("run = 'r2'").count() == 1
     S.save_report({"pages": pages}, f"{tmp_path}/report")
-    assert spark.read.csv(f"{tmp_path}/report/pages", header=True).first()["list"] == '["a"]'
+    assert Table(spark, f"{tmp_path}/report/pages").read().first()["list"] == '["a"]'
     digest = S.save_manifest(spark, {"b": 1, "a": 2}, f"{tmp_path}/m")
     assert spark.read.text(f"{tmp_path}/m").first()[0] == '{"a": 2, "b": 1}' and len(digest) == 64
     digest = S.save_evaluation({"run_id": "t"}, pages, f"{tmp_path}/run")
     assert len(digest) == 64 and json.loads(spark.read.text(f"{tmp_path}/run/report.json").first()[0]) == {"run_id": "t"}
-    assert spark.read.csv(f"{tmp_path}/run/per_query", header=True).count() == 1
+    assert Table(spark, f"{tmp_path}/run/per_query").read().count() == 1
     S.save_seed(pages.select("url"), f"{tmp_path}/seed")
     index = S.create_index(spark, f"{tmp_path}/ix")
-    assert index.count() == 0 and S.create_index(spark, f"{tmp_path}/ix").columns == S.INDEX.names
+    assert index.read().count() == 0 and S.create_index(spark, f"{tmp_path}/ix").read().columns == S.INDEX.names
     with pytest.raises(ValueError):
         S.create_index(spark, f"{tmp_path}/ix", S.QUESTION_INDEX)
-    assert S.create_index(spark, f"{tmp_path}/ix", S.QUESTION_INDEX, fresh=True).columns == S.QUESTION_INDEX.names
+    assert S.create_index(spark, f"{tmp_path}/ix", S.QUESTION_INDEX, fresh=True).read().columns == S.QUESTION_INDEX.names
     assert S.INDEX["chunk_id"].metadata["key"]
 
 

@@ -4,6 +4,8 @@ import json
 from pyspark.sql import functions as F
 
 from quillstone.operators import review
+from quillstone.sources import files as S
+from quillstone.sources.snapshots import Pointer, Table
 from quillstone.streaming import jobs as J
 
 AT = dt.datetime(2024, 1, 1)
@@ -65,3 +67,73 @@ def test_files_set_off_jobs(spark, tmp_path):
     rows, bad = spark.read.json(str(folder)), spark.createDataFrame([("ERROR",)], "severity string")
     assert J.judged_output(rows, bad, f"{tmp_path}/good", f"{tmp_path}/rejected").endswith("rejected")
     assert J.judged_output(rows, bad, f"{tmp_path}/good", f"{tmp_path}/rejected", blocking=False).endswith("good")
+
+
+TEXT = "A sentence that is long enough to make a chunk of a page of its own. " * 3
+PAGES = "source_url string, dropdown_url string, dropdown_title string, title string, content string, content_hash string, video_url string"
+
+
+def _crawl(spark, *pages):
+    return spark.createDataFrame([(f"https://p/{u}", "", "", None, f"{TEXT}{c}", c, "") for u, c in pages], PAGES)
+
+
+def _indexed(spark, tmp_path):
+    return S.create_index(spark, f"{tmp_path}/index"), Pointer(spark, f"{tmp_path}/runs")
+
+
+def _state(index):
+    return {(r.source_url, r.content[-1], r.refresh_count) for r in index.read().collect()}
+
+
+def test_index_job(spark, tmp_path):
+    index, runs = _indexed(spark, tmp_path)
+    job = J.index_job(index, runs, "own.org", f"{tmp_path}/old", embed=lambda df: df.withColumn("embedding", F.array(F.lit(0.5).cast("float"))))
+    whole = [(i, "a") for i in range(8)]
+    job(_crawl(spark, *whole), 0)
+    assert len(_state(index)) == 8 and index.read().filter("embedding IS NULL").count() == 0
+    job(_crawl(spark, *whole[:7], (9, "b")), 1)
+    assert {u for u, _, _ in _state(index)} == {f"https://p/{i}" for i in (*range(7), 9)} and spark.read.json(f"{tmp_path}/old/run=index-1").count() == 1
+    before = index.version()
+    job(_crawl(spark, (9, "z")), 1)  # comes again
+    job(_crawl(spark, (9, "b")), 2)  # most pages would vanish
+    job(_crawl(spark), 3)
+    assert index.version() == before and [e["value"]["outcome"] for e in runs.history()] == ["committed", "committed", "too many pages would vanish", "no usable page"]
+
+
+def test_a_job_that_fails_between_commit_and_note(spark, tmp_path, monkeypatch):
+    index, runs = _indexed(spark, tmp_path)
+    job = J.index_job(index, runs, "own.org")
+    with monkeypatch.context() as m:
+        m.setattr(Pointer, "move", lambda self, *a, move=Pointer.move, **k: move(self, *a, **k) if self is index else 1 / 0)
+        try:
+            job(_crawl(spark, (1, "a")), 0)
+        except ZeroDivisionError:
+            pass
+    assert index.version() == 2 and runs.version() == 0
+    job(_crawl(spark, (1, "b"), (2, "b")), 0)
+    assert index.version() == 2 and runs.value() == {"batch": "index-0", "outcome": "committed", "version": 2}
+
+
+def test_freshness_job(spark, tmp_path):
+    index, runs = _indexed(spark, tmp_path)
+    J.index_job(index, runs, "own.org")(_crawl(spark, *[(i, "a") for i in range(6)]), 0)
+    index.write(index.read().withColumn("content_hash", F.lit("a")))
+    approved = spark.createDataFrame([(f"https://p/{i}",) for i in range(8)], "url string")
+    health = spark.createDataFrame([(f"https://p/{i}", "dead_404" if i == 0 else "ok") for i in range(8)], "url string, status string")
+    job = J.freshness_job(index, runs, approved, health, "own.org", f"{tmp_path}/old")
+    job(_crawl(spark, (1, "b"), (2, "a"), (7, "n")), 0)
+    assert _state(index) == {(f"https://p/{i}", "a", None) for i in range(2, 6)} | {("https://p/1", "b", 1), ("https://p/7", "n", 0)}
+    dead = spark.createDataFrame([(f"https://p/{i}", "dead_404") for i in range(8)], "url string, status string")
+    J.freshness_job(index, runs, approved, dead, "own.org")(_crawl(spark, (1, "c")), 1)
+    assert runs.value()["outcome"] == "too many pages would be removed" and len(_state(index)) == 6
+
+
+def test_answers_job(spark, tmp_path):
+    index, runs = Table(spark, f"{tmp_path}/answers"), Pointer(spark, f"{tmp_path}/runs")
+    index.write(spark.createDataFrame([], "entry_id string, question string, answer string, intent string, scenario string"))
+    sheet = lambda *rows: spark.createDataFrame(rows, "_row int, id string, question string, answer string, advice_boundary string")
+    job = J.answers_job(index, runs, ["ok.org"])
+    job(sheet((2, "a", "One?", "1", "true"), (3, "b", "Two?", "2", "true")), 0)
+    job(sheet((2, "a", "One?", "one", "true")), 1)
+    job(sheet((2, "a", "", "x", "true")), 2)
+    assert [tuple(r)[:3] for r in index.read().collect()] == [("a", "One?", "one")] and runs.value()["outcome"] == "1 rows with errors"
