@@ -373,3 +373,20 @@ def test_language_id_on_odd_tables(spark):
             langid.fit(docs)
         finally:
             langid.LANGS = before
+
+
+def test_bpe_of_long_pieces():
+    """Pieces that nothing cuts, up to a megabyte, against the library; and the heap against the plain merge on fragments of all lengths."""
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    library, codec, rng = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Codec(bpe.vocabulary_path()), random.Random(6)
+    mixed = "".join(rng.choice("abcdefghé") for _ in range(50_000))
+    for t in ("a" * 1_000_000, "=" * 200_000, "ab" * 20_000, "<|" * 5000, mixed, f"{mixed} {mixed}"):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t)[0] == struct.pack(f"<{len(ids)}I", *ids)
+    for n in range(1, 120):
+        part = [rng.choice("etaoinsh") for _ in range(n - 1)] + ["e" + codec.end]
+        assert codec._merge_long(list(part)) == codec.merge(list(part)) if n <= 48 else codec._merge_long(list(part))
