@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import content, markdown, markup, questions, review, sync
+from ..operators import blocks, content, markdown, markup, questions, review, sync
 from .base import COLLAPSED, STRIPPED, TOKENS, question, read, same_question
 
 OWN = "example.com"
@@ -66,28 +66,34 @@ def cleaning(spark, sf_dir):
 
 def md_elements(spark, sf_dir):
     """How many elements of each type a text has, and their characters."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(markdown.elements("text")).alias("e"))
-    return rows.groupBy("doc_id", "e.type").agg(F.count("*").alias("n"), F.sum("e.n_chars").alias("n_chars"))
+    rows = blocks.elements(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 def md_tables(spark, sf_dir):
-    found = read(spark, sf_dir, "documents").select("doc_id", markdown.tables("text").alias("t"), markdown.html_tags_left(F.col("text")).alias("n_tags"), markdown.aligned_lines(F.col("text")).alias("n_aligned"))
-    return found.select("doc_id", F.size("t").alias("n_tables"), markdown.table_class(F.col("t")).alias("kind"), "n_tags", "n_aligned")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    looks = docs.select("doc_id", markdown.html_tags_left(F.col("text")).alias("n_tags"), markdown.aligned_lines(F.col("text")).alias("n_aligned"))
+    return blocks.table_classes(docs, "doc_id", "text").join(looks, "doc_id")
 
 
 def md_statistics(spark, sf_dir):
-    return markdown.page_statistics(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.page_statistics(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def md_profile(spark, sf_dir):
-    return markdown.sample_profile(read(spark, sf_dir, "documents"), "doc_id", "text", 30, 42, 5)
+    return blocks.sample_profile(read(spark, sf_dir, "documents"), "doc_id", "text", 30, 42, 5)
+
+
+def document_pieces(spark, sf_dir):
+    """The chunks of every text by its sections and tables."""
+    return blocks.pieces(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pos", "part", "type", F.md5("text").alias("text_md5"))
 
 
 def page_chunks(spark, sf_dir):
     """Pages to chunks: content, cleaning, splitting, ids."""
     rows = markup.page_rows(read(spark, sf_dir, "pages")).filter("problem IS NULL")
     pages = rows.select("page_id", F.col("url").alias("source_url"), F.lit("").alias("dropdown_url"), F.lit("").alias("dropdown_title"), F.lit("Page").alias("title"), "content")
-    return markdown.chunk_pages(pages, OWN).select("page_id", "chunk_index", "total_chunks", "element_type", "chunk_id", "content_hash")
+    return blocks.chunk_pages(pages, OWN).select("page_id", "chunk_index", "total_chunks", "element_type", "chunk_id", "content_hash")
 
 
 def main_content(spark, sf_dir):
@@ -197,7 +203,7 @@ def representative_chunks(spark, sf_dir):
 
 
 NAMES = (
-    text_forms, content_ids, citation_lists, duplicate_documents, duplicate_survivors, repetition_gate, document_chunks, cleaning, md_elements, md_tables, md_statistics, md_profile,
+    text_forms, content_ids, citation_lists, duplicate_documents, duplicate_survivors, repetition_gate, document_chunks, cleaning, md_elements, md_tables, md_statistics, md_profile, document_pieces,
     page_chunks, main_content, page_facts, question_collisions, collision_severity, collision_summary, collision_impact, dangerous_questions,
     collisions_by_language, priority_dedup, seed_questions, question_quality, category_sample, stratified_sample, low_signal, fuzzy_items, top_terms,
     topic_pairs, product_pages, representative_chunks,
@@ -230,6 +236,41 @@ def _cleaned() -> str:
     return f"WITH {', '.join(steps)} SELECT doc_id, md5({STRIPPED.format(last)}) AS cleaned_md5, {names} FROM s{n}"
 
 
+def _marked(typed: bool) -> str:
+    """The SQL of lines with the types of their elements, as table m."""
+    ends = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+    page, run = "OVER (PARTITION BY doc_id ORDER BY pos)", "OVER (PARTITION BY doc_id, run{0} ORDER BY pos)"
+    code = "starts_with(bare, '```') OR odd" if typed else "false"
+    listed = f"goes AND max((goes AND item)::INT) {run.format(1)} = 1" if typed else "false"
+    header = "{1,4}" if typed else "{1,6}"
+    breaks = "starts_with(bare, '|') OR starts_with(bare, '#')" if typed else "starts_with(bare, '|')"
+    return rf"""
+l AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) AS pos FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{ends}]*(?:\r\n|[{ends}])|[^{ends}]+') AS x FROM documents)),
+b AS (SELECT *, regexp_replace(raw, '(\r\n|[{ends}])$', '') AS line, {STRIPPED.format('raw')} AS bare, length(raw) AS len FROM l),
+c AS (SELECT *, sum(len) {page} - len AS place, sum(starts_with(bare, '```')::INT) {page} % 2 = 1 AS odd, regexp_matches(bare, '^([-*+]|[0-9]+\.)\s') AS item FROM b),
+g AS (SELECT *, {code} AS code, (starts_with(bare, '```') AND odd AND {typed}) AS opens,
+  NOT ({code}) AND bare <> '' AND (item OR regexp_matches(line, '^\s')) AS goes FROM c),
+h AS (SELECT *, sum((NOT goes)::INT) {page} AS run1 FROM g),
+i AS (SELECT *, {listed} AS listed FROM h),
+j AS (SELECT *, starts_with(bare, '|') AND NOT code AND NOT listed AS piped,
+  CASE WHEN code OR listed THEN 0 ELSE length(regexp_extract(bare, '^(#{header})\s', 1)) END AS level FROM i),
+k AS (SELECT *, sum((NOT piped)::INT) {page} AS run2 FROM j),
+o AS (SELECT *, CASE WHEN code THEN 'code' WHEN listed THEN 'list' WHEN level > 0 THEN 'header'
+  WHEN piped AND max((piped AND contains(substr(bare, 2), '|'))::INT) {run.format(2)} = 1 THEN 'table' WHEN bare = '' THEN 'blank' ELSE 'prose' END AS type FROM k),
+m AS (SELECT *, type IN ('header', 'blank') OR opens OR (type = 'prose' AND ({breaks})) OR lag(type, 1, '') {page} <> type AS starts FROM o)"""
+
+
+_RULE = "len(list_filter(cells, lambda x: x <> '' AND NOT regexp_matches(x, '^[-:]+$'))) = 0"
+_TABLES = rf"""
+t AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS element FROM m),
+u AS (SELECT *, list_transform(string_split(regexp_replace(bare, '^\|+|\|+$', '', 'g'), '|'), lambda x: {STRIPPED.format('x')}) AS cells FROM t WHERE type = 'table'),
+v AS (SELECT doc_id, min(place) AS start, max(place + len) AS e, count(*) FILTER (NOT ({_RULE})) - (CASE WHEN arg_min({_RULE}, pos) THEN 0 ELSE 1 END) AS n_rows FROM u GROUP BY doc_id, element),
+w AS (SELECT doc_id, count(*)::INT AS n_tables, sum(n_rows)::INT AS n_rows, count(*) FILTER (n_rows > 0) AS filled, sum(greatest(1, ceil(n_rows / 30)))::INT AS chunks,
+  bool_or(greatest(0, floor((start - 1600) / 1400) + 1) * 1400 + 1600 < e) AS split FROM v GROUP BY doc_id)"""
+_ROUGH = "greatest(1, floor(({0} - 200) / 1400))::INT"
+
+
 ORACLE_SQL = {
     "text_forms": rf"""
 SELECT doc_id, md5(array_to_string({_T}, ' ')) AS norm_md5, md5({question('text')}) AS question_md5, md5({same_question('text')}) AS same_md5,
@@ -260,6 +301,19 @@ n AS (SELECT *, greatest(1, ceil((len(w) - 40) / 160))::INT AS total_chunks FROM
 c AS (SELECT *, unnest(range(total_chunks))::INT AS chunk_index FROM n)
 SELECT doc_id, chunk_index, total_chunks, md5(array_to_string(w[chunk_index * 160 + 1 : chunk_index * 160 + 200], ' ')) AS chunk_md5 FROM c""",
     "cleaning": _cleaned(),
+    "md_elements": f"WITH {_marked(False)} SELECT doc_id, type, count(*) FILTER (starts) AS n, sum(length(line))::BIGINT AS n_chars FROM m GROUP BY ALL",
+    "md_tables": rf"""
+WITH {_marked(False)}, {_TABLES}
+SELECT d.doc_id, coalesce(n_tables, 0) AS n_tables, CASE WHEN coalesce(filled, 0) = 0 THEN 'NO_TABLE' WHEN split THEN 'SPLIT_TABLE' ELSE 'SIMPLE_TABLE' END AS kind,
+  len(regexp_extract_all(coalesce(text, ''), '(?i)<(table|tr|td|th)\b'))::INT AS n_tags,
+  len(list_filter(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: length(x) > 40 AND regexp_matches(x, '\S+\s{{3,}}\S+\s{{3,}}\S+')))::INT AS n_aligned
+FROM documents d LEFT JOIN w USING (doc_id)""",
+    "md_statistics": f"""
+WITH {_marked(True)}, e AS (SELECT doc_id, {", ".join(f"count(*) FILTER (starts AND type = '{k}')::INT AS n_{k}, coalesce(sum(length(line)) FILTER (type = '{k}'), 0)::INT AS {k}_chars" for k in blocks.KINDS)} FROM m GROUP BY doc_id),
+f AS (SELECT * FROM (WITH {_marked(False)}, {_TABLES} SELECT * FROM w))
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}, coalesce({k}_chars, 0) AS {k}_chars" for k in blocks.KINDS)}, coalesce(n_rows, 0) AS n_rows,
+  {_ROUGH.format("length(text)")} AS flat_chunks, CASE WHEN prose_chars + header_chars > 0 THEN {_ROUGH.format("prose_chars + header_chars")} ELSE 0 END + coalesce(chunks, 0) AS element_chunks
+FROM documents d LEFT JOIN e USING (doc_id) LEFT JOIN f USING (doc_id)""",
     "page_facts": r"""
 SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>([^<]*)</title>', 1)) AS title, """
     + ", ".join(_COUNT.format(t) for t in ("img", "a", "iframe", "table", "select", "li"))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls as U
 from ..operators import sync
+from ..operators.blocks import chunk_pages
 from ..sources.files import archive
 from ..sources.snapshots import Pointer, Table
 from ..storage import materialise
@@ -127,8 +128,6 @@ def _run(name: str, index: Table, runs: Pointer, plan: Callable[[DataFrame, Data
 def index_job(index: Table, runs: Pointer, own_host: str, archived: str | None = None, protected: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, name: str = "index", order: str = "source_url") -> Batch:
     """Each batch is a whole crawl (source_url, dropdown_url, dropdown_title, title, content): its chunks are put in where their id is new, and those
     that it has no more go, unless their page is protected (url). Refused if no page is usable, or too many pages would vanish."""
-    from ..operators.markdown import chunk_pages
-
     def plan(batch, now):
         fresh = materialise(chunk_pages(batch, own_host, order), "job-chunks")
         marked = materialise(sync.stale_plan(now, fresh, protected), "job-plan")
@@ -145,8 +144,6 @@ def index_job(index: Table, runs: Pointer, own_host: str, archived: str | None =
 def freshness_job(index: Table, runs: Pointer, approved: DataFrame, health: DataFrame, own_host: str, archived: str | None = None, name: str = "freshness", order: str = "source_url") -> Batch:
     """Each batch holds pages that were fetched anew (source_url, dropdown_url, dropdown_title, title, content, content_hash, video_url): chunks of new and
     changed pages replace those of before, chunks of removed pages go, refresh counts go up by one. Refused when the breaker trips."""
-    from ..operators.markdown import chunk_pages
-
     def plan(batch, now):
         state = sync.current_state(now)
         actions = materialise(sync.freshness(approved, health, state, batch), "job-actions")

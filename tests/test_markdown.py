@@ -5,56 +5,6 @@ from quillstone.operators import markdown as M
 HOST = "own.org"
 
 
-def _table(n):
-    return "| Fund | Price |\n|---|---|\n" + "\n".join(f"| f{i} | {i}.00p |" for i in range(n))
-
-
-def test_small_tables_stay_whole():
-    for n in (5, 30):
-        out = M.pieces_of(_table(n))
-        assert [k for _, k in out] == ["table"] and out[0][0].count("\n") == n + 1
-
-
-def test_large_tables_repeat_their_header():
-    out = M.pieces_of(_table(35))
-    assert [k for _, k in out] == ["table", "table"] and all(t.startswith("| Fund | Price |\n| ---- | ----- |") for t, _ in out)
-    assert [t.count("f") for t, _ in out] == [30, 5]
-
-
-def test_odd_tables():
-    assert M.table_chunks(["| a | b |", "|---|---|"]) == ["| a | b |\n|---|---|"]
-    header, rows = M.table_of(["|---|---|", "| 1 | 2 |"])
-    assert header is None and rows == [["1", "2"]]
-    assert M.table_text(None, [["1", "2"]]) == "| 1 | 2 |"
-
-
-def test_sections_begin_at_levels_two_and_three():
-    out = M.pieces_of("## Alpha\nFirst text.\n\n### Beta\nSecond text.\n#### Deep\nMore.")
-    assert [t for t, _ in out] == ["### Alpha\nFirst text.", "### Beta\nSecond text.\n#### Deep\nMore."]
-    assert [t for t, _ in M.pieces_of("# Top\nIntro.\n## A\nText.")] == ["# Top\nIntro.", "### A\nText."]
-    assert M.pieces_of("") == [] and M.pieces_of("  \n\n ") == []
-
-
-def test_a_header_alone_joins_the_next_piece():
-    long = "word " * 400
-    out = M.pieces_of(f"## Head\n{long}\n\n{long}")
-    assert len(out) > 1 and out[0][0].startswith("### Head\nword")
-
-
-def test_splitting():
-    text = ("One sentence here. " * 200).strip()
-    parts = M.split_text(text, 300, 60)
-    assert all(len(p) <= 300 for p in parts) and "".join(parts).count("One") >= 200
-    assert all(a[-20:] in b for a, b in zip(parts, parts[1:], strict=False))
-    assert M.split_text("x" * 1000, 300, 0) == ["x" * 300, "x" * 300, "x" * 300, "x" * 100]
-    assert M.split_text("short") == ["short"] and M.split_text("") == []
-
-
-def test_elements():
-    kinds = [(e["type"], e["first"]) for e in M.elements_of("# A\ntext\nmore\n\n| a | b |\n| 1 | 2 |\n###\nx")]
-    assert kinds == [("header", 0), ("prose", 1), ("blank", 3), ("table", 4), ("prose", 6)]
-
-
 def test_links(spark):
     cases = [("[a](https://out.com/x) b", "a b"), (f"[a](https://www.{HOST}/x) b", f"[a](https://www.{HOST}/x) b"), ("see https://out.com/x now", "see now"), (f"see https://{HOST}/x now", f"see https://{HOST}/x now"), (None, "")]
     df = spark.createDataFrame([(a,) for a, _ in cases], "t string")
@@ -84,44 +34,6 @@ def test_cut_at(spark):
     assert [len(r[0]) for r in df.select(M.cut_at(F.col("t"), ["select an option", "please select"])).collect()] == [120, 64, 4]
 
 
-def test_chunk_pages(spark):
-    long = "Some sentence that is long enough to be kept as a chunk of its own page. " * 30
-    rows = [
-        (1, "https://p/a", "", "", "Title", f"## One\n{long}\n## Two\ntiny"),
-        (2, "https://p/a", "", "", "Again", long),
-        (3, "https://p/a", "https://p/a#state=x", "X", None, "The state of a page, which is one chunk however long it is."),
-        (4, "https://p/b", "", "", None, "short"),
-        (5, None, None, "", "No url", long),
-    ]
-    pages = spark.createDataFrame(rows, "page_id int, source_url string, dropdown_url string, dropdown_title string, title string, content string")
-    got = M.chunk_pages(pages, HOST).orderBy("page_id", "chunk_index").collect()
-    assert {r.page_id for r in got} == {1, 3} and [r.element_type for r in got if r.page_id == 3] == ["dropdown_state"]
-    mine = [r for r in got if r.page_id == 1]
-    assert [r.chunk_index for r in mine] == list(range(len(mine))) and {r.total_chunks for r in mine} == {len(mine)}
-    assert all(len(r.content) >= 50 for r in got) and len({r.content_hash for r in mine}) == 1
-    check = M.preflight(pages.filter("page_id IN (1, 4)"), M.chunk_pages(pages, HOST), "page_id").first()
-    assert tuple(check) == (2, 0, 0.0, True)
-
-
-def test_tables_and_windows(spark):
-    content = "x" * 1500 + "\n" + _table(20) + "\n" + "y" * 10
-    df = spark.createDataFrame([(content,), ("none",), (None,)], "t string").select(M.tables("t").alias("f"), F.coalesce("t", F.lit("")).alias("t"))
-    got = df.select(M.table_class(F.col("f")), F.size("f")).collect()
-    assert [tuple(r) for r in got] == [("SPLIT_TABLE", 1), ("NO_TABLE", 0), ("NO_TABLE", 0)]
-    t = df.first().f[0]
-    assert (t.n_rows, t.n_columns, t.start, t.split) == (20, 2, 1501, True)
-    torn = df.limit(1).select(F.filter(M.priced_rows(F.col("t")), lambda r: r["start_chunk"] != r["end_chunk"])).first()[0]
-    rows = df.limit(1).select(F.size(M.priced_rows(F.col("t")))).first()[0]
-    ends = {0: 1600}
-    lines, at, want = content.splitlines(keepends=True), 0, 0
-    for line in lines:
-        want += ".00p" in line and at < ends[0] <= at + len(line) - 1
-        at += len(line)
-    assert rows == 20 and len(torn) == want
-    left = spark.createDataFrame([("<table><tr>\n" + "a    b    c    and a long tail of text here\n" * 5,)], "t string").select(M.html_tags_left(F.col("t")), M.aligned_lines(F.col("t"))).first()
-    assert tuple(left) == (2, 5)
-
-
 def test_accordions(spark):
     rows = [("p", i, k, t, n) for i, (k, t, n) in enumerate([("header", "What is it?", 10), ("prose", "a", 100), ("header", "How so", 9), ("prose", "b", 120), ("header", "Why", 3), ("prose", "c", 90), ("header", "Title", 5), ("prose", "d", 10), ("header", "Who?", 4), ("prose", "e", 3)])]
     got = M.accordion_runs(spark.createDataFrame(rows, "k string, pos int, type string, text string, n_chars int"), "k").collect()
@@ -138,15 +50,6 @@ def test_versions(spark):
     assert df.select(M.digest(F.lit("a  b\n\n c")) == M.digest(F.lit("a b\nc"))).first()[0]
 
 
-def test_typed_elements(spark):
-    text = "# A\n- one\n  more\n- two\nprose\n```\n# code\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n\n1. x"
-    assert [(e["type"], len(e["lines"])) for e in M.typed_elements_of(text)] == [("header", 1), ("list", 3), ("prose", 1), ("code", 3), ("table", 3), ("blank", 1), ("list", 1)]
-    pages = spark.createDataFrame([(1, text), (2, _table(35)), (3, "x" * 50_000)], "k int, t string")
-    got = {r.k: r for r in M.page_statistics(pages, "k", "t").collect()}
-    assert (got[1].n_table, got[1].n_rows, got[1].n_list, got[2].n_rows, got[2].element_chunks, got[3].flat_chunks) == (1, 1, 2, 35, 2, 35)
-    assert tuple(M.sample_profile(pages, "k", "t", 5, 1).first()) == (2, 2, 2, 1)
-
-
 def test_headings(spark):
     df = spark.createDataFrame([("intro\n### Fees\nx\n**Risks** y\nplain Costs",)], "t string")
     got = df.select(M.headings_found(F.col("t"), ["Fees", "Risks", "Costs"])).first()[0]
