@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parser
+from functools import cache, reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wordlists as W
-from .text import bound, collapsed, has_any, n_words, strip
+from .text import FILLED, bound, collapsed, has_any, n_words, strip
 
 
 def _low(query: Column) -> Column:
@@ -124,9 +129,52 @@ def normal_query(text: Column, stop=STOP) -> Column:
     return F.array_join(F.transform(words, lemma), " ")
 
 
+@cache
+def signs(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every match of pattern, in any case, contains one; none if no such set can be read off. Of the sets that the parts of
+    a sequence give, the one whose shortest literal is longest."""
+
+    def of(parts) -> tuple[str, ...]:
+        sets, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            if kind == sre.LITERAL:
+                run += chr(value)
+                continue
+            if kind == sre.AT:  # takes no room, so letters on both sides stand together
+                continue
+            if run:
+                sets.append((run.lower(),))
+                run = ""
+            if kind == sre.SUBPATTERN:
+                sets.append(of(value[3]))
+            elif kind == sre.BRANCH:
+                each = [of(x) for x in value[1]]
+                sets.append(tuple(dict.fromkeys(y for x in each for y in x)) if all(each) else ())
+            elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+                sets.append(of(value[2]))
+        return max(filter(None, sets), key=lambda x: (min(map(len, x)), -len(x)), default=())
+
+    return of(sre_parser.parse(pattern))
+
+
+def _any_of(low: Column, patterns) -> Column:
+    """Whether any of patterns occurs in low, a text in lower case. A literal is found much faster than a pattern: a pattern is tried only where one of its
+    signs stands."""
+
+    def tried(t):
+        out = F.lit(False)
+        for p in patterns:
+            hit, found = t.rlike(f"(?i){p}"), signs(p)
+            out = out | (reduce(or_, [t.contains(x) for x in found]) & hit if found else hit)
+        return out
+
+    return bound(low, tried)
+
+
 def personal_data(text: Column, kinds=W.PERSONAL_DATA) -> Column:
-    """The kinds of personal data that text has, in their order."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(f"(?i){p}"), F.lit(k)) for k, p, _ in kinds]))
+    """The kinds of personal data that text has, in their order. Each needs a digit or an @."""
+    all_kinds = lambda t: F.array_compact(F.array(*[F.when(t.rlike(f"(?i){p}"), F.lit(k)) for k, p, _ in kinds]))
+    return bound(F.coalesce(text, F.lit("")), lambda t: F.when(has_any(t, tuple("0123456789@")), all_kinds(t)).otherwise(F.array().cast("array<string>")))
 
 
 def masked(text: Column, kinds=W.PERSONAL_DATA) -> Column:
@@ -137,13 +185,9 @@ def masked(text: Column, kinds=W.PERSONAL_DATA) -> Column:
     return out
 
 
-def _any_of(text: Column, patterns) -> Column:
-    return text.rlike("(?i)(?:" + ")|(?:".join(patterns) + ")")
-
-
 def blocks_personal(text: Column, named: Column | None = None, blocking=W.BLOCKING) -> Column:
     """Whether text has personal data that stops a query; named: whether a recogniser of names has found one, null if none ran."""
-    found = F.arrays_overlap(personal_data(text), F.array(*[F.lit(k) for k in blocking]))
+    found = F.size(personal_data(text, tuple(k for k in W.PERSONAL_DATA if k[0] in blocking))) > 0
     return found if named is None else found | F.coalesce(named, F.lit(False))
 
 
@@ -157,11 +201,14 @@ def is_allowed_name(span: Column, names: list[str], least: float = 0.85) -> Colu
     return out
 
 
-def is_irrelevant(text: Column, words=W.IRRELEVANT, patterns=W.IRRELEVANT_PATTERNS, relevant=W.for_brand(W.RELEVANT)) -> Column:
-    low = _low(text)
+def _is_irrelevant(low: Column, words=W.IRRELEVANT, patterns=W.IRRELEVANT_PATTERNS, relevant=W.for_brand(W.RELEVANT)) -> Column:
     return (has_any(low, words) | _any_of(low, patterns)) & ~has_any(low, relevant)
 
 
+def is_irrelevant(text: Column, words=W.IRRELEVANT, patterns=W.IRRELEVANT_PATTERNS, relevant=W.for_brand(W.RELEVANT)) -> Column:
+    return bound(_low(text), lambda low: _is_irrelevant(low, words, patterns, relevant))
+
+
 def is_crime(text: Column) -> Column:
     return _any_of(_low(text), W.CRIME)
 
@@ -189,10 +236,14 @@ def input_problem(text: Column, named: Column | None = None, shield: Column | No
     shield: the verdict of a classifier of attacks, true for clean, false for an attack, null if it wasn't reached: only then do the
     patterns of injection and jailbreak decide. A service that fails leaves the query alone."""
     shield = F.lit(None).cast("boolean") if shield is None else shield
-    out = F.when(strip(F.coalesce(text, F.lit(""))) == "", "irrelevant").when(blocks_personal(text, named), "pii").when(is_irrelevant(text), "irrelevant")
-    out = out.when(is_crime(text) | is_weapons(text), "harmful").when(shield == F.lit(False), "harmful")
-    out = out.when(shield.isNull() & (is_injection(text) | is_jailbreak(text)), "harmful")
-    return out.when(is_severe(severities or []), "harmful")
+
+    def first(raw, low):
+        out = F.when(~raw.rlike(FILLED), "irrelevant").when(blocks_personal(raw, named), "pii").when(_is_irrelevant(low), "irrelevant")
+        out = out.when(_any_of(low, W.CRIME + W.WEAPONS), "harmful").when(shield == F.lit(False), "harmful")
+        out = out.when(shield.isNull() & _any_of(low, W.INJECTION + W.JAILBREAK), "harmful")
+        return out.when(is_severe(severities or []), "harmful")
+
+    return bound(F.coalesce(text, F.lit("")), lambda raw: bound(F.lower(raw), lambda low: first(raw, low)))
 
 
 def refusal(reason: Column, templates: dict[str, str], default: str = "general") -> Column:

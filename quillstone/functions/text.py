@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import wordlists as W
 
-#: White space at both ends, of any kind.
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: White space at both ends, of any kind; a run of it is tried once only.
+_ENDS = r"(?U)^[\s\x1c-\x1f]++|[\s\x1c-\x1f]++$"
+#: What isn't white space.
+FILLED = r"(?U)[^\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
