@@ -6,6 +6,8 @@ plan over them and is run as often as wanted without asking anybody again.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,24 +100,43 @@ def rounded_rank(rows: DataFrame, value: str, share: float = 0.95) -> Column:
     return F.expr(f"percentile_disc({(at + 0.5) / max(1, n)}) WITHIN GROUP (ORDER BY {value})")
 
 
+def _poisson(mean: int) -> list[float]:
+    """The distribution function of a Poisson variable at 0, 1 and so on, up to where nothing is left."""
+    out, p, total, n = [], math.exp(-mean), 0.0, 0
+    while total < 1 - 1e-12 and n < 20 * mean + 40:
+        total += p
+        out.append(total)
+        n += 1
+        p *= mean / n
+    return out
+
+
+_BASE = 32
+
+
 def bootstrap(values: DataFrame, value: str, iterations: int = 1000, seed: int = 1) -> DataFrame:
     """One row (low, high): the 95 % interval of the mean by resampling; null with fewer than 2 values or 100 iterations.
 
-    Each resample draws as many values as there are, with replacement, as counts: a value is drawn Poisson(1) times in each of the
-    iterations, by a seeded hash of its row. So every row is read once and combined map-side, however many there are."""
+    Each resample draws as many values as there are, with replacement, as counts: every occurrence of a value is drawn Poisson(1) times, on its own. Equal
+    values are counted first, and the occurrences of one are drawn together, in blocks of 1, 32, 32 ** 2 and so on of them, whose sums are Poisson variables
+    of these means (from 32 ** 2 on by their normal limit): some 31 draws for each power, however often a value occurs. The seeded hash of value, block and
+    iteration draws, so that reruns agree."""
     x = F.col(value).cast("double")
-    keyed = values.select(x.alias("x"), F.xxhash64(F.lit(seed), *[F.col(c) for c in values.columns]).alias("k")).filter("x IS NOT NULL")
-    numbered = keyed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    u = (F.pmod(F.xxhash64("k", "i"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    times, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for n in range(1, 9):
-        total, p = total + p, p / n
-        times = times + F.when(u > total, 1).otherwise(0)
-    drawn = numbered.withColumn("t", times).groupBy("i").agg((F.sum(F.col("x") * F.col("t")) / F.nullif(F.sum("t"), F.lit(0))).alias("m"))
+    counted = values.select(x.alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+    digits = F.array(*[F.expr(f"named_struct('k', {k}L, 'd', int((n div {k}L) % {_BASE}))") for k in (_BASE**j for j in range(12))])
+    blocks = counted.select("x", F.explode(digits).alias("b")).filter("b.d > 0").select("x", "b.k", F.explode(F.sequence(F.lit(1), F.col("b.d"))).alias("j"))
+    drawn = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "x", "k", "j", "i"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    table = lambda mean: F.size(F.filter(F.array(*[F.lit(p) for p in _poisson(mean)]), lambda p: p < F.col("u")))
+    normal = F.sqrt(-2 * F.log("u")) * F.cos(2 * math.pi * uniform(1_000_003))
+    many = F.greatest(F.lit(0.0), F.round(F.col("k") + F.sqrt("k") * normal))
+    times = F.when(F.col("k") == 1, table(1)).when(F.col("k") == _BASE, table(_BASE)).otherwise(many)
+    drawn = drawn.withColumn("u", uniform(0)).withColumn("t", times.cast("double"))
+    drawn = drawn.groupBy("i").agg((F.sum(F.col("x") * F.col("t")) / F.nullif(F.sum("t"), F.lit(0.0))).alias("m"))
     means_ = drawn.agg(F.sort_array(F.collect_list("m")).alias("m"))  # as many as iterations
     enough = F.lit(iterations >= 100) & (F.col("n") >= 2) & (F.size("m") > 0)
     at = lambda share, back: F.get("m", F.greatest(F.lit(0), F.floor(F.size("m") * share).cast("int") - back))
-    both = means_.crossJoin(keyed.agg(F.count("*").alias("n")))  # one row each
+    both = means_.crossJoin(counted.agg(F.sum("n").alias("n")))  # one row each
     return both.select(F.when(enough, at(0.025, 0)).alias("low"), F.when(enough, at(0.975, 1)).alias("high"))
 
 

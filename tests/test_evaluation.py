@@ -1,5 +1,7 @@
 """The golden values of retrieval metrics, and reports on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,7 +93,29 @@ def test_bootstrap(spark):
     xs = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "i int, x double")
     low, high = E.bootstrap(xs, "x", 300).first()
     assert 0.40 < low < 0.5 < high < 0.60 and tuple(E.bootstrap(xs, "x", 300).first()) == (low, high)
-    assert tuple(E.bootstrap(xs.limit(1), "x", 300).first()) == (None, None)
+    for few in (xs.limit(1), xs.limit(0), xs.withColumn("x", F.lit(None).cast("double"))):
+        assert tuple(E.bootstrap(few, "x", 300).first()) == (None, None)
+    assert tuple(E.bootstrap(xs, "x", 99).first()) == (None, None)
+
+
+def test_bootstrap_of_equal_rows(spark):
+    """Equal rows are drawn apart: the interval is that of a plain bootstrap, within its own spread, whatever else stands in a row."""
+    rng = random.Random(3)
+    sets = {"halves": [0.0, 1.0] * 500, "rare": [1.0] * 30 + [0.0] * 1970, "mixed": [rng.gauss(3, 1) for _ in range(300)] + [2.0] * 700, "few": [0.0, 0.0, 1.0], "alike": [0.7] * 50}
+    for name, xs in sets.items():
+        means = sorted(sum(rng.choices(xs, k=len(xs))) / len(xs) for _ in range(600))
+        want = means[15], means[584]
+        got = tuple(E.bootstrap(spark.createDataFrame([(x,) for x in xs], "x double"), "x", 600).first())
+        slack = 0.2 * (want[1] - want[0]) + 1e-9
+        assert all(abs(g - w) <= slack for g, w in zip(got, want, strict=True)), (name, got, want)
+
+
+def test_bootstrap_draws_any_count(spark):
+    """A value that occurs very often: as many draws for it as for its count in base 32; the spread is that of the mean."""
+    n = 200_000
+    low, high = E.bootstrap(spark.range(n).selectExpr("double(id % 2) AS x"), "x", 400).first()
+    spread = 2 * 1.96 * 0.5 / n**0.5
+    assert low < 0.5 < high and 0.75 * spread < high - low < 1.25 * spread
 
 
 def test_baseline_verdicts(spark):
