@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,44 +182,3 @@ def section_changes(old: DataFrame, new: DataFrame, key: str, content: str) -> D
     a, b = section_digests(old, key, content).withColumnRenamed("digest", "_a"), section_digests(new, key, content).withColumnRenamed("digest", "_b")
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "modified")
     return a.join(b, [key, "header"], "full_outer").select(key, "header", change.alias("change")).filter("change IS NOT NULL")
-
-
-def _compared(old: str, new: str) -> dict:
-    from difflib import SequenceMatcher
-
-    lines = lambda t: [x for x in (re.sub(r"\s+", " ", y).strip() for y in (t or "").splitlines()) if x]
-    a, b = lines(old), lines(new)
-    codes = SequenceMatcher(None, a, b, autojunk=False)
-    steps = codes.get_opcodes()
-    out = {"old_lines": len(a), "new_lines": len(b), "same": a == b, "similarity": round(codes.ratio() * 100, 1)}
-    out["added"] = sum(j2 - j1 for t, _, _, j1, j2 in steps if t in ("insert", "replace"))
-    out["removed"] = sum(i2 - i1 for t, i1, i2, _, _ in steps if t in ("delete", "replace"))
-    pairs = [(a[i1 + k], b[j1 + k]) for t, i1, i2, j1, j2 in steps if t == "replace" and i2 - i1 == j2 - j1 for k in range(i2 - i1)]
-    return out | {"words": [word_diff(x, y) for x, y in pairs]}
-
-
-def word_diff(old: str, new: str) -> str:
-    """Both texts in one: [-gone-], {+come+}; what stays, shortened to three words at both ends if it is more than six."""
-    from difflib import SequenceMatcher
-
-    a, b, out = old.split(), new.split(), []
-    for kind, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        gone, come = " ".join(a[i1:i2]), " ".join(b[j1:j2])
-        if kind == "equal":
-            out.append(gone if i2 - i1 <= 6 else f"{' '.join(a[i1 : i1 + 3])} ... {' '.join(a[i2 - 3 : i2])}")
-        else:
-            out.append((f"[-{gone}-]" if gone else "") + (f"{{+{come}+}}" if come else ""))
-    return " ".join(out)
-
-
-def compared(old, new) -> Column:
-    """The difference of two versions of a page, by lines; words: the word differences of lines that were replaced one by one."""
-    kind = "struct<old_lines:int,new_lines:int,same:boolean,similarity:double,added:int,removed:int,words:array<string>>"
-    return F.pandas_udf(_pairs_compared, kind)(old, new)
-
-
-def _pairs_compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    columns = ["old_lines", "new_lines", "same", "similarity", "added", "removed", "words"]
-    return pd.DataFrame([_compared(x, y) for x, y in zip(old, new, strict=True)], columns=columns)
-
-

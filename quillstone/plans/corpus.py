@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocks, content, markdown, markup, questions, review, sync
+from ..operators import blocks, content, markdown, markup, questions, review, sync, versions
 from .base import COLLAPSED, STRIPPED, TOKENS, question, read, same_question
 
 OWN = "example.com"
@@ -101,6 +101,14 @@ def main_content(spark, sf_dir):
     return rows.select("page_id", "problem", "content_hash", "read_time_mins", "has_video", "n_visible", "has_dropdown", F.size("tabs").alias("n_tabs"), "description", "image")
 
 
+def document_versions(spark, sf_dir):
+    """What an edit changes in every text: cleaned, with a word written otherwise and one line in seven gone."""
+    old = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.filter(F.split(F.regexp_replace(markdown.cleaned(F.col("text")), r"\bthe\b", "this"), "\n"), lambda x, i: i % 7 != 3)
+    made = versions.compared(old, old.withColumn("text", F.array_join(lines, "\n")), "doc_id", "text")
+    return made.select("doc_id", "old_lines", "new_lines", "same", "similarity", "added", "removed", F.md5(F.array_join("words", "\n")).alias("words_md5"))
+
+
 def page_facts(spark, sf_dir):
     h = F.coalesce(F.col("html"), F.lit(""))
     n = lambda tag: F.regexp_count(h, F.lit(f"(?i)<{tag}[ >/]"))
@@ -204,7 +212,7 @@ def representative_chunks(spark, sf_dir):
 
 NAMES = (
     text_forms, content_ids, citation_lists, duplicate_documents, duplicate_survivors, repetition_gate, document_chunks, cleaning, md_elements, md_tables, md_statistics, md_profile, document_pieces,
-    page_chunks, main_content, page_facts, question_collisions, collision_severity, collision_summary, collision_impact, dangerous_questions,
+    page_chunks, main_content, document_versions, page_facts, question_collisions, collision_severity, collision_summary, collision_impact, dangerous_questions,
     collisions_by_language, priority_dedup, seed_questions, question_quality, category_sample, stratified_sample, low_signal, fuzzy_items, top_terms,
     topic_pairs, product_pages, representative_chunks,
 )

@@ -40,11 +40,9 @@ def test_accordions(spark):
     assert [(r.n, r.n_headers, r.consistent) for r in got] == [(3, 3, True)]
 
 
-def test_versions(spark):
+def test_sections_of_versions(spark):
     old, new = "# A\none two three\nsame\n# B\nx", "# A\none 2 three\nsame\n# C\ny"
     df = spark.createDataFrame([(1, old, new)], "k int, a string, b string")
-    got = df.select(M.compared("a", "b").alias("c")).first().c
-    assert (got.old_lines, got.new_lines, got.same, got.added, got.removed) == (5, 5, False, 3, 3) and "one [-two-]{+2+} three" in got.words
     changes = M.section_changes(df.select("k", F.col("a").alias("t")), df.select("k", F.col("b").alias("t")), "k", "t")
     assert {(r.header, r.change) for r in changes.collect()} == {("# A", "modified"), ("# B", "removed"), ("# C", "added")}
     assert df.select(M.digest(F.lit("a  b\n\n c")) == M.digest(F.lit("a b\nc"))).first()[0]
