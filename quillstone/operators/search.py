@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; 0 if either has no length."""
@@ -25,6 +27,8 @@ def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
 ROWS, QUERIES = 4096, 1024
 #: Different words of a set of queries up to which its index is held by each worker.
 VOCABULARY = 200_000
+#: Queries up to which each worker holds their words and scores.
+ASKED = 20_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -75,14 +79,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, most: int = VOCABULARY) -> DataFrame:
     """query_id, rank, doc_id and score of the k best of docs (doc_id, words) for each of queries (query_id: a whole number, words).
 
-    Statistics cover all docs. A set of queries of at most `most` different words is held by each worker as an index from words to queries: a
+    Statistics cover all docs. A set of at most ASKED queries and `most` different words is held by each worker as an index from words to queries: a
     batch of documents is scored in one pass, and only its k best of each query leave it. A larger set meets the documents by joins on words.
     """
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "words").filter("query_id IS NOT NULL")
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
     totals = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     vocabulary = asked.select("word").distinct()
-    if vocabulary.limit(most + 1).count() > most:
+    if vocabulary.limit(most + 1).count() > most or queries.limit(ASKED + 1).count() > ASKED:
         return _bm25_by_joins(docs, asked, totals, k, k1, b)
     seen = docs.select(F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
     n, mean = totals.first()
@@ -136,9 +140,11 @@ def closest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, f1 and jaccard of each row of docs (doc_id, words): the item of items (item_id, words) with the highest F1 of
     the overlap of their sets of words, the least item_id of equals. Both scores are 0 if either set is empty or there is no item.
 
-    items is a stated set of queries, held whole by each worker: an index from words to items, so that one pass over a document's
-    words counts its overlap with every item. Jaccard rises with F1, so the item is the best by either.
+    Up to ASKED items are held whole by each worker: an index from words to items, so that one pass over a document's words counts its
+    overlap with every item. More meet the documents by joins on words. Jaccard rises with F1, so the item is the best by either.
     """
+    if items.limit(ASKED + 1).count() > ASKED:
+        return _closest_by_joins(docs, items)
     asked = sorted((r.item_id, sorted(set(r.words))) for r in items.select("item_id", "words").filter("item_id is not null").collect())
     shared = docs.sparkSession.sparkContext.broadcast(asked)  # the queries
 
@@ -165,3 +171,18 @@ def closest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.array_distinct("words").alias("words")).mapInArrow(run, f"doc_id {kind}, item_id bigint, f1 double, jaccard double")
+
+
+def _closest_by_joins(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every row of docs is told apart, so that rows of one id each get their item; words that only one side has leave before the sums."""
+    words = lambda df: F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))
+    rows = materialise(docs.select("doc_id", words(docs).alias("w")).withColumn("_r", F.monotonically_increasing_id()), "rows")
+    sets = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), words(items).alias("y"))
+    least = sets.agg(F.min("item_id").alias("_none"))
+    hits = rows.select("_r", F.size("w").alias("a"), F.explode("w").alias("word")).join(sets.select("item_id", F.size("y").alias("b"), F.explode("y").alias("word")), "word")
+    met = hits.groupBy("_r", "a", "item_id", "b").agg(F.count("*").alias("c"))
+    f1, jaccard = 2.0 * F.col("c") / (F.col("a") + F.col("b")), F.col("c") / (F.col("a") + F.col("b") - F.col("c"))
+    best = met.groupBy("_r").agg(F.min_by(F.struct("item_id", f1.alias("f1"), jaccard.alias("jaccard")), F.struct(-f1, "item_id")).alias("x"))
+    out = rows.select("_r", "doc_id").join(best, "_r", "left").crossJoin(F.broadcast(least))  # one row
+    zero = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0.0)).alias(c)
+    return out.select("doc_id", F.coalesce("x.item_id", "_none").alias("item_id"), zero("f1"), zero("jaccard"))

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import rules as R
 from ..functions import text as T
 from ..storage import materialise
+from .search import nearest
 
 #: Places of a result, how many are searched for each, answers put first and by what factor, and the least best scores.
 TOP, WIDER, ANSWERS, ANSWER_FACTOR, LEAST_ANSWER = 5, 3, 2, 10, 0.7
@@ -105,11 +106,18 @@ def retrieve(found: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w.orderBy("n"))).drop("n", "_k")
 
 
-def nearest_cached(queries: DataFrame, cache: DataFrame, least: float = CACHE_LEAST, now: Column | None = None, ttl: float | None = None) -> DataFrame:
+#: Entries of a cache up to which each worker holds them.
+HELD = 50_000
+
+
+def nearest_cached(queries: DataFrame, cache: DataFrame, least: float = CACHE_LEAST, now: Column | None = None, ttl: float | None = None, held: int = HELD) -> DataFrame:
     """query_id, key and similarity of the cached answer (key, embedding, at) nearest to each of queries (query_id, embedding), if it is near enough. Of
-    equals the least key counts. Entries older than ttl seconds don't count. The cache is bounded by its capacity: it is held by each worker."""
+    equals the least key counts. Entries older than ttl seconds don't count. A cache of at most `held` entries is held by each worker; blocks of a larger
+    one meet blocks of queries."""
     if ttl is not None:
         cache = cache.filter(F.unix_micros("at") >= F.unix_micros(now) - int(ttl * 1_000_000))
+    if cache.select("key").limit(held + 1).count() > held:
+        return _nearest_in_blocks(queries, cache, least)
     rows = sorted((r.key, list(r.embedding)) for r in cache.select("key", "embedding").collect())
     shared = queries.sparkSession.sparkContext.broadcast(rows)
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -135,6 +143,16 @@ def nearest_cached(queries: DataFrame, cache: DataFrame, least: float = CACHE_LE
     return got.filter(F.col("similarity") >= least)
 
 
+def _nearest_in_blocks(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
+    """The same by search.nearest(), over numbers in the place of keys: those of the cache in the order of its keys, those of queries below zero."""
+    order = cache.select("key", "embedding").repartitionByRange("key").sortWithinPartitions("key")
+    entries = materialise(order.withColumn("vec_id", F.monotonically_increasing_id()), "entries")
+    asked = materialise(queries.select("query_id", F.col("embedding").alias("query")).withColumn("_q", -1 - F.monotonically_increasing_id()), "asked")
+    found = nearest(entries.select("vec_id", "embedding"), asked.select(F.col("_q").alias("query_id"), "query"), 1)
+    named = found.select(F.col("query_id").alias("_q"), "vec_id", "score").join(entries.select("vec_id", "key"), "vec_id").join(asked.select("_q", "query_id"), "_q")
+    return named.filter(F.col("score") >= least).select("query_id", "key", F.col("score").alias("similarity"))
+
+
 def cached_writes(cache: DataFrame, writes: DataFrame, capacity: int) -> DataFrame:
     """The cache (key, at, ...) after writes: of a key the last, and of all the newest, as many as there is room for."""
     both = cache.unionByName(writes)
