@@ -74,7 +74,7 @@ def input_problems(spark, sf_dir):
 def query_forms(spark, sf_dir):
     """The standard terms of every user turn."""
     made = R.with_synonyms(F.concat(F.lit("My pension pot calls: recall the Telephone call call "), F.coalesce("text", F.lit(""))))
-    return _users(spark, sf_dir).select("conv_id", "turn", F.md5(made).alias("terms_md5"), F.md5(R.normal_query(F.col("text"))).alias("normal_md5")).select("conv_id", "turn", "terms_md5")
+    return _users(spark, sf_dir).select("conv_id", "turn", F.md5(made).alias("terms_md5"), F.md5(R.normal_query(F.col("text"))).alias("normal_md5"))
 
 
 def answer_scores(spark, sf_dir):
@@ -88,11 +88,15 @@ def answer_scores(spark, sf_dir):
 
 
 def run_report(spark, sf_dir):
-    """The report of all answers."""
+    """The report of all answers, of which each is the first half of what was expected. The mean of the likeness by characters is no SQL's, and is tested apart."""
     t = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    none = F.lit(None)
-    cases = t.select(F.col("text").alias("expected"), F.substring("text", 1, 60).alias("answer"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("citations"), F.array(F.lit("A ")).alias("relevant"), none.cast("boolean").alias("refused"), none.cast("double").alias("cost_usd"), F.length("text").alias("input_tokens"), F.lit(10).alias("output_tokens"), F.when(F.col("conv_id") % 11 == 0, "e").alias("error"), (F.col("turn") + F.col("conv_id") % 7).cast("double").alias("latency_seconds"))
-    return evaluation.run_report(evaluation.score_answers(cases, 5, (0.002, 0.008))).drop("avg_token_f1", "avg_sequence_similarity", "avg_cost_usd", "total_cost_usd")
+    none, half = F.lit(None), F.expr("substring(text, 1, int(ceil(length(text) / 2)))")
+    cases = t.select(
+        F.col("text").alias("expected"), half.alias("answer"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("citations"), F.array(F.lit("A ")).alias("relevant"),
+        none.cast("boolean").alias("refused"), none.cast("double").alias("cost_usd"), F.length("text").alias("input_tokens"), F.lit(10).alias("output_tokens"),
+        F.when(F.col("conv_id") % 11 == 0, "e").alias("error"), (F.col("turn") + F.col("conv_id") % 7).cast("double").alias("latency_seconds"),
+    )
+    return evaluation.run_report(evaluation.score_answers(cases, 5, (0.002, 0.008))).drop("avg_sequence_similarity")
 
 
 def token_cost(spark, sf_dir):
@@ -241,15 +245,18 @@ SELECT conv_id, turn, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN 2.0::DOUBLE
   turn = 1 OR ({_any("lower(coalesce(answer, ''))", _W.REFUSALS)}) AS refused,
   round(CASE WHEN turn = 3 THEN 0.5::DOUBLE ELSE length(expected) / 1000 * 0.002::DOUBLE + length(answer) / 1000 * 0.008::DOUBLE END, 6) AS cost FROM s""",
     "run_report": f"""
-WITH t AS (SELECT *, conv_id % 11 = 0 AS err, turn + conv_id % 7 AS s, left(text, 60) AS answer FROM conversations WHERE role = 'assistant'),
-n AS (SELECT count(*) AS n FROM t), o AS (SELECT s, row_number() OVER (ORDER BY s) AS r FROM t)
+WITH t AS (SELECT *, conv_id % 11 = 0 AS err, turn + conv_id % 7 AS s, left(text, ceil(length(text) / 2)::INT) AS answer FROM conversations WHERE role = 'assistant'),
+n AS (SELECT count(*) AS n FROM t), o AS (SELECT s, row_number() OVER (ORDER BY s) AS r FROM t),
+y AS (SELECT *, list_distinct({TOKENS.format('text')}) AS p, list_distinct({TOKENS.format('answer')}) AS q, round(length(text) / 1000 * 0.002::DOUBLE + 10 / 1000 * 0.008::DOUBLE, 6) AS c FROM t),
+z AS (SELECT *, CASE WHEN len(p) > 0 AND len(q) > 0 THEN 2.0::DOUBLE * len(list_intersect(p, q)) / (len(p) + len(q)) ELSE 0 END AS f FROM y)
 SELECT count(*) AS num_cases, count(*) FILTER (err) AS num_errors, round(avg(err::INT), 4) AS error_rate, round(avg(s), 4) AS mean_seconds,
   (SELECT s::DOUBLE FROM o, n WHERE r = round_even(0.95 * (n - 1), 0) + 1) AS p95_seconds, max(s)::DOUBLE AS max_seconds,
   round(avg(coalesce(NOT err AND {STRIPPED.format("coalesce(answer, '')")} <> '', false)::INT), 4) AS answered_rate,
   round(avg(({_any("lower(coalesce(answer, ''))", _W.REFUSALS)})::INT), 4) AS refusal_rate, count(length(text)) AS num_cases_with_cost,
+  round(avg(CASE WHEN NOT err THEN f END), 4) AS avg_token_f1, round(sum(c), 6) AS total_cost_usd, round(avg(c), 4) AS avg_cost_usd,
   count(*) FILTER (conv_id % 3 = 0) AS num_cases_with_citations, CASE WHEN count(*) FILTER (conv_id % 3 = 0) > 0 THEN 1.0::DOUBLE END AS hit_rate,
   CASE WHEN count(*) FILTER (conv_id % 3 = 0) > 0 THEN 1.0::DOUBLE END AS mrr, CASE WHEN count(*) FILTER (conv_id % 3 = 0) > 0 THEN 0.5::DOUBLE END AS avg_precision,
-  CASE WHEN count(*) FILTER (conv_id % 3 = 0) > 0 THEN 1.0::DOUBLE END AS avg_recall FROM t""",
+  CASE WHEN count(*) FILTER (conv_id % 3 = 0) > 0 THEN 1.0::DOUBLE END AS avg_recall FROM z""",
     "token_cost": f"""
 WITH c AS (SELECT ['gpt-5-mini-x', 'GPT-4o', 'other', 'gpt-4o-mini'][(conv_id % 4 + 1)::INT] AS model, length(text) AS i, turn AS o FROM conversations),
 s AS (SELECT model, count(*) AS n_requests, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM c GROUP BY 1)

@@ -36,7 +36,7 @@ def citation_lists(spark, sf_dir):
     marked = F.concat_ws(" ", F.lit("[3] [1]"), F.col("text"), F.lit("[2] [3] [99]"))
     made = T.citations_renumbered(marked, F.array(*[F.lit(u) for u in ("a", "b", "a")]))
     listed = F.array_join(F.transform(T.citations(marked, 9), lambda n: n.cast("string")), ",")
-    return read(spark, sf_dir, "documents").select("doc_id", listed.alias("cited"), F.md5(T.without_citations(F.col("text"))).alias("bare_md5"), F.substring(made["text"], 1, 8).alias("shown"), F.size(made["cited"]).alias("n_cited"))
+    return read(spark, sf_dir, "documents").select("doc_id", listed.alias("cited"), F.md5(T.without_citations(F.col("text"))).alias("bare_md5"), F.md5(made["text"]).alias("shown_md5"), F.size(made["cited"]).alias("n_cited"))
 
 
 def duplicate_documents(spark, sf_dir):
@@ -293,7 +293,7 @@ SELECT doc_id, sha256(coalesce(text, '')) AS digest, sha256(coalesce(nullif(trim
 WITH m AS (SELECT doc_id, text, [x::INT FOR x IN regexp_extract_all(concat_ws(' ', '[3] [1]', text, '[2] [3] [99]'), '\[([0-9]{{1,6}})\]', 1)] AS n FROM documents)
 SELECT doc_id, array_to_string([x FOR x, i IN n IF list_position(n, x) = i AND x BETWEEN 1 AND 9], ',') AS cited,
   md5({STRIPPED.format(r"regexp_replace(regexp_replace(coalesce(text, ''), '\[[0-9]+\]', '', 'g'), '[\s\x0b]{2,}', ' ', 'g')")}) AS bare_md5,
-  left(regexp_replace('[1] ' || concat_ws(' ', text, '[2]  '), ' {{2,}}', ' ', 'g'), 8) AS shown, 2 AS n_cited FROM m""",
+  md5(regexp_replace('[1]  ' || concat_ws(' ', text, '[2] [1] '), ' {{2,}}', ' ', 'g')) AS shown_md5, 2 AS n_cited FROM m""",
     "duplicate_documents": "SELECT sha256(coalesce(text, '')) AS key, count(*) AS n, min(doc_id) AS survivor FROM documents GROUP BY 1 HAVING count(*) > 1",
     "duplicate_survivors": """
 WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS d, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY coalesce(source, ''), doc_id) AS r,

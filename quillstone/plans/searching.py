@@ -39,13 +39,17 @@ def token_f1(spark, sf_dir):
     return found.select("doc_id", "item_id", F.round("f1", 6).alias("f1"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def _lexical(spark, sf_dir, k: int = 10):
+    """The ranking of documents by words for each benchmark item; item n asks for vector 100 n, and ids of documents are those of vectors."""
+    items = _words(spark, sf_dir, "benchmark", "item_id", "query_id").withColumn("query_id", F.col("query_id") * 100)
+    asked = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    return search.bm25(_words(spark, sf_dir, "documents", "doc_id", "doc_id"), items.join(asked, "query_id", "left_semi"), k)
+
+
 def hybrid_search(spark, sf_dir):
-    """The ranking by vectors and one by label, then id, as one."""
+    """The rankings by vectors and by words as one."""
     near = _near(spark, sf_dir).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    firsts = search.top(vectors, "label", 5, F.col("vec_id")).select("label", "rank", F.col("vec_id").alias("doc_id"))
-    return serving.fused([near, queries.join(firsts, "label").select("query_id", "rank", "doc_id")])
+    return serving.fused([near, _lexical(spark, sf_dir).select("query_id", "rank", "doc_id")])
 
 
 def _found(spark, sf_dir):
@@ -134,13 +138,17 @@ def retrieved(spark, sf_dir):
 
 
 def search_diagnosis(spark, sf_dir):
-    """Why the page of the vector before is, or isn't, found."""
-    page = lambda c: F.concat(F.lit("p"), F.floor(F.col(c) / 5))
-    near = _near(spark, sf_dir, 20).select("query_id", "rank", page("vec_id").alias("url"))
-    expected = read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), F.floor((F.col("vec_id") - 1) / 5)).alias("url"))
-    indexed = read(spark, sf_dir, "embeddings").select(page("vec_id").alias("url"))
-    modes = {"hybrid": near.filter("rank <= 8"), "vector": near, "lexical": near.filter("rank > 10"), "semantic": near.filter("rank <= 2")}
-    return serving.diagnosis(modes, indexed, expected).select("query_id", "cause")
+    """Why the page of the vector before is, or isn't, found: by vectors, by words, by both, and in the order of a reranker, whose score is here a residue of the id."""
+    page = lambda c: F.concat(F.lit("p"), F.floor(F.col(c) / 5)).alias("url")
+    vectors = read(spark, sf_dir, "embeddings")
+    near = _near(spark, sf_dir, 20).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
+    words = _lexical(spark, sf_dir, 20).select("query_id", "rank", "doc_id")
+    both = serving.fused([near, words], 8).select("query_id", "rank", "doc_id")
+    best = serving.reranked(both, both.select("query_id", "doc_id", (F.col("doc_id") * 7919 % 1000).alias("rerank")), 2)
+    expected = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), F.floor((F.col("vec_id") - 1) / 5)).alias("url"))
+    modes = {"hybrid": both, "vector": near, "lexical": words, "semantic": best}
+    pages = {m: df.select("query_id", "rank", page("doc_id")) for m, df in modes.items()}
+    return serving.diagnosis(pages, vectors.select(page("vec_id")), expected).select("query_id", "cause", *[f"{m}_rank" for m in modes])
 
 
 NAMES = (
@@ -159,6 +167,17 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) /
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= {k})"""
 
 
+def _lexical_sql(k: int) -> str:
+    """The ranking by words, as table lx; v holds the vectors."""
+    return f"""lx AS (WITH d AS (SELECT doc_id, {_T} AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+q AS (SELECT item_id * 100 AS query_id, unnest(list_distinct({_T})) AS word FROM benchmark WHERE item_id * 100 IN (SELECT vec_id FROM v)),
+c AS (SELECT word, doc_id, size, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) GROUP BY ALL),
+f AS (SELECT word, count(*) AS df FROM c GROUP BY 1),
+g AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 8) AS score
+  FROM q JOIN c USING (word) JOIN f USING (word), t GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g QUALIFY rank <= {k})"""
+
+
 _FOUND = f"""{_nearest(20)},
 f AS (SELECT query_id, rank AS pos, 'p' || vec_id // 5 AS url, round(score, 6) AS score, CASE WHEN vec_id % 7 <> 0 THEN round(score * 4, 6) END AS rerank FROM r)"""
 _EVAL = f"""{_FOUND},
@@ -203,8 +222,7 @@ s AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 2.0::DOUBLE * c / (a + b) ELSE 0
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY f DESC, item_id) AS rank FROM s)
 SELECT doc_id, item_id, round(f, 6)::DOUBLE AS f1, round(CASE WHEN a > 0 AND b > 0 THEN c::DOUBLE / (a + b - c) ELSE 0 END, 6)::DOUBLE AS jaccard FROM k WHERE rank = 1""",
     "hybrid_search": f"""
-WITH {_nearest(10)}, l AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM v),
-a AS (SELECT query_id, vec_id AS doc_id, rank FROM r UNION ALL SELECT q.vec_id, l.vec_id, l.n FROM v q JOIN l ON q.label = l.label WHERE q.vec_id % 100 = 0 AND l.n <= 5),
+WITH {_nearest(10)}, {_lexical_sql(10)}, a AS (SELECT query_id, vec_id AS doc_id, rank FROM r UNION ALL SELECT query_id, doc_id, rank FROM lx),
 m AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM a GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM m QUALIFY rank <= 10""",
     "retrieval_metrics": f"""
@@ -241,9 +259,16 @@ z AS (SELECT query_id, n, url, true AS is_answer, ans * 10 AS score FROM t WHERE
 y AS (SELECT *, count(*) FILTER (is_answer) OVER (PARTITION BY query_id) AS k FROM z)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INT AS place, url, is_answer, round(score, 5) AS score FROM y WHERE is_answer OR n - 2 <= greatest(1, 5 - k)""",
     "search_diagnosis": f"""
-WITH {_nearest(20)}, p AS (SELECT query_id, rank, 'p' || vec_id // 5 AS url FROM r),
+WITH {_nearest(20)}, {_lexical_sql(20)}, a AS (SELECT query_id, vec_id AS doc_id, rank FROM r UNION ALL SELECT query_id, doc_id, rank FROM lx),
+m AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM a GROUP BY 1, 2),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM m QUALIFY rank <= 8),
+se AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 7919 % 1000 DESC, hy.rank, doc_id)::INT AS rank FROM hy QUALIFY rank <= 2),
 x AS (SELECT vec_id AS query_id, 'p' || floor((vec_id - 1) / 5)::BIGINT AS url FROM v WHERE vec_id % 100 = 0),
-m AS (SELECT x.query_id, x.url, min(rank) AS any_rank, min(rank) FILTER (rank <= 8) AS hy, min(rank) FILTER (rank > 10) AS lex, min(rank) FILTER (rank <= 2) AS sem FROM x LEFT JOIN p USING (query_id, url) GROUP BY ALL)
-SELECT query_id, CASE WHEN url NOT IN (SELECT 'p' || vec_id // 5 FROM v) THEN 'not indexed' WHEN sem IS NOT NULL THEN 'healthy' WHEN hy <= 5 THEN 'retrieved' WHEN hy IS NOT NULL THEN 'ranked too low'
-  WHEN any_rank IS NOT NULL THEN 'words hurt' WHEN lex IS NOT NULL THEN 'vector hurts' ELSE 'absent everywhere' END AS cause FROM m""",
+e AS (SELECT 'hybrid' AS mode, query_id, doc_id, rank FROM hy UNION ALL SELECT 'vector', query_id, vec_id, rank FROM r UNION ALL SELECT 'lexical', query_id, doc_id, rank FROM lx
+  UNION ALL SELECT 'semantic', query_id, doc_id, rank FROM se),
+y AS (SELECT x.query_id, x.url, min(rank) FILTER (mode = 'hybrid') AS hybrid_rank, min(rank) FILTER (mode = 'vector') AS vector_rank, min(rank) FILTER (mode = 'lexical') AS lexical_rank,
+  min(rank) FILTER (mode = 'semantic') AS semantic_rank FROM x LEFT JOIN e ON x.query_id = e.query_id AND x.url = 'p' || e.doc_id // 5 GROUP BY ALL)
+SELECT query_id, hybrid_rank, vector_rank, lexical_rank, semantic_rank, CASE WHEN url NOT IN (SELECT 'p' || vec_id // 5 FROM v) THEN 'not indexed' WHEN semantic_rank IS NOT NULL THEN 'healthy'
+  WHEN hybrid_rank <= 5 THEN 'retrieved' WHEN hybrid_rank IS NOT NULL THEN 'ranked too low' WHEN vector_rank IS NOT NULL THEN 'words hurt' WHEN lexical_rank IS NOT NULL THEN 'vector hurts'
+  ELSE 'absent everywhere' END AS cause FROM y""",
 }
