@@ -174,9 +174,15 @@ def _voted(kind: str, x: Column) -> Column:
     return sum((F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)), F.lit(0))
 
 
+def _meets(m: Column) -> Column:
+    """Whether a match overlaps a base span."""
+    return F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """docs with _base (spans: start, k, end, in order) and _more (matches that were voted on: start, end, code: the place in CODES,
-    bits). Of matches of base patterns, _more has those with code < len(BASE): they teach, and are no candidates. Columns of docs
+    bits). Of matches of base patterns, _more has those with code < len(BASE): they teach, and are no candidates. A candidate that
+    overlaps a base span is left out: the base match has said what is there, and the candidate would vote against it. Columns of docs
     with these names are replaced."""
     text = whole("text")
     docs = docs.drop("_base", "_more", "_spans")
@@ -188,12 +194,14 @@ def extract(docs: DataFrame) -> DataFrame:
 
     more = F.concat(*[all_of(code, kind) for code, kind in enumerate(CODES)])
     base = F.transform(F.filter("_more", lambda m: (m["code"] < len(BASE)) & (m["bits"].bitwiseAND(F.lit(1)) == 1)), lambda m: F.struct(m["start"].alias("start"), m["code"].alias("k"), m["end"].alias("end")))
-    return docs.withColumn("_more", more).withColumn("_base", F.array_sort(base))
+    known = lambda m: (m["code"] < len(BASE)) | ~_meets(m)
+    return docs.withColumn("_more", more).withColumn("_base", F.array_sort(base)).withColumn("_more", F.filter("_more", known))
 
 
 def expectation_maximisation(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
     """The probability of each (code, bits) to be personal data, from the first VOTERS bits: two classes and independent labelers,
-    which are as reliable for every kind; each kind has its own share of true matches."""
+    which are as reliable for every kind; each kind has its own share of true matches. Whether a match of a base pattern is true is no
+    guess: it is known from its check, and stays as it is."""
     codes = {c for c, _ in counts}
     prior, hit, false = dict.fromkeys(codes, 0.5), [0.8] * VOTERS, [0.2] * VOTERS
     post: dict[tuple[int, int], float] = {}
@@ -203,7 +211,7 @@ def expectation_maximisation(counts: dict[tuple[int, int], int], rounds: int = 5
             for i in range(VOTERS):
                 yes *= hit[i] if b >> i & 1 else 1 - hit[i]
                 no *= false[i] if b >> i & 1 else 1 - false[i]
-            post[c, b] = yes / (yes + no)
+            post[c, b] = float(b & 1) if c < len(BASE) else yes / (yes + no)
         ones, all_ = sum(post[x] * n for x, n in counts.items()), sum(counts.values())
         for c in codes:
             mine = {x: n for x, n in counts.items() if x[0] == c}
@@ -234,8 +242,7 @@ def with_spans(extracted: DataFrame) -> DataFrame:
     counts = {(r.code, r.bits): r["count"] for r in counted.collect()}  # at most len(CODES) * 2 ** len(FEATURES) rows
     good = sorted(c << len(FEATURES) | b for (c, b), p in train(counts).items() if p > 0.5 and c >= len(BASE)) if counts else []
     kind_of = F.array(*[F.lit(KINDS.index(CANDIDATES[k][0] if k in CANDIDATES else k)) for k in CODES])
-    meets = lambda m: F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    is_good = lambda m: (m["code"] * (1 << len(FEATURES)) + m["bits"]).isin(good) & ~meets(m) if good else F.lit(False)
+    is_good = lambda m: (m["code"] * (1 << len(FEATURES)) + m["bits"]).isin(good) if good else F.lit(False)
     taken = F.filter("_more", is_good)
     longest = F.array_sort(F.transform(taken, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), F.get(kind_of, m["code"]).alias("k"))))
     nil = F.array().cast("array<struct<start:int,k:int,end:int>>")
