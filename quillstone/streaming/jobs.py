@@ -20,14 +20,21 @@ from ..storage import materialise
 LIMITS = ((10, 60), (100, 3600))
 
 
-def limited_stream(events: DataFrame, key: str, at: str, order: str, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
+def limited_stream(events: DataFrame, key: str, at: str, order: str, limits: tuple[tuple[int, int], ...] = LIMITS, late: str = "1 hour") -> DataFrame:
     """key, order, at and accepted of a stream of events, by the sliding log of each key: an event is accepted unless a window before it is full of
     accepted ones; rejected ones don't count. State: the times of a key's last accepted events, at most the greatest limit. A micro-batch is taken in
-    order of time; one that comes later than a batch after it is judged by the log as it is. Null keys are one key."""
-    keyed = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(order).cast("long").alias("event"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
+    order of time; one that comes later than a batch after it is judged by the log as it is. Null keys are one key.
+
+    A timer of event time ends the state of a key once all its windows are over: when the events of any key are `late` beyond its last one and the
+    longest window. Events that are later than that are not judged, and have no row."""
+    stamped = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(order).cast("long").alias("event"), F.col(at).cast("timestamp").alias("_t"))
+    keyed = stamped.withWatermark("_t", late).withColumn("at", F.unix_micros("_t"))
     most, longest = max(n for n, _ in limits), max(s for _, s in limits)
 
     def run(k, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "event"])
         ok = []
@@ -38,10 +45,11 @@ def limited_stream(events: DataFrame, key: str, at: str, order: str, limits: tup
             ok.append(good)
         newest = int(rows["at"].max())
         state.update((([t for t in log if newest - t < longest * 1_000_000] or log[-1:]),))
+        state.setTimeoutTimestamp(max(newest // 1000 + longest * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]] * len(ok), "event": rows["event"].tolist(), "at": rows["at"].tolist(), "accepted": ok})
 
     out = "key string, event bigint, at bigint, accepted boolean"
-    return keyed.groupBy("key").applyInPandasWithState(run, out, "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(run, out, "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(events: DataFrame, at: str, width: str, late: str, *by: str) -> DataFrame:

@@ -31,6 +31,21 @@ def test_stream_of_the_limiter_equals_its_batch(spark, tmp_path):
     assert sorted((r.event, r.accepted) for r in got.collect()) == sorted((r.event_id, r.accepted) for r in want.collect())
 
 
+def test_the_limiter_forgets_idle_keys(spark, tmp_path):
+    """A thousand keys that come once, then one key for a long time: in the end its state alone is left, and it is judged as in a batch."""
+    day = [(i, f"once-{i}", AT + dt.timedelta(seconds=i)) for i in range(1000)]
+    parts = [day, *[[(2000 + 10 * b + i, "stays", AT + dt.timedelta(hours=3 * b, seconds=i)) for i in range(10)] for b in range(1, 5)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(KIND).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = J.limited_stream(stream, "ip", "ts", "event_id", ((3, 30), (8, 200)), "10 minutes")
+    q = out.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"{tmp_path}/c-idle").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    want = review.limited(spark.createDataFrame([r for p in parts for r in p], KIND), "ip", "ts", "event_id", ((3, 30), (8, 200)))
+    assert sorted((r.event, r.accepted) for r in spark.table("idle").collect()) == sorted((r.event_id, r.accepted) for r in want.collect())
+
+
 def test_windows_counters_and_dedup(spark, tmp_path):
     rows = [(i, f"k{i % 2}", AT + dt.timedelta(minutes=i * 7)) for i in range(30)] + [(99, "k0", AT + dt.timedelta(days=1))]
     spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(f"{tmp_path}/in")
