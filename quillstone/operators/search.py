@@ -36,14 +36,47 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _best(vids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+    """query, vector and score of the k best of v (vectors in rows) for each of q, itself left out; the least of vids of equals.
+
+    A cosine is summed one dimension after the other and rounded, halves away from zero, to 12 places, so that two vectors have one score in
+    whatever block they meet, and equal vectors have equal scores. A matrix product, whose last digits depend on the block, only says which
+    vectors are so near that they can be among the best.
+    """
+    order = np.argsort(vids, kind="stable")
+    vids, v = vids[order], v[order]
+    near = _unit(q) @ _unit(v).T
+    near[(qids[:, None] == vids[None, :]) | ~np.isfinite(near)] = -np.inf
+    qt, vt = np.ascontiguousarray(q.T), np.ascontiguousarray(v.T)
+    total = lambda pairs, n: sum(pairs, np.zeros(n))  # noqa: E731 one after the other, as an aggregate over the array does
+    with np.errstate(over="ignore", invalid="ignore"):
+        qn, vn = (np.sqrt(total((x * x for x in m), m.shape[1])) for m in (qt, vt))
+    k, out = min(k, len(vids)), []
+    for i in range(0, len(qids), 64):
+        part = near[i : i + 64]
+        least = np.partition(part, len(vids) - k, axis=1)[:, len(vids) - k, None]
+        at, of = np.nonzero((part >= least - 1e-9) & (part > -np.inf))
+        norm = qn[at + i] * vn[of]
+        with np.errstate(over="ignore", invalid="ignore"):
+            dot = total((a[at + i] * b[of] for a, b in zip(qt, vt, strict=True)), len(at))
+            score = 1e12 * np.divide(dot, norm, out=np.zeros(len(at)), where=(norm > 0) & np.isfinite(norm))
+        floor = np.trunc(score)
+        score = (floor + np.sign(score) * (np.abs(score - floor) >= 0.5)) / 1e12
+        order = np.lexsort((of, -score, at))
+        at, of, score = at[order], of[order], score[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((qids[at[kept] + i], vids[of[kept]], score[kept]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def _blocks(df: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
-    """Rows of at most size keys and their vectors, scaled to length 1, as bytes of 64-bit numbers. Nothing is shuffled."""
+    """Rows of at most size keys and their vectors, as bytes of 64-bit numbers. Nothing is shuffled."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, size):
                 part = batch.slice(i, size)
-                m = _unit(np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1))
+                m = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}rows"])
 
     slim = df.select(F.col(key).cast("long").alias("k"), vector).filter(F.col("k").isNotNull() & (F.size(vector) > 0))
@@ -54,7 +87,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of vectors (vec_id, embedding) by cosine to each of queries (query_id, query), itself left
     out; the least vec_id of equals. Rows without id or vector are left out; a vector without length has score 0.
 
-    Exhaustive, by blocks: every block of vectors meets every block of queries in one matrix product, and only the k best of each query leave it.
+    Exhaustive, by blocks: every block of vectors meets every block of queries in one matrix product, and only the k best of each query leave it, with
+    scores that don't depend on the blocks.
     """
     pairs = _blocks(vectors, "vec_id", "embedding", ROWS, "v").crossJoin(_blocks(queries, "query_id", "query", QUERIES, "q"))
 
@@ -62,15 +96,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for batch in batches:
             for v, vr, q, qr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 vids, qids = np.array(v, np.int64), np.array(q, np.int64)
-                order = np.argsort(vids, kind="stable")
-                vids = vids[order]
-                s = np.round(np.frombuffer(qr).reshape(len(qids), -1) @ np.frombuffer(vr).reshape(len(vids), -1)[order].T, 12)
-                s[qids[:, None] == vids[None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order: equals stay so
-                score = np.take_along_axis(s, best, 1).ravel()
-                cols = [np.repeat(qids, best.shape[1]), vids[best].ravel(), score]
-                fine = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(c[fine]) for c in cols], ["query_id", "vec_id", "score"])
+                cols = _best(vids, np.frombuffer(vr).reshape(len(vids), -1), qids, np.frombuffer(qr).reshape(len(qids), -1), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     return top(scored, "query_id", k, F.desc("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")

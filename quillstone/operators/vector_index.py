@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.snapshots import Pointer, Table
 from ..storage import materialise
-from .search import QUERIES, ROWS, _unit, nearest, top
+from .search import QUERIES, ROWS, _best, _unit, nearest, top
 
 #: Vectors that the centroids are fitted on, at most, and the greatest number of lists; so many that a list holds about the root of the rows.
 SAMPLE, LISTS = 20_000, 4096
@@ -56,13 +56,13 @@ def _nearest_lists(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """list, ids and rows (bytes of unit vectors): blocks of at most size rows of one list. Ranges of (list, key) split a list of any length over tasks."""
+    """list, ids and rows (bytes of vectors): blocks of at most size rows of one list. Ranges of (list, key) split a list of any length over tasks."""
 
     def run(batches):
         now, ids, held = None, [], []
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_unit(np.array(held, np.float64)).tobytes()], pa.binary())], ["list", "ids", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(held, np.float64).tobytes()], pa.binary())], ["list", "ids", "rows"])
 
         for batch in batches:
             for of, key, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -121,12 +121,8 @@ class VectorIndex:
             for batch in batches:
                 for v, vr, q, qr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     vids, qids = np.array(v, np.int64), np.array(q, np.int64)
-                    s = np.round(np.frombuffer(qr).reshape(len(qids), -1) @ np.frombuffer(vr).reshape(len(vids), -1).T, 12)
-                    s[qids[:, None] == vids[None, :]] = -np.inf
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order: equals stay so
-                    score = np.take_along_axis(s, best, 1).ravel()
-                    fine = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(c[fine]) for c in (np.repeat(qids, best.shape[1]), vids[best].ravel(), score)], ["query_id", "vec_id", "score"])
+                    cols = _best(vids, np.frombuffer(vr).reshape(len(vids), -1), qids, np.frombuffer(qr).reshape(len(qids), -1), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
         found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         return top(found, "query_id", k, F.desc("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")

@@ -72,3 +72,38 @@ def test_items_beyond_a_worker(spark, monkeypatch):
     by_joins = ranked()
     monkeypatch.setattr(search, "ASKED", 20_000)
     assert ranked() == by_joins and np.isfinite([x[3] for x in by_joins]).all()
+
+
+def test_scores_are_summed_in_one_order(spark):
+    """So they don't depend on the blocks, and copies of a vector stay in the order of their ids."""
+    m = np.random.default_rng(3).normal(2, size=(500, 64)).astype(np.float32)
+    m[250:] = m[:250]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.nearest(df, queries(df, 5), 499).collect()}
+    v, s, n = m.astype(float), np.zeros((500, 500)), np.zeros(500)
+    for x in v.T:
+        s, n = s + x[:, None] * x[None, :], n + x * x
+    s = s / (np.sqrt(n)[:, None] * np.sqrt(n)[None, :])
+    for q in range(0, 500, 5):
+        score = np.sign(s[q]) * np.floor(np.abs(s[q]) * 1e12 + 0.5) / 1e12
+        best = [i for i in sorted(range(500), key=lambda i: (-score[i], i)) if i != q]
+        assert [got[q, k + 1] for k in range(499)] == [(i, score[i]) for i in best]
+
+
+def test_diagnosis_equals_its_sql_where_the_reranker_moves_the_best(spark, tmp_path):
+    import duckdb
+
+    from quillstone.plans.searching import ORACLE_SQL, QUERIES
+
+    near = {100: 0.0, 95: 0.1, **{i: 0.1 + i / 10 for i in range(1, 8)}}  # the page of 95 is the best, and the last of eight to the reranker
+    at = lambda i: near.get(i, 2.0 + i / 1000)
+    spark.createDataFrame([(i, [float(np.cos(at(i))), float(np.sin(at(i)))], 0) for i in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "b"), (1, "c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["search_diagnosis"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['search_diagnosis']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert (100, "healthy", 1, 1, None, 8) in want
