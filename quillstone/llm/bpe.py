@@ -42,15 +42,15 @@ def _byte_chars() -> list[str]:
 
 
 @functools.cache
-def _odd_points() -> tuple[str, dict[int, str]]:
+def _odd_points() -> tuple[str, dict[int, str]] | None:
     """What follows from the versions of Unicode of `regex`, the interpreter and the tokenizers library, as the ids are to be the
     library's: the code points, as a set for a pattern, that `regex` calls letters or numbers and the library doesn't, and the lower
-    case of those that only the library knows to have one. Only what the interpreter has not assigned can differ. Empty where the
-    library is missing."""
+    case of those that only the library knows to have one. Only what the interpreter has not assigned can differ. None where the library
+    is missing: then nothing says what it does with such a code point."""
     try:
         from tokenizers import Regex, normalizers, pre_tokenizers
     except ImportError:
-        return "", {}
+        return None
     some = regex.compile(r"[\p{L}\p{N}]")
     open_ = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
     text = "".join(c for c in open_ if some.match(c))
@@ -73,8 +73,9 @@ class Codec:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.inside = {p for t in self.vocab for s in [self._symbols(t)] for p in zip(s, s[1:], strict=False)}
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACES + r"\p{L}\p{N}]+")
-        self.odd = None
-        odd, self.lower = _odd_points()
+        self.odd, found = None, _odd_points()
+        self.blind = found is None
+        odd, self.lower = found or ("", {})
         if odd:
             self.odd = frozenset([*self.lower.values(), *map(chr, self.lower), *regex.sub(r"\\(.)", r"\1", odd)])
             self.rare = regex.compile(f"[{min(self.odd)}-\U0010ffff]")  # most texts have nothing from there on
@@ -151,7 +152,8 @@ class Codec:
         return b"".join(self.vocab[t].to_bytes(4, "little") for t in tokens)
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the text decoded from them."""
+        """The ids as little-endian 32-bit integers, and the text decoded from them. Where the tokenizers library is missing, a text with a
+        code point that the interpreter has not assigned is an error, since its ids would be a guess; others don't need the library."""
         ids, known = [], self.known
         for part in self.apart.split(text) if "<|" in text else [text]:
             if part in self.special:
@@ -159,6 +161,10 @@ class Codec:
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             pieces = self.pieces
+            if self.blind and not part.isascii():
+                for c in part:
+                    if unicodedata.category(c) == "Cn":
+                        raise RuntimeError(f"U+{ord(c):04X} is not in this interpreter's Unicode: install the tokenizers library, whose ids these are to be")
             if self.odd and not part.isascii() and self.rare.search(part) and not self.odd.isdisjoint(part):
                 part, pieces = part.translate(self.lower), self.odd_pieces
             for word in pieces.findall(part):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -221,6 +222,23 @@ def test_rare_code_points_follow_the_library():
         assert codec.encode(text)[0] == b"".join(i.to_bytes(4, "little") for i in ids), hex(c)
 
 
+def test_no_guesses_without_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    monkeypatch.setitem(sys.modules, "tokenizers", None)  # as if it were not installed
+    bpe._odd_points.cache_clear()
+    try:
+        codec = bpe.Codec(bpe.vocabulary_path())
+        for text in ("", "plain", "naïve ΑΣ 東京 \U0001f600"):
+            assert codec.encode(text)[0] == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+        for c in (0x88F, 0xA7CB, 0x10D50, 0x378):
+            with pytest.raises(RuntimeError, match=f"U.{c:04X}"):
+                codec.encode(f"a1{chr(c)}b")
+    finally:
+        bpe._odd_points.cache_clear()
+
+
 # op7 --------------------------------------------------------------------------------------------------------------------------------
 
 
