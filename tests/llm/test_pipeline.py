@@ -97,3 +97,28 @@ def test_odd_documents_pass_through(spark, tmp_path):
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} <= {3, None}
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_encoding_stage_fails_where_the_library_is_missing_and_decides(tmp_path):
+    """In a session of its own, whose workers can't import the library: a text of assigned code points is encoded, another is an error."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "tokenizers.py").write_text("raise ImportError('not installed')\n")
+    code = """
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+for c in (0xE9, 0xA7CB):
+    docs = spark.createDataFrame([(1, f"a1{chr(c)}b", "en", "s")], "doc_id int, text string, lang string, source string")
+    try:
+        print("ids", len(corpus_pipeline.encoded(spark, docs, "").first().ids))
+    except Exception as e:
+        print("raised", "U+A7CB is not in" in str(e))
+"""
+    path = os.pathsep.join([str(tmp_path), str(Path(pipeline.__file__).parent), os.environ.get("PYTHONPATH", "")])
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    ids, raised = [line for line in done.stdout.splitlines() if line.startswith(("ids", "raised"))]
+    assert ids.startswith("ids") and raised == "raised True"
