@@ -113,3 +113,22 @@ def test_pages_and_metadata(spark):
     assert got == {(1, "title", "T", "T2"), (2, "about", "d", "d2"), (2, "n", "4", "7")}
     assert {tuple(r) for r in V.changes(old, new, "k").collect()} == {(3, "removed"), (4, "added")}
     assert V.compared(old.select("k", F.col("title").alias("t")).limit(0), new.select("k", F.col("title").alias("t")), "k", "t").count() == 0
+
+
+def test_texts_are_made_once_and_only_crossed_gaps_leave_the_jvm(spark, monkeypatch):
+    """Each side's texts are computed once, whatever the rounds; a gap whose anchors rise as they are never gets to rising()."""
+    made, plans, write = spark.sparkContext.accumulator(0), [], V.materialise
+    monkeypatch.setattr(V, "materialise", lambda df, tag: (plans.append(df._jdf.queryExecution().toString()), write(df, tag))[1])
+
+    def slow(text):
+        made.add(1)
+        return text
+
+    rows = [(i, f"one {i}\ntwo\nthree\nfour", f"two\none {i}\nthree {i}\nfour") for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    side = lambda c: df.select("id", F.udf(slow, "string")(c).alias("text"))
+    got = {r.id: (r.removed, r.added, list(r.words)) for r in V.compared(side("a"), side("b"), "id", "text").collect()}
+    want = {i: plain_compared(a, b) for i, a, b in rows}
+    assert got == {i: (w[5], w[4], w[6]) for i, w in want.items()}
+    assert made.value == 40
+    assert not any("FlatMapGroups" in p for p in plans) and any("ArrowEvalPython" in p for p in plans)
