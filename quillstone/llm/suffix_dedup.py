@@ -320,6 +320,19 @@ def _united(rows):
     return list(seen), docs, which, [s[1] for s in sent]
 
 
+def _least_of_each(texts: list[bytes], piece: int = 1 << 20) -> np.ndarray:
+    """The least hash of each text, of WIDTH bytes or more; texts are hashed together, about piece bytes at a time."""
+    out, begin, sizes = [], 0, np.array([len(t) for t in texts])
+    while begin < len(texts):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), piece, "right")))
+        some = sizes[begin:end]
+        least, starts = _least_hashes(np.frombuffer(b"".join(texts[begin:end]), np.uint8)), np.cumsum(some) - some
+        edges = np.stack([starts, starts + some - WIDTH + 1], axis=1).ravel()  # places past a text's last string belong to none
+        out.append(np.minimum.reduceat(np.append(least, least[-1]), edges)[::2])
+        begin = end
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
 def _runs(texts: list[bytes], docs: np.ndarray):
     """(part, begin, end, least document) of the runs of places of each part whose strings have the same least document of all."""
     counts = np.array([len(t) - WIDTH + 1 for t in texts])
@@ -360,14 +373,16 @@ def _sorted(sent: DataFrame, n_tasks: int, parts: int) -> DataFrame:
         return sent.groupBy("task").applyInArrow(at_once, C.ASKED_SQL)
     dealt = materialise(sent.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(parts))), "suffix-sent")
 
-    def second_of(text: bytes) -> int:  # by a gram that overlapping strings share as their stretch does
-        return int(_least_hashes(np.frombuffer(text, np.uint8)).min()) % parts
+    def by_second(texts: list[bytes]) -> dict[int, list[int]]:
+        """The places of texts by their second level: by a gram that overlapping strings share as their stretch does."""
+        by = {}
+        for i, h in enumerate(_least_of_each(texts).tolist()):
+            by.setdefault(h % parts, []).append(i)
+        return by
 
     def first(key, rows):
         texts, docs, _, _ = _united(rows.sort_by("chunk"))  # in this order again in last()
-        task, salt, by = key[0].as_py(), key[1].as_py(), {}
-        for i, t in enumerate(texts):
-            by.setdefault(second_of(t), []).append(i)
+        task, salt, by = key[0].as_py(), key[1].as_py(), by_second(texts)
         made = [(salt, task * parts + p, pack(np.array([len(texts[i]) - WIDTH + 1 for i in at]), docs[at]), deflate(b"".join([texts[i] for i in at]))) for p, at in by.items()]
         return pa.Table.from_batches([batch_of(_SENT, made)])
 
@@ -380,9 +395,7 @@ def _sorted(sent: DataFrame, n_tasks: int, parts: int) -> DataFrame:
             return pa.Table.from_batches([batch_of(C.ASKED, [])])
         rows = rows.sort_by("chunk")
         texts, _, which, own = _united(rows)
-        by: dict[int, list[int]] = {}
-        for i, t in enumerate(texts):
-            by.setdefault(second_of(t), []).append(i)
+        by = by_second(texts)
         runs = []
         for p, blob in zip(said.column("part").to_pylist(), said.column("counts").to_pylist(), strict=True):
             r = unpack(blob, 4)

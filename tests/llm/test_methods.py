@@ -195,6 +195,20 @@ def test_sf_documents_gain_spans(spark):
     assert got.filter("n_spans > n_email + n_ip + n_card + n_phone").count() > 0
 
 
+def test_stretches_of_a_task_are_hashed_together(monkeypatch):
+    """Two levels deal stretches out by their least hash: the same as one by one, in a few calls for all of a task."""
+    import random
+
+    import numpy as np
+
+    rng, w, hashes, calls = random.Random(2), suffix_dedup.WIDTH, suffix_dedup._least_hashes, []
+    texts = [rng.randbytes(n) for n in [w, w, w + 1, *(rng.randint(w, 300) for _ in range(500)), 9000, w]]
+    monkeypatch.setattr(suffix_dedup, "_least_hashes", lambda data: (calls.append(1), hashes(data))[1])
+    got = [suffix_dedup._least_of_each(texts, piece).tolist() for piece in (1 << 20, 4000, 1)]
+    assert got == [[int(hashes(np.frombuffer(t, np.uint8)).min()) for t in texts]] * 3
+    assert len(calls) < 50 + len(texts) and suffix_dedup._least_of_each([]).tolist() == []
+
+
 # op6 --------------------------------------------------------------------------------------------------------------------------------
 
 
