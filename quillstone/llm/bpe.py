@@ -18,6 +18,7 @@ import heapq
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,31 @@ def _byte_chars() -> list[str]:
 
 
 @functools.cache
-def _odd_points() -> tuple[str, dict[int, str]] | None:
+def _undecided() -> np.ndarray:
+    """For each code point, whether the ids of a text with it depend on the Unicode that the tokenizers library has: if the interpreter has
+    not assigned it, or if it came after Unicode 3.2 and takes part in NFC (has a combining class, or is or is in a composition). How those
+    of 3.2 compose is fixed for all versions."""
+    old, out = unicodedata.ucd_3_2_0.category, np.zeros(sys.maxunicode + 1, bool)
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if old(c) != "Cn":
+            continue
+        if unicodedata.category(c) == "Cn" or unicodedata.combining(c):
+            out[i] = True
+        elif (parts := unicodedata.normalize("NFD", c)) != c:
+            out[[ord(p) for p in c + parts if old(p) == "Cn"]] = True
+    return out
+
+
+@functools.cache
+def _odd_points() -> tuple[str, dict[int, str], Callable[[str], str]]:
     """What follows from the versions of Unicode of `regex`, the interpreter and the tokenizers library, as the ids are to be the
-    library's: the code points, as a set for a pattern, that `regex` calls letters or numbers and the library doesn't, and the lower
-    case of those that only the library knows to have one. Only what the interpreter has not assigned can differ. None where the library
-    is missing: then nothing says what it does with such a code point."""
-    try:
-        from tokenizers import Regex, normalizers, pre_tokenizers
-    except ImportError:
-        return None
+    library's: the code points, as a set for a pattern, that `regex` calls letters or numbers and the library doesn't, the lower case of
+    those that only the library knows to have one, and the library's NFC. Letters and cases differ only in what the interpreter has not
+    assigned, compositions and the order of marks also in what the library's older NFC doesn't know. A missing library is an ImportError:
+    nothing else says what it does with such a code point."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
     some = regex.compile(r"[\p{L}\p{N}]")
     open_ = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
     text = "".join(c for c in open_ if some.match(c))
@@ -58,7 +75,8 @@ def _odd_points() -> tuple[str, dict[int, str]] | None:
     for _, (a, b) in pre_tokenizers.Split(Regex(r"[^\p{L}\p{N}]"), "removed").pre_tokenize_str(text):
         known.update(text[a:b])
     capital, lower = regex.compile(r"[\p{Lu}\p{Lt}]"), normalizers.Lowercase().normalize_str
-    return "".join(map(regex.escape, sorted(set(text) - known))), {ord(c): lower(c) for c in open_ if capital.match(c)}
+    odd = "".join(map(regex.escape, sorted(set(text) - known)))
+    return odd, {ord(c): lower(c) for c in open_ if capital.match(c)}, normalizers.NFC().normalize_str
 
 
 class Codec:
@@ -73,14 +91,8 @@ class Codec:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.inside = {p for t in self.vocab for s in [self._symbols(t)] for p in zip(s, s[1:], strict=False)}
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACES + r"\p{L}\p{N}]+")
-        self.odd, found = None, _odd_points()
-        self.blind = found is None
-        odd, self.lower = found or ("", {})
-        if odd:
-            self.odd = frozenset([*self.lower.values(), *map(chr, self.lower), *regex.sub(r"\\(.)", r"\1", odd)])
-            self.rare = regex.compile(f"[{min(self.odd)}-\U0010ffff]")  # most texts have nothing from there on
-            letter, number = (rf"[\p{{{c}}}--[{odd}]]" for c in "LN")
-            self.odd_pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:(?!{letter}|{number})[^{_SPACES}])+")
+        self.undecided = _undecided()
+        self.rare = regex.compile(f"[{chr(int(self.undecided.argmax()))}-\U0010ffff]")  # most texts have nothing from there on
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.bytes, self.known = _byte_chars(), {}
 
@@ -151,22 +163,36 @@ class Codec:
         tokens = [t for part in self.fragments(symbols) for t in self.merge(part)]
         return b"".join(self.vocab[t].to_bytes(4, "little") for t in tokens)
 
+    @functools.cached_property
+    def odd(self) -> tuple:
+        """NFC, lower cases and the pattern of pieces for texts with undecided code points, from the library."""
+        odd, lower, composed = _odd_points()
+        letter, number = (rf"[\p{{{c}}}--[{odd}]]" if odd else rf"\p{{{c}}}" for c in "LN")
+        return composed, lower, regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:(?!{letter}|{number})[^{_SPACES}])+")
+
+    def prepared(self, part: str) -> tuple[str, regex.Pattern]:
+        """part composed and in lower case, and the pattern of its pieces."""
+        composed, lower, pieces = functools.partial(unicodedata.normalize, "NFC"), None, self.pieces
+        if not part.isascii() and self.rare.search(part):
+            found = self.undecided[np.frombuffer(part.encode("utf-32-le"), "<u4")]
+            if found.any():
+                try:
+                    composed, lower, pieces = self.odd
+                except ImportError as e:
+                    c = ord(part[found.argmax()])
+                    raise RuntimeError(f"U+{c:04X} is not in every version of Unicode, and its ids are to be the tokenizers library's, which can't be imported") from e
+        part = composed(part).replace("Σ", "σ").lower()
+        return part.translate(lower) if lower else part, pieces
+
     def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the text decoded from them. Where the tokenizers library is missing, a text with a
-        code point that the interpreter has not assigned is an error, since its ids would be a guess; others don't need the library."""
+        """The ids as little-endian 32-bit integers, and the text decoded from them. Where the tokenizers library can't be imported, a text
+        with an undecided code point is an error, since its ids would be a guess; others don't need the library."""
         ids, known = [], self.known
         for part in self.apart.split(text) if "<|" in text else [text]:
             if part in self.special:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            pieces = self.pieces
-            if self.blind and not part.isascii():
-                for c in part:
-                    if unicodedata.category(c) == "Cn":
-                        raise RuntimeError(f"U+{ord(c):04X} is not in this interpreter's Unicode: install the tokenizers library, whose ids these are to be")
-            if self.odd and not part.isascii() and self.rare.search(part) and not self.odd.isdisjoint(part):
-                part, pieces = part.translate(self.lower), self.odd_pieces
+            part, pieces = self.prepared(part)
             for word in pieces.findall(part):
                 got = known.get(word)
                 if got is None:

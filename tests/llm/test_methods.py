@@ -253,6 +253,29 @@ def test_no_guesses_without_the_library(monkeypatch):
         bpe._odd_points.cache_clear()
 
 
+def test_marks_that_the_librarys_composition_does_not_know(monkeypatch):
+    """Its NFC is older than the interpreter's: marks keep their place, and a pair stays apart. Without the library that is an error."""
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Codec(bpe.vocabulary_path())
+    texts = {"x\u0301\u0899y": 0x899, "\u1ea1\u1df6\u0301": 0x1DF6, "a1\U00011935\U00011930b": 0x11935, "\u0301\u07fd<|endoftext|>\u0301\U0001e4edÉ": 0x7FD}
+    for text in [*texts, "e\u0301\u0323 ạ́ 한", "\U00011938\u0301"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text)[0] == b"".join(i.to_bytes(4, "little") for i in ids), ascii(text)
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    bpe._odd_points.cache_clear()
+    try:
+        with pytest.raises(ImportError):
+            bpe._odd_points()
+        codec = bpe.Codec(bpe.vocabulary_path())
+        assert codec.encode("e\u0301\u0323 ạ́ 한")[0] == codec.encode("ẹ́ ạ́ 한")[0]
+        for text, c in texts.items():
+            with pytest.raises(RuntimeError, match=f"U.{c:04X}"):
+                codec.encode(text)
+    finally:
+        bpe._odd_points.cache_clear()
+
+
 # op7 --------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -122,3 +122,39 @@ for c in (0xE9, 0xA7CB):
     done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True, timeout=200)
     ids, raised = [line for line in done.stdout.splitlines() if line.startswith(("ids", "raised"))]
     assert ids.startswith("ids") and raised == "raised True"
+
+
+MARKS = ["x\u0301\u0899y", "a1\U00011935\U00011930b", "e\u0301\u0323"]
+
+
+def test_encoding_stage_composes_as_the_library_does(spark):
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(MARKS)], "doc_id int, text string, lang string, source string")
+    for r in pipeline.encoded(spark, docs, "").collect():
+        ids = library.encode(MARKS[r.doc_id], add_special_tokens=False).ids
+        assert bytes(r.ids) == b"".join(i.to_bytes(4, "little") for i in ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_encoding_stage_fails_where_the_library_is_missing_and_composes(tmp_path):
+    """In a session of its own, whose workers can't import the library: marks and pairs that its NFC may not know are an error."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "tokenizers.py").write_text("raise ImportError('not installed')\n")
+    code = f"""
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+for t in {MARKS!a}:
+    docs = spark.createDataFrame([(1, t, "en", "s")], "doc_id int, text string, lang string, source string")
+    try:
+        print("ids", len(corpus_pipeline.encoded(spark, docs, "").first().ids))
+    except Exception as e:
+        print("raised", [c for c in ("U+0899", "U+11935") if c + " is not in" in str(e)])
+"""
+    path = os.pathsep.join([str(tmp_path), str(Path(pipeline.__file__).parent), os.environ.get("PYTHONPATH", "")])
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    mark, pair, plain = [line for line in done.stdout.splitlines() if line.startswith(("ids", "raised"))]
+    assert mark == "raised ['U+0899']" and pair == "raised ['U+11935']" and plain.startswith("ids")
